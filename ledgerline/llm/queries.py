@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sharding
+from . import decontaminate, jaccard, quality, sharding
 from .common import fold, table
 
 
@@ -33,4 +33,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("predicted", quality.predicted("score"))
 
 
-QUERIES = {f.__name__: f for f in (op6_decontaminate, op8_sharding, op9_quality)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_decontaminate, op8_sharding, op9_quality, op10_jaccard_join)}
