@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality, sharding
+from . import bpe, decontaminate, jaccard, langid, quality, sharding
 from .common import fold, table
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = bpe.digests(bpe.ship_lexicon(docs, path), path)
+    return docs.select("doc_id", digest("text").alias("x")).select("doc_id", "x.*")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    learnt = langid.train(docs.filter(fold("doc_id", 4) != 2).select("doc_id", "text", "lang"), langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    lang = langid.identifier(spark, learnt)
+    out = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), lang("text").alias("x"))
+    return out.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,4 +56,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_decontaminate, op8_sharding, op9_quality, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op5_language, op6_decontaminate, op8_sharding, op9_quality, op10_jaccard_join)}
