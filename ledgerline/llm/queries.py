@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, quality, sharding
+from . import bpe, decontaminate, jaccard, langid, quality, repeats, sharding
 from .common import fold, table
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,4 +60,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_language, op6_decontaminate, op8_sharding, op9_quality, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_repeats, op3_bpe, op5_language, op6_decontaminate, op8_sharding, op9_quality, op10_jaccard_join)}
