@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, quality, repeats, sharding
+from . import bpe, decontaminate, jaccard, langid, quality, repeats, sharding, topk
 from .common import fold, table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -60,4 +64,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repeats, op3_bpe, op5_language, op6_decontaminate, op8_sharding, op9_quality, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_bpe, op5_language, op6_decontaminate, op8_sharding, op9_quality, op10_jaccard_join)}
