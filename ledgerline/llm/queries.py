@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, quality, repeats, sharding, topk
+from . import bpe, decontaminate, jaccard, langid, mixing, quality, repeats, sharding, topk
 from .common import fold, table
 
 
@@ -40,6 +40,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -64,4 +68,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_bpe, op5_language, op6_decontaminate, op8_sharding, op9_quality, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_bpe, op5_language, op6_decontaminate, op7_lm_scores, op8_sharding, op9_quality, op10_jaccard_join)}
