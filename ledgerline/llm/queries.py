@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, mixing, quality, repeats, sharding, topk
+from . import bpe, decontaminate, jaccard, langid, mixing, quality, repeats, secrets, sharding, topk
 from .common import fold, table
 
 
@@ -26,6 +26,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", digest("text").alias("x")).select("doc_id", "x.*")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scans(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,18 +53,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def quality_weights(spark: SparkSession, sf_dir: str, most: int = 24_000):
-    """The quality model of the tables in ``sf_dir``: the held-out quarter of the keys plays no part."""
+def quality_weights(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 24_000):
+    """The quality model learnt from ``docs`` by the labels in ``sf_dir``: the held-out quarter of the keys plays no part."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter((fold("doc_id", 4) != 2) & F.col("label").isNotNull())
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     few = quality.bounded_sample(labels, "doc_id", most)
     # what AQE finds small enough is broadcast, else both sides are shuffled
-    return quality.train(table(spark, sf_dir, "documents").select("doc_id", "text").join(few, "doc_id"), most=most, n=0)
+    return quality.train(docs.select("doc_id", "text").join(few, "doc_id"), most=most, n=0)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = quality.scorer(spark, quality_weights(spark, sf_dir))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), score("text").alias("score"))
+    docs = table(spark, sf_dir, "documents")
+    score = quality.scorer(spark, quality_weights(spark, docs, sf_dir))
+    docs = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), score("text").alias("score"))
     return docs.withColumn("predicted", quality.predicted("score"))
 
 
@@ -68,4 +73,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_bpe, op5_language, op6_decontaminate, op7_lm_scores, op8_sharding, op9_quality, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_bpe, op4_secrets, op5_language, op6_decontaminate, op7_lm_scores, op8_sharding, op9_quality, op10_jaccard_join)}
