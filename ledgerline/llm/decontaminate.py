@@ -104,7 +104,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def without_documents(docs: DataFrame, items: DataFrame, text: str = "text", **kw) -> DataFrame:
     """The documents in which no window of an item occurs; columns as they came."""
-    return with_hits(docs, items, text, **kw).filter(F.size("hits") == 0).select(*docs.columns)
+    # a filter isn't pushed below a row number, where it would find the words again for each window
+    found = with_hits(docs, items, text, **kw).withColumn("__row", F.monotonically_increasing_id())
+    return found.filter((F.size("hits") == 0) & (F.col("__row") >= 0)).select(*docs.columns)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", **kw) -> DataFrame:
