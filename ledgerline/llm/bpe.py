@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import shutil
+import struct
 import tempfile
 import unicodedata
 import uuid
@@ -21,6 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .lexicon import Lexicon, compile_lexicon
 
 #: Unicode's White_Space, which the tokenizer's \s means. str.split() also splits at U+001C to U+001F.
@@ -93,7 +95,8 @@ class Codec:
         ids = [i for w in self._words.findall(chunk) for i in self.word(w)]
         if len(self._kept) >= self._most:
             self._kept.clear()
-        out = self._kept[chunk] = np.array(ids, "<u4").tobytes(), self.decode(ids)
+        names = self.names
+        out = self._kept[chunk] = struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids])
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -109,12 +112,11 @@ class Codec:
                 ids.append(np.array([self.special[part]], "<u4").tobytes())
                 texts.append(part)
                 continue
-            kept = self._kept
-            for c in self._chunks(part):
-                a, b = kept.get(c) or self._chunk(c)
-                ids.append(a)
-                texts.append(b)
-        return b"".join(ids), " ".join(filter(None, texts))
+            get, new = self._kept.get, self._chunk
+            got = [get(c) or new(c) for c in self._chunks(part)]
+            ids += [a for a, _ in got]
+            texts += [b for _, b in got if b]
+        return b"".join(ids), " ".join(texts)
 
     def decode(self, ids) -> str:
         """The tokens of the ids, special ones too, joined by a blank; unknown ids are left out."""
@@ -180,7 +182,7 @@ def tokenizer(lexicon: str, path: str):
     @F.arrow_udf("ids binary, decoded string")
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(path, lexicon)
-        for texts in batches:
+        for texts in sliced(batches):
             coded = [codec.coded(t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([c[k] for c in coded], kind) for k, kind in enumerate((pa.binary(), pa.string()))], ["ids", "decoded"])
 

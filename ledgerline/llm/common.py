@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +32,10 @@ def bounded_sample(df: DataFrame, key: str, most: int, n: int | None = None) ->
         return df
     steps = 1 << 20
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(steps)) < max(1, steps * most // n))
+
+
+def sliced(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches (arrays, or tuples of them) in slices of few rows, so that what a task makes of long texts at once stays small."""
+    for batch in batches:
+        for start in range(0, len(batch[0] if isinstance(batch, tuple) else batch), rows):
+            yield tuple(a.slice(start, rows) for a in batch) if isinstance(batch, tuple) else batch.slice(start, rows)

@@ -41,7 +41,7 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     words = WORD.findall((text or "").translate(SMALL) if not (text or "").isascii() else (text or "").lower())
     if not words:
         return np.empty(0, np.uint64)
-    if len(_ids) > 400_000:
+    if len(_ids) > 100_000:
         _ids.clear()
     for w in set(words).difference(_ids):
         _ids[w] = _word_hash(w)

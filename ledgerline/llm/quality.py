@@ -21,7 +21,7 @@ _ids: dict[str, int] = {}
 def features(text: str | None, bits: int, orders: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed n-grams (1 to ``orders`` tokens) of the whole text and their weights, of length 1 together. Place 0 is a constant."""
     tokens = TOKEN.findall(text or "")
-    if len(_ids) > 400_000:
+    if len(_ids) > 100_000:
         _ids.clear()
     for t in set(tokens).difference(_ids):
         _ids[t] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
