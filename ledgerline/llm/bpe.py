@@ -15,7 +15,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -40,7 +39,7 @@ def _byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder by a tokenizers file of the kind ``word_bpe_49k.json``: NFC, white space dropped, small letters, words by a pattern, bytes as letters, merges by rank with an end-of-word mark, no decoder (tokens joined by a blank)."""
 
-    def __init__(self, path: str, lexicon: Lexicon | None = None, most_kept: int = 200_000):
+    def __init__(self, path: str, lexicon: Lexicon | None = None, most_kept: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -123,32 +122,32 @@ class Codec:
         return " ".join(self.names[i] for i in map(int, ids) if i in self.names)
 
 
-def frequent_words(df: DataFrame, path: str, text: str = "text", most: int = 50_000, flush: int = 300_000, least: int = 3) -> list[str]:
+def frequent_words(df: DataFrame, path: str, text: str = "text", most: int = 50_000, flush: int = 100_000, least: int = 3) -> list[str]:
     """The ``most`` words with the highest counts over all texts (ties: by word).
 
     Counts are gathered in each task and flushed at ``flush`` different words, without those seen under ``least`` times since the last flush
     (lossy counting: a word's count is low by less than ``least`` a flush), then summed by a shuffle. ``most`` bounds what comes to the driver."""
 
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, seen = _codec(path, None), Counter()
 
-        def out(least: int) -> pd.DataFrame:
-            chunks = [(c, n) for c, n in seen.items() if n >= least]
+        def out(least: int) -> pa.RecordBatch:
             found = Counter()
-            for c, n in chunks:
-                for w in codec.words(c):
-                    found[w] += n
+            for c, n in seen.items():
+                if n >= least:
+                    for w in codec.words(c):
+                        found[w] += n
             seen.clear()
-            return pd.DataFrame({"word": pd.Series(list(found), dtype=object), "n": pd.Series(list(found.values()), dtype="int64")})
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-        for pdf in batches:
-            for t in pdf.text:
-                seen.update((t or "").lower().split())
+        for batch in batches:
+            for t in batch["text"]:
+                seen.update((t.as_py() or "").lower().split())
                 if len(seen) >= flush:
                     yield out(least)
         yield out(least)
 
-    counts = df.select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = df.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 

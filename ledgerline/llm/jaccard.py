@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,19 +72,19 @@ def _unpacked(blob: bytes) -> np.ndarray:
 ENTRIES = "batch long, bucket int, tokens binary, owners binary"
 
 
-def _token_blocks(buckets: int, width: int, most_docs: int = 8192):
+def _token_blocks(buckets: int, width: int, most_docs: int = 2048):
     """Blocks of the inverted index: for each batch of documents and each range of hashes, its sorted tokens and the places of the documents they are in; and one block (bucket -1 or less) of the documents themselves. Of equal sets in a batch only one is indexed."""
     shift = np.uint64(BITS) - np.uint64(buckets.bit_length() - 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 32
         for whole in batches:
             for start in range(0, len(whole), most_docs):
-                pdf = whole.iloc[start : start + most_docs]
-                sets = [shingles(t, width) for t in pdf.text]
+                pdf = whole.slice(start, most_docs)
+                sets = [shingles(t.as_py(), width) for t in pdf["text"]]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 marks = np.array([[_mixed(s).sum(dtype=np.uint64), _mixed(s ^ MULT).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2)
-                docs = pd.DataFrame({"doc": pdf.doc, "n": sizes, "mark": marks[:, 0].astype(np.int64), "check": marks[:, 1].astype(np.int64)})
+                docs = pd.DataFrame({"doc": pdf["doc"].to_pandas(), "n": sizes, "mark": marks[:, 0].astype(np.int64), "check": marks[:, 1].astype(np.int64)})
                 first = ~docs.duplicated(["n", "mark", "check"]).to_numpy() & (sizes > 0)
                 rows = [(place, -1 - place % buckets, _frame(docs), b"")]
                 if first.any():
@@ -93,15 +94,14 @@ def _token_blocks(buckets: int, width: int, most_docs: int = 8192):
                     tokens, owners = tokens[order], owners[order]
                     cuts = np.searchsorted(tokens >> shift, np.arange(buckets + 1))
                     rows += [(place, k, _packed(tokens[a:b]), owners[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-                yield pd.DataFrame(rows, columns=["batch", "bucket", "tokens", "owners"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "bucket", "tokens", "owners"])
                 place += 1
+        _ids.clear()
 
     return run
 
 
 def _frame(pdf: pd.DataFrame) -> bytes:
-    import pyarrow as pa
-
     sink = pa.BufferOutputStream()
     t = pa.Table.from_pandas(pdf, preserve_index=False)
     with pa.ipc.new_stream(sink, t.schema) as out:
@@ -110,8 +110,6 @@ def _frame(pdf: pd.DataFrame) -> bytes:
 
 
 def _unframe(blob: bytes) -> pd.DataFrame:
-    import pyarrow as pa
-
     return pa.ipc.open_stream(blob).read_all().to_pandas()
 
 
@@ -159,8 +157,8 @@ def _assembled(share: int):
 def documents(df: DataFrame, key: str, text: str, share: int = 75, width: int = 5) -> DataFrame:
     """(doc, n, mark, check, common): set size, a 128-bit mark of the set, and the tokens that other documents have too, rarest first, as 8-byte numbers: none where they are fewer than ``share`` hundredths of the set, since it can't be linked then."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = 1 << max(3, (int(size) // 9_000_000).bit_length())
-    blocks = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInPandas(_token_blocks(buckets, width), ENTRIES)
+    buckets = 1 << max(3, (int(size) // 4_000_000).bit_length())
+    blocks = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(_token_blocks(buckets, width), ENTRIES)
     common = blocks.groupBy("bucket").applyInPandas(_common, "batch long, tokens binary, owners binary, dfs binary")
     return common.groupBy("batch").applyInPandas(_assembled(share), "doc long, n long, mark long, check long, common binary")
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, sliced
 
 #: Starts a word in the vocabulary.
 START = "▁"
@@ -194,7 +194,7 @@ def identifier(spark, model: dict, most_kept: int = 300_000):
 
     @F.arrow_udf("lang string, score double")
     def lang(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in sliced(batches):
             got = scored(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang", "score"])
 

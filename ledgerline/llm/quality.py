@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, sliced
 
 #: A word, or a run of other signs that aren't white space.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -81,15 +82,16 @@ def scorer(spark, weights: np.ndarray, bits: int = 18):
     """A function from a text column to its score, from 0 to 1: the sigmoid of the sparse dot product. Null and empty texts have only the constant."""
     shared = spark.sparkContext.broadcast(weights)  # 2^bits + 1 numbers
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shared.value
-        for texts in batches:
+        for texts in sliced(batches):
             out = np.empty(len(texts))
             for k, t in enumerate(texts):
-                i, x = features(t, bits)
+                i, x = features(t.as_py(), bits)
                 out[k] = _sigmoid(float(w[i] @ x))
-            yield pd.Series(out)
+            yield pa.array(out)
+        _ids.clear()
 
     return score
 
