@@ -63,6 +63,17 @@ def _packed(values: np.ndarray) -> bytes:
     return b"\x08" + steps.tobytes()
 
 
+def _six(tokens: np.ndarray) -> bytes:
+    """48-bit numbers, 6 bytes each, in their order."""
+    return tokens.astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), "u1")
+    out[:, :6] = np.frombuffer(blob, "u1").reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
 def _unpacked(blob: bytes) -> np.ndarray:
     if blob[0] == 4:
         return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, 1), np.frombuffer(blob, "<u4", offset=9).astype(np.uint64)]), dtype=np.uint64)
@@ -84,8 +95,8 @@ def _token_blocks(buckets: int, width: int, most_docs: int = 2048):
                 sets = [shingles(t.as_py(), width) for t in pdf["text"]]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 marks = np.array([[_mixed(s).sum(dtype=np.uint64), _mixed(s ^ MULT).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2)
-                docs = pd.DataFrame({"doc": pdf["doc"].to_pandas(), "n": sizes, "mark": marks[:, 0].astype(np.int64), "check": marks[:, 1].astype(np.int64)})
-                first = ~docs.duplicated(["n", "mark", "check"]).to_numpy() & (sizes > 0)
+                docs = pd.DataFrame({"doc": pdf["doc"].fill_null(0).to_numpy(), "unnamed": pdf["doc"].is_null().to_numpy(False), "n": sizes, "mark": marks[:, 0].astype(np.int64), "check": marks[:, 1].astype(np.int64)})
+                first = ~docs.duplicated(["unnamed", "n", "mark", "check"]).to_numpy() & (sizes > 0) & ~docs.unnamed.to_numpy()
                 rows = [(place, -1 - place % buckets, _frame(docs), b"")]
                 if first.any():
                     tokens = np.concatenate([s for s, f in zip(sets, first, strict=True) if f])
@@ -133,7 +144,7 @@ def _common(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _assembled(share: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A batch's documents, each with its common tokens, rarest first; without them, where they are too few for any link."""
+        """A batch's documents, each with its common tokens, rarest first; without them, where they are too few for any link, or an equal set of the batch has them."""
         head = pdf.dfs.str.len() == 0
         docs = _unframe(pdf.tokens[head].iloc[0])
         docs["common"] = [b""] * len(docs)
@@ -146,21 +157,20 @@ def _assembled(share: int):
             tokens, owners = tokens[order], owners[order]
             cuts = np.searchsorted(owners, np.arange(len(docs) + 1))
             enough = 100 * np.diff(cuts) >= share * docs.n.to_numpy()
-            docs["common"] = [tokens[a:b].astype("<i8").tobytes() if e and b > a else b"" for a, b, e in zip(cuts, cuts[1:], enough, strict=False)]
-        # an equal set that wasn't indexed takes what the first of its batch has
-        docs["common"] = docs.groupby(["n", "mark", "check"]).common.transform("max")
+            docs["common"] = [_six(tokens[a:b]) if e and b > a else b"" for a, b, e in zip(cuts, cuts[1:], enough, strict=False)]
         return docs
 
     return run
 
 
 def documents(df: DataFrame, key: str, text: str, share: int = 75, width: int = 5) -> DataFrame:
-    """(doc, n, mark, check, common): set size, a 128-bit mark of the set, and the tokens that other documents have too, rarest first, as 8-byte numbers: none where they are fewer than ``share`` hundredths of the set, since it can't be linked then."""
+    """(doc, n, mark, check, common): set size, a 128-bit mark of the set, and the tokens that other documents have too, rarest first, as 6-byte numbers: none where they are fewer than ``share`` hundredths of the set, since it can't be linked then, and where an equal set at hand has them."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = 1 << max(3, (int(size) // 4_000_000).bit_length())
     blocks = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(_token_blocks(buckets, width), ENTRIES)
     common = blocks.groupBy("bucket").applyInPandas(_common, "batch long, tokens binary, owners binary, dfs binary")
-    return common.groupBy("batch").applyInPandas(_assembled(share), "doc long, n long, mark long, check long, common binary")
+    out = common.groupBy("batch").applyInPandas(_assembled(share), "doc long, unnamed boolean, n long, mark long, check long, common binary")
+    return out.select(F.when(~F.col("unnamed"), F.col("doc")).alias("doc"), "n", "mark", "check", "common")
 
 
 def _needed(n, share: int):
@@ -187,7 +197,7 @@ def _keys(share: int, boundary: int):
         for pdf in batches:
             out = []
             for rep, n, blob in zip(pdf.rep, pdf.n, pdf.common, strict=True):
-                t = np.frombuffer(blob, "<i8").view(np.uint64)
+                t = _from_six(blob)
                 slack = len(t) - _needed(n, share)
                 if slack < 0:
                     continue
@@ -213,7 +223,7 @@ def _linkable(a: str, b: str, share: int):
 
 
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8"), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series([len(np.intersect1d(_from_six(x), _from_six(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -235,18 +245,15 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", share
     a group of copies aren't formed. Tokens are 48-bit hashes and sets are matched by 128 bits. Keys are integers: rows with a null key keep it, and join nothing. Repeated rows
     give repeated rows."""
     docs = staged(documents(df, key, text, share, width), "sets")
-    sets = (
-        docs.filter((F.octet_length("common") > 0) & F.col("doc").isNotNull())
-        .groupBy("n", "mark", "check")
-        .agg(F.min_by("common", "doc").alias("common"), F.min("doc").alias("rep"))
-        .select("rep", "n", "mark", "check", "common")
-    )
-    sets = staged(sets, "set-classes")
+    # a class's common tokens are the same wherever they are given
+    classes = docs.filter((F.col("n") > 0) & F.col("doc").isNotNull()).groupBy("n", "mark", "check").agg(F.max("common").alias("common"), F.min("doc").alias("rep"))
+    classes = staged(classes, "set-classes")
+    sets = classes.filter(F.octet_length("common") > 0).select("rep", "n", "common")
     # a row for each size: at most as many as the largest set has tokens, in the range that light sets may have
-    sizes = sets.filter(F.col("n") <= 400).groupBy("n").agg(F.max(F.octet_length("common") / 8).cast("long").alias("c"), F.count("*").alias("rows")).orderBy("n").collect()
-    rates = sets.select("rep", "n", "common").mapInPandas(_keys(share, 0), "key long, rep long, n long, c long, at long, light boolean").groupBy("key").agg(F.count("*").alias("k")).agg(F.avg("k")).first()[0]
+    sizes = sets.filter(F.col("n") <= 400).groupBy("n").agg(F.max(F.octet_length("common") / 6).cast("long").alias("c"), F.count("*").alias("rows")).orderBy("n").collect()
+    rates = sets.mapInPandas(_keys(share, 0), "key long, rep long, n long, c long, at long, light boolean").groupBy("key").agg(F.count("*").alias("k")).agg(F.avg("k")).first()[0]
     boundary = _boundary([(r["n"], r["c"], r["rows"]) for r in sizes], share, rates or 1.0)
-    keys = sets.select("rep", "n", "common").mapInPandas(_keys(share, boundary), "key long, rep long, n long, c long, at long, light boolean")
+    keys = sets.mapInPandas(_keys(share, boundary), "key long, rep long, n long, c long, at long, light boolean")
     # a key of one set has no candidates
     keys = staged(keys, "set-keys")
     hub = F.max(F.struct((F.col("c") / F.col("n")).alias("r"), -F.col("rep"), "rep", "n", "c", "at", "light")).alias("h")
@@ -265,12 +272,6 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", share
     pairs = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     edges = edges.unionByName(_verified(pairs, sets, share))
     labels = components(edges)
-    classes = (
-        docs.filter((F.col("n") > 0) & F.col("doc").isNotNull())
-        .groupBy("n", "mark", "check")
-        .agg(F.min("doc").alias("rep"))
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("n", "mark", "check", F.coalesce("component", "rep").alias("component"))
-    )
+    classes = classes.select("n", "mark", "check", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "mark", "check", F.coalesce("component", "rep").alias("component"))
     named = docs.select("doc", "n", "mark", "check").join(classes, ["n", "mark", "check"], "left")
     return named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
