@@ -117,6 +117,7 @@ def _pairs(k: int):
         names = ["query_row", "query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pd.DataFrame({n: np.empty(0, np.int64) for n in names})
+        right = right.rename(columns={"ref": "id", "rv": "v", "rrow": "row"})
         width = max(left.v.str.len().max(), right.v.str.len().max())
         left, right = (x.sort_values(["id", "row"], ignore_index=True) for x in (left, right))
         ids = right.id.to_numpy()
@@ -140,8 +141,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
     n, queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-queries // query_block))
     dealt = F.xxhash64("row")
-    refs = rows.select("id", "v", "row", F.pmod(dealt, F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("a"))
+    # renamed: both sides read one table, and a cogroup must not take their columns for the same
+    refs = rows.select(F.col("id").alias("ref"), F.col("v").alias("rv"), F.col("row").alias("rrow"), F.pmod(dealt, F.lit(blocks)).alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("ra"))
     asked = rows.filter("is_query").select("id", "v", "row", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
-    found = asked.groupBy("a", "b").cogroup(refs.groupBy("a", "b")).applyInPandas(_pairs(k), "query_row long, query_id long, vec_id long, score long")
+    found = asked.groupBy("a", "b").cogroup(refs.groupBy("ra", "rb")).applyInPandas(_pairs(k), "query_row long, query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
