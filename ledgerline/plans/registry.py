@@ -1,6 +1,461 @@
-"""The registered queries over the driver's tables and their SQL twins."""
+"""The registered queries over the driver's tables and their SQL twins for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import hashing
+from ..functions.values import Field
+from ..operators import aggregate, delivery, find, log, ordered
+from . import adapter, folds, views
+from .adapter import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+LOG = """log AS (
+  SELECT 'tenant-' || (user_id % 4) AS project_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS sequence_number,
+         CAST(event_id AS VARCHAR) AS event_id, event_type, user_id, value, props AS payload, sha256(props) AS payload_hash, ts FROM events)"""
+CRUD = LOG + """, crud AS (
+  SELECT project_id, CAST(user_id AS VARCHAR) AS id, sequence_number AS s, ts, payload, event_id,
+         CASE event_type WHEN 'signup' THEN 'c' WHEN 'purchase' THEN 'u' WHEN 'click' THEN 'u' WHEN 'error' THEN 'd' END AS k
+  FROM log WHERE event_type IN ('signup', 'purchase', 'click', 'error'))"""
+CUSTOMERS = """cust AS (
+  SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_nationkey AS nation, CASE WHEN c_nationkey % 3 <> 0 THEN c_mktsegment END AS segment FROM customer)"""
+DELIVERIES = """e AS (SELECT 'stream-' || (user_id % 8) AS stream_id, event_id AS velocity_seq, event_type FROM events),
+r AS (SELECT *, velocity_seq * 2 AS wal_sequence FROM e WHERE velocity_seq % 4 <> 0)"""
+STREAM = LOG + """, m AS (SELECT project_id, event_type AS stream, sequence_number AS "offset", ts, value FROM log),
+commits AS (SELECT project_id, event_type AS stream, 'group-' || (user_id % 3) AS consumer_group, sequence_number AS "offset" FROM log WHERE sequence_number % 50 = 0)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- reading the log
+
+
+@query(f"WITH {LOG} SELECT project_id, sequence_number, event_type, payload FROM log WHERE project_id = 'tenant-1' AND sequence_number >= 50")
+def log_read_from(spark, d):
+    return log.read_events(adapter.log(spark, d), "tenant-1", 50).select("project_id", "sequence_number", "event_type", "payload")
+
+
+@query(f"WITH {LOG} SELECT sequence_number, event_type, payload FROM log WHERE project_id = 'tenant-2' AND sequence_number >= 10 ORDER BY sequence_number LIMIT 20")
+def log_tail_limit(spark, d):
+    return log.read_events(adapter.log(spark, d), "tenant-2", 10, limit=20).select("sequence_number", "event_type", "payload")
+
+
+@query(f"WITH {LOG} SELECT project_id, sequence_number, event_type FROM log WHERE event_type IN ('purchase', 'error') AND sequence_number BETWEEN 100 AND 900")
+def log_filter_types(spark, d):
+    return log.read_events(adapter.log(spark, d), None, 100, 900, ["purchase", "error"]).select("project_id", "sequence_number", "event_type")
+
+
+@query(f"WITH {LOG} SELECT project_id, max(sequence_number) AS head, count(*) AS events FROM log GROUP BY project_id")
+def log_heads(spark, d):
+    return log.heads(adapter.log(spark, d))
+
+
+@query(f"WITH {LOG} SELECT project_id, sequence_number, event_id, event_type FROM log QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY sequence_number DESC) = 1")
+def log_last_event(spark, d):
+    return log.last_events(adapter.log(spark, d)).select("project_id", "sequence_number", "event_id", "event_type")
+
+
+@query("SELECT count(*) AS events FROM events")
+def log_count(spark, d):
+    return table(spark, d, "events").agg(F.count("*").alias("events"))
+
+
+@query(f"WITH {LOG} SELECT project_id, CAST((sequence_number - 1) // 500 AS BIGINT) AS segment, min(sequence_number) AS first_sequence, max(sequence_number) AS last_sequence, count(*) AS events FROM log GROUP BY ALL")
+def log_segments(spark, d):
+    rows = adapter.log(spark, d).withColumn("segment", F.expr("(sequence_number - 1) div 500"))
+    out = log.segments(rows, F.struct("project_id", "segment"))
+    return out.select("segment.project_id", "segment.segment", "first_sequence", "last_sequence", "events")
+
+
+@query()
+def log_segment_checksums(spark, d):
+    return log.segments(adapter.log(spark, d), F.expr("concat(project_id, ':', (sequence_number - 1) div 500)"))
+
+
+@query(f"""WITH {LOG}, p AS (SELECT *, sha256(event_id || ':' || payload_hash || ':' || sequence_number) AS h FROM log)
+SELECT project_id, sequence_number, payload_hash, lag(h) OVER (PARTITION BY project_id ORDER BY sequence_number) AS previous_hash FROM p""")
+def log_append(spark, d):
+    """The later half appended to the earlier one gives the whole log again."""
+    whole = adapter.chained(spark, d)
+    new = whole.filter("sequence_number > 1000").select("project_id", "event_type", "payload", F.col("ts").cast("timestamp").alias("ts"), F.col("sequence_number").alias("arrival"), "event_id")
+    old = whole.filter("sequence_number <= 1000").withColumn("ts", F.col("ts").cast("timestamp"))
+    names = ["project_id", "sequence_number", "payload_hash", "previous_hash"]
+    return old.select(names).unionByName(log.append(old, new).select(names))
+
+
+# --- integrity
+
+
+@query(f"WITH {LOG} SELECT project_id, sequence_number, payload_hash FROM log")
+def payload_hash(spark, d):
+    return adapter.log(spark, d).select("project_id", "sequence_number", hashing.payload_hash().alias("payload_hash"))
+
+
+@query(f"""WITH {LOG}, p AS (SELECT *, sha256(event_id || ':' || payload_hash || ':' || sequence_number) AS h FROM log)
+SELECT project_id, sequence_number, h AS chain_hash, lag(h) OVER (PARTITION BY project_id ORDER BY sequence_number) AS previous_hash FROM p""")
+def hash_chain(spark, d):
+    return adapter.chained(spark, d).select("project_id", "sequence_number", hashing.chain_hash().alias("chain_hash"), "previous_hash")
+
+
+@query(f"""WITH {LOG}, p AS (SELECT *, lag(sequence_number) OVER (PARTITION BY project_id ORDER BY sequence_number) AS previous_sequence FROM log WHERE sequence_number % 37 <> 0)
+SELECT project_id, sequence_number, previous_sequence FROM p WHERE sequence_number <> previous_sequence + 1""")
+def sequence_gaps(spark, d):
+    torn = adapter.chained(spark, d).filter("sequence_number % 37 <> 0")
+    return log.chain(torn).filter("gap").select("project_id", "sequence_number", "previous_sequence")
+
+
+@query(f"""WITH {LOG}, p AS (SELECT *, lag(sequence_number) OVER (PARTITION BY project_id ORDER BY sequence_number) AS q FROM log WHERE sequence_number % 37 <> 0)
+SELECT project_id, count(*) AS events, CAST(count_if(sequence_number % 100 = 50) AS BIGINT) AS bad_hashes, CAST(count_if(sequence_number <> q + 1) AS BIGINT) AS gaps,
+       CAST(count_if(sequence_number <> q + 1) AS BIGINT) AS broken, FALSE AS ok FROM p GROUP BY project_id""")
+def verify_summary(spark, d):
+    torn = adapter.chained(spark, d).filter("sequence_number % 37 <> 0")
+    torn = torn.withColumn("payload", F.when(F.col("sequence_number") % 100 == 50, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    return log.verification(torn)
+
+
+@query(f"""WITH {LOG}, f AS (SELECT project_id, min(sequence_number) AS bad FROM log WHERE sequence_number % 400 = 399 GROUP BY project_id)
+SELECT project_id, count(*) AS kept FROM log LEFT JOIN f USING (project_id) WHERE bad IS NULL OR sequence_number < bad GROUP BY project_id""")
+def recover_prefix(spark, d):
+    rows = adapter.log(spark, d)
+    return log.sound_prefix(rows, "sequence_number", F.col("sequence_number") % 400 == 399).groupBy("project_id").agg(F.count("*").alias("kept"))
+
+
+@query(f"""WITH {LOG}, a AS (SELECT project_id, sequence_number, payload_hash FROM log), b AS (SELECT * FROM a WHERE sequence_number % 500 <> 7)
+SELECT *, 1 AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)""")
+def replay_except(spark, d):
+    one = adapter.log(spark, d).select("project_id", "sequence_number", "payload_hash")
+    return log.same_replays(one, one.filter("sequence_number % 500 <> 7"))
+
+
+@query()
+def replay_state_hash(spark, d):
+    return log.state_hash(adapter.log(spark, d).select("project_id", "sequence_number", "payload"), ["project_id"])
+
+
+@query(f"WITH {LOG} SELECT count(*) AS events, 0 AS faulty FROM log")
+def validate_events(spark, d):
+    return log.faults(adapter.log(spark, d)).agg(F.count("*").alias("events"), F.count_if(F.size("faults") > 0).cast("int").alias("faulty"))
+
+
+# --- predicates, order and paging
+
+
+def found(*conditions):
+    def run(spark, d):
+        rows = adapter.customers(spark, d)
+        for c in conditions:
+            rows = rows.filter(find.where(*c))
+        return rows.select("id")
+
+    return run
+
+
+for name, conditions, sql in (
+    ("find_eq", [("segment", "eq", "BUILDING")], "segment = 'BUILDING'"),
+    ("find_ne_missing", [("segment", "ne", "BUILDING")], "segment IS DISTINCT FROM 'BUILDING'"),
+    ("find_range", [("account.balance", "gte", 1000), ("account.balance", "lt", 5000)], "balance >= 1000 AND balance < 5000"),
+    ("find_range_of_text", [("name", "gt", 5)], "FALSE"),
+    ("find_in", [("account.nation", "in", [1, 2, 17])], "nation IN (1, 2, 17)"),
+    ("find_nested_path", [("data.account.nation", "eq", 7)], "nation = 7"),
+    ("find_number_is_no_text", [("account.nation", "eq", "7")], "FALSE"),
+    ("find_by_id", [("id", "eq", 42)], "id = 42"),
+):
+    QUERIES[name] = found(*conditions)
+    ORACLES[name] = f"WITH {CUSTOMERS} SELECT id FROM cust WHERE {sql}"
+
+
+@query(f"WITH {CUSTOMERS} SELECT id, balance FROM cust WHERE balance > 500 ORDER BY balance DESC, id LIMIT 100")
+def find_topk(spark, d):
+    q = find.Query(adapter.customers(spark, d)).where("account.balance", "gt", 500).order_by("account.balance", "desc").limit(100)
+    return q.rows().select("id", Field("data", "account.balance").number.alias("balance"))
+
+
+@query(f"WITH {CUSTOMERS} SELECT id, segment FROM cust ORDER BY segment ASC NULLS FIRST, id LIMIT 40 OFFSET 480")
+def find_sorted_page(spark, d):
+    return find.Query(adapter.customers(spark, d)).order_by("segment").offset(480).limit(40).rows().select("id", Field("data", "segment").string.alias("segment"))
+
+
+@query(f"WITH {CUSTOMERS} SELECT count(*) AS total, least(greatest(count(*) - 30, 0), 50) AS returned, least(greatest(count(*) - 30, 0), 50) + 30 < count(*) AS has_more FROM cust WHERE nation = 3")
+def page_total_has_more(spark, d):
+    return find.page_info(find.Query(adapter.customers(spark, d)).where("account.nation", "eq", 3).df, 30, 50)
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src1' AND lang = 'en'")
+def documents_by_fields(spark, d):
+    docs = table(spark, d, "documents").select(F.lit("p").alias("project_id"), F.col("doc_id").alias("id"), F.col("source").alias("collection"), F.to_json(F.struct("lang", "n_chars")).alias("content"))
+    return find.by_fields(docs, "p", {"lang": "en"}, "src1").select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT DISTINCT source AS collection FROM documents")
+def distinct_collections(spark, d):
+    return table(spark, d, "documents").select(F.col("source").alias("collection")).distinct()
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name), 'r#0000000')")
+def cache_key_contains(spark, d):
+    return table(spark, d, "customer").filter(F.lower("c_name").contains("r#0000000")).select("c_custkey")
+
+
+# --- aggregates
+
+for kind, sql in (
+    ("count", "CAST(count(*) AS DOUBLE)"),
+    ("sum", "round(coalesce(sum(balance), 0), 4)"),
+    ("min", "coalesce(min(balance), 0)"),
+    ("max", "coalesce(max(balance), 0)"),
+    ("avg", "round(sum(balance) / count(*), 6)"),
+):
+
+    def run(spark, d, kind=kind):
+        out = find.Query(adapter.customers(spark, d)).where("account.nation", "lte", 12).aggregate(kind, "account.balance")
+        return out.select(F.round("value", {"sum": 4}.get(kind, 6)).alias("value"))
+
+    QUERIES[f"agg_{kind}"] = run
+    ORACLES[f"agg_{kind}"] = f"WITH {CUSTOMERS} SELECT {sql} AS value FROM cust WHERE nation <= 12"
+
+
+@query(f"WITH {CUSTOMERS} SELECT CAST('Infinity' AS DOUBLE) AS lowest, CAST('-Infinity' AS DOUBLE) AS highest, CAST(0 AS DOUBLE) AS mean FROM cust LIMIT 1")
+def agg_without_numbers(spark, d):
+    number = Field("data", "name").number
+    return adapter.customers(spark, d).agg(*(aggregate.aggregate_column(k, number).alias(n) for k, n in (("min", "lowest"), ("max", "highest"), ("avg", "mean"))))
+
+
+@query("""WITH s AS (SELECT list_sort(list(value)) AS v FROM events), p AS (SELECT unnest([0.5, 0.95, 0.99, 1.0]) AS share)
+SELECT CAST(share AS DOUBLE) AS share, v[least(CAST(floor(len(v) * share) AS BIGINT) + 1, len(v))] AS value FROM s, p""")
+def percentile_floor(spark, d):
+    return ordered.at_ranks(table(spark, d, "events"), "value", [0.5, 0.95, 0.99, 1.0])
+
+
+@query("""SELECT unnest(['10', '50', '100', '500', '1000', '5000', '+Inf']) AS le, unnest([count(*) FILTER (value <= 10), count(*) FILTER (value <= 50), count(*) FILTER (value <= 100), count(*) FILTER (value <= 500),
+ count(*) FILTER (value <= 1000), count(*) FILTER (value <= 5000), count(value)]) AS n FROM events""")
+def histogram_buckets(spark, d):
+    return aggregate.histogram(table(spark, d, "events"), "value")
+
+
+@query("SELECT count(*) AS documents, count(DISTINCT source) AS collections, max(doc_id) AS last_updated FROM documents")
+def store_stats(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("collection"), F.col("doc_id").alias("updated_at"))
+    return aggregate.store_stats(docs).select("documents", "collections", "last_updated")
+
+
+@query("SELECT source AS collection, count(*) AS documents FROM documents GROUP BY source")
+def documents_per_collection(spark, d):
+    return aggregate.collections(table(spark, d, "documents").withColumnRenamed("source", "collection"))
+
+
+@query()
+def prometheus_metrics(spark, d):
+    counts = adapter.log(spark, d).groupBy("project_id", "event_type").agg(F.count("*").alias("value"))
+    return aggregate.prometheus(counts.select(F.lit("events_total").alias("name"), F.create_map(F.lit("project"), "project_id", F.lit("type"), "event_type").alias("labels"), "value"))
+
+
+@query("""WITH t AS (SELECT user_id, 'tenant-' || user_id AS t FROM events), h AS (
+  SELECT user_id, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 33 + c) % 4294967296) % 16 AS p FROM t)
+SELECT CAST(p AS INTEGER) AS "partition", count(DISTINCT user_id) AS tenants, count(*) AS events FROM h GROUP BY p""")
+def tenant_partitions(spark, d):
+    rows = table(spark, d, "events").withColumn("tenant", F.concat(F.lit("tenant-"), F.col("user_id").cast("string")))
+    return aggregate.partition_stats(rows, "tenant", hashing.tenant_partition("tenant"))
+
+
+# --- folds
+
+
+@query(f"""WITH {CRUD}, b AS (SELECT project_id, id, max(s) AS born FROM crud WHERE k = 'c' GROUP BY ALL),
+g AS (SELECT project_id, id, born, min(s) FILTER (k = 'd') AS gone FROM crud JOIN b USING (project_id, id) WHERE s >= born GROUP BY ALL)
+SELECT project_id, id, CAST(max_by(json_extract_string(payload, '$.k'), s) FILTER (k <> 'd' AND (gone IS NULL OR s < gone)) AS BIGINT) AS k,
+       count(*) FILTER (k <> 'd' AND (gone IS NULL OR s < gone)) AS version, bool_or(gone IS NOT NULL) AS deleted, max(ts) FILTER (k = 'd' OR gone IS NULL OR s < gone) AS updated_at
+FROM crud JOIN g USING (project_id, id) WHERE s >= born GROUP BY project_id, id""")
+def entity_fold(spark, d):
+    out = folds.entities(adapter.crud(spark, d), "user")
+    return out.select("project_id", "id", F.get_json_object("data", "$.k").cast("long").alias("k"), "version", "deleted", "updated_at")
+
+
+@query(f"""WITH {CRUD}, w AS (SELECT *, last_value(CASE WHEN k <> 'u' THEN k END IGNORE NULLS) OVER (PARTITION BY project_id, id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM crud),
+ok AS (SELECT * FROM w WHERE NOT (k = 'c' AND was IS NOT DISTINCT FROM 'c') AND NOT (k = 'u' AND was IS DISTINCT FROM 'c')),
+b AS (SELECT project_id, id, max(s) FILTER (k = 'c') AS born, max(s) FILTER (k = 'd') AS gone FROM ok GROUP BY ALL)
+SELECT project_id, id, CAST(max_by(json_extract_string(payload, '$.k'), s) AS BIGINT) AS k, count(*) AS version, min_by(event_id, s) AS event_id
+FROM ok JOIN b USING (project_id, id) WHERE born IS NOT NULL AND (gone IS NULL OR gone < born) AND s >= born GROUP BY project_id, id""")
+def document_fold(spark, d):
+    rows = adapter.crud(spark, d).withColumns({"event_type": F.concat(F.lit("document."), "kind"), "document_id": F.col("entity_id")})
+    out = folds.documents(rows)
+    return out.select("project_id", "id", F.get_json_object("content", "$.k").cast("long").alias("k"), "version", "event_id")
+
+
+@query(f"""WITH {CRUD}, w AS (SELECT *, last_value(CASE WHEN k <> 'u' THEN k END IGNORE NULLS) OVER (PARTITION BY project_id, id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM crud)
+SELECT project_id, id, s AS sequence_number, CASE k WHEN 'c' THEN 'exists' ELSE 'missing' END AS error FROM w WHERE (k = 'c' AND was = 'c') OR (k = 'u' AND was IS DISTINCT FROM 'c')""")
+def document_errors(spark, d):
+    rows = adapter.crud(spark, d).withColumns({"event_type": F.concat(F.lit("document."), "kind"), "document_id": F.col("entity_id")})
+    return folds.document_steps(rows).filter("error is not null").select("project_id", "id", "sequence_number", "error")
+
+
+@query(f"WITH {LOG} SELECT project_id, CAST(user_id AS VARCHAR) AS key, max_by(payload, sequence_number) AS payload FROM log WHERE event_type IN ('view', 'error') GROUP BY ALL HAVING max_by(event_type, sequence_number) = 'view'")
+def console_cache(spark, d):
+    return views.cache(adapter.log(spark, d), F.col("user_id").cast("string"), "view", "error")
+
+
+@query(f"WITH {LOG} SELECT sequence_number, project_id, replace(upper(event_type), '.', '_') AS action FROM log")
+def console_audit(spark, d):
+    return views.audit(adapter.log(spark, d)).select("sequence_number", "project_id", "action")
+
+
+@query(f"WITH {LOG} SELECT project_id, count(*) AS n, round(sum(value), 2) AS total FROM log GROUP BY project_id")
+def user_fold(spark, d):
+    rows = adapter.log(spark, d).select("project_id", "sequence_number", "value")
+    out = folds.user_fold(rows, ["project_id"], lambda: {"n": 0, "total": 0.0}, lambda s, e: {"n": s["n"] + 1, "total": s["total"] + e["value"]}, "n long, total double")
+    return out.withColumn("total", F.round("total", 2))
+
+
+# --- snapshots
+
+
+@query(f"WITH {LOG} SELECT project_id, count(*) AS event_count, max_by(ts, sequence_number) AS last_event_at, max(sequence_number) AS last_sequence FROM log GROUP BY project_id")
+def tenant_state(spark, d):
+    """A snapshot carried on by the tail."""
+    rows = adapter.log(spark, d)
+    return views.advanced(views.tenant_state(rows, 300), rows.filter("sequence_number > 300"))
+
+
+@query(f"WITH {LOG} SELECT project_id, event_type, sequence_number, payload FROM log QUALIFY row_number() OVER (PARTITION BY project_id, event_type ORDER BY sequence_number DESC) <= 100")
+def last_100_per_type(spark, d):
+    return views.last_per_type(adapter.log(spark, d)).select("project_id", "event_type", "sequence_number", "payload")
+
+
+@query()
+def snapshot(spark, d):
+    rows = views.snapshot(adapter.log(spark, d))
+    return rows.select("project_id", "event_count", "last_sequence", F.to_json("data").alias("data"))
+
+
+@query(f"WITH {LOG} SELECT project_id, count(*) AS events_one, count(*) FILTER (sequence_number <= 200) AS events_two FROM log GROUP BY project_id HAVING count(*) > 200")
+def snapshot_diff(spark, d):
+    rows = adapter.log(spark, d)
+    return views.snapshot_diff(views.tenant_state(rows), views.tenant_state(rows, 200))
+
+
+# --- delivery
+
+
+@query(f"WITH {DELIVERIES} SELECT stream_id, velocity_seq, event_type FROM e ANTI JOIN r USING (stream_id, velocity_seq)")
+def dedupe_anti(spark, d):
+    return delivery.undelivered(*adapter.deliveries(spark, d))
+
+
+@query(f"WITH {DELIVERIES} SELECT r.stream_id, r.velocity_seq, r.event_type, r.wal_sequence FROM e JOIN r USING (stream_id, velocity_seq) WHERE e.event_type = 'purchase'")
+def dedupe_receipt_lookup(spark, d):
+    events, receipts = adapter.deliveries(spark, d)
+    return delivery.known_receipts(events.filter("event_type = 'purchase'"), receipts)
+
+
+@query(f"WITH {DELIVERIES} SELECT stream_id, velocity_seq, event_type FROM e WHERE velocity_seq % 5 = 0 AND velocity_seq % 10 <> 0")
+def pending_minus_tombstones(spark, d):
+    events, _ = adapter.deliveries(spark, d)
+    return delivery.pending(events.filter("velocity_seq % 5 = 0"), events.filter("velocity_seq % 10 = 0"))
+
+
+@query(f"WITH {DELIVERIES} SELECT stream_id, velocity_seq, event_type, CASE WHEN velocity_seq % 4 <> 0 THEN 'skip' ELSE 'redeliver' END AS action FROM e WHERE velocity_seq % 6 = 0")
+def recovery_classify(spark, d):
+    events, receipts = adapter.deliveries(spark, d)
+    return delivery.recovery(events.filter("velocity_seq % 6 = 0"), receipts)
+
+
+GATE = """g AS (SELECT 'stream-' || (user_id % 8) AS stream_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n, event_id AS arrival, event_type <> 'view' OR user_id % 8 < 6 AS real FROM events),
+w AS (SELECT *, lag(n) OVER (PARTITION BY stream_id ORDER BY n) AS q FROM g WHERE real),
+f AS (SELECT stream_id, min(n) AS stop FROM w WHERE n <> q + 1 GROUP BY stream_id)"""
+
+
+@query(f"""WITH {GATE} SELECT stream_id, n AS velocity_seq, CASE WHEN NOT real THEN 'transient' WHEN stop IS NULL OR n < stop THEN 'accepted' ELSE 'gap' END AS status FROM g LEFT JOIN f USING (stream_id)
+UNION ALL SELECT stream_id, n, CASE WHEN NOT real THEN 'transient' WHEN stop IS NULL OR n < stop THEN 'duplicate' ELSE 'gap' END FROM g LEFT JOIN f USING (stream_id) WHERE n % 10 = 0""")
+def bridge_gate(spark, d):
+    """Streams with transient events (two of them break there) and every tenth event sent twice."""
+    e = table(spark, d, "events").select(F.concat(F.lit("stream-"), (F.col("user_id") % 8).cast("string")).alias("stream_id"), "event_id", ((F.col("event_type") != "view") | (F.col("user_id") % 8 < 6)).alias("irreversibility_marker"))
+    e = ordered.numbered(e, ["stream_id"], ["event_id"], "velocity_seq").withColumnRenamed("event_id", "arrival")
+    e = e.unionByName(e.filter("velocity_seq % 10 = 0").withColumn("arrival", F.col("arrival") + 1_000_000_000_000))
+    return delivery.gate(e).select("stream_id", "velocity_seq", "status")
+
+
+@query("""WITH l AS (SELECT event_id, CASE WHEN value >= 100 THEN TRUE WHEN value <= 10 THEN FALSE END AS m FROM events)
+SELECT event_id, coalesce(last_value(m IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), FALSE) AS pressed FROM l""")
+def backpressure(spark, d):
+    return delivery.backpressure(table(spark, d, "events").select("event_id", "value"), "event_id", "value", 100, 10).select("event_id", "pressed")
+
+
+# --- streams and tenancy
+
+
+@query("""SELECT DISTINCT concat_ws(':', 'tenant-' || (user_id % 4), 'default', 'stream', event_type) AS key FROM events""")
+def namespaced_keys(spark, d):
+    e = table(spark, d, "events")
+    return e.select(hashing.namespaced_key(F.concat(F.lit("tenant-"), (F.col("user_id") % 4).cast("string")), F.lit("default"), F.lit("stream"), "event_type").alias("key")).distinct()
+
+
+@query(f"""WITH {STREAM}, o AS (SELECT project_id, stream, consumer_group, max("offset") AS committed FROM commits GROUP BY ALL)
+SELECT o.project_id, o.stream, o.consumer_group, o.committed, count(m."offset") AS waiting FROM o LEFT JOIN m ON m.project_id = o.project_id AND m.stream = o.stream AND m."offset" > o.committed GROUP BY ALL""")
+def consumer_lag(spark, d):
+    return views.lag(*adapter.stream(spark, d))
+
+
+@query(f"""WITH {STREAM} SELECT project_id, stream, "offset", value FROM m WHERE stream = 'purchase' AND "offset" >= 500""")
+def stream_replay_offset(spark, d):
+    return views.replay(adapter.stream(spark, d)[0], "purchase", 500).select("project_id", "stream", "offset", "value")
+
+
+@query(f"""WITH {STREAM} SELECT project_id, stream, "offset", value FROM m WHERE stream = 'click' AND ts >= TIMESTAMP '2024-01-05 00:00:00'""")
+def stream_replay_time(spark, d):
+    return views.replay(adapter.stream(spark, d)[0], "click", from_time="2024-01-05 00:00:00").select("project_id", "stream", "offset", "value")
+
+
+@query(f"WITH {LOG} SELECT project_id, date_trunc('second', ts) AS second, count(*) AS events FROM log GROUP BY ALL HAVING count(*) > 1")
+def quota_per_second(spark, d):
+    return views.rate_violations(adapter.log(spark, d), 1)
+
+
+@query(f"""WITH {STREAM} SELECT project_id, count(DISTINCT stream) AS streams, count(DISTINCT consumer_group) AS "groups", count(*) AS events FROM commits GROUP BY project_id""")
+def tenant_usage(spark, d):
+    return views.usage(adapter.stream(spark, d)[1])
+
+
+# --- what Spark adds to the reference's operations
+
+
+@query("SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def ext_join_aggregate(spark, d):
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    joined = o.select("o_custkey", "o_totalprice").join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def ext_rollup(spark, d):
+    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def ext_hourly(spark, d):
+    return table(spark, d, "events").groupBy(F.window("ts", "1 hour").start.alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def ext_sessions(spark, d):
+    out = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return out.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 3")
+def ext_top_per_group(spark, d):
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
+    return table(spark, d, "part").withColumn("place", place).filter("place <= 3").select("p_brand", "p_partkey", "p_retailprice")
