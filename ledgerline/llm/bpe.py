@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import most_frequent, sliced
 from .lexicon import Lexicon, compile_lexicon
 
 #: Unicode's White_Space, which the tokenizer's \s means. str.split() also splits at U+001C to U+001F.
@@ -123,7 +123,7 @@ class Codec:
 
 
 def frequent_words(df: DataFrame, path: str, text: str = "text", most: int = 50_000, flush: int = 100_000, least: int = 3) -> list[str]:
-    """The ``most`` words with the highest counts over all texts (ties: by word).
+    """The words with the highest counts over all texts, ``most`` at most.
 
     Counts are gathered in each task and flushed at ``flush`` different words, without those seen under ``least`` times since the last flush
     (lossy counting: a word's count is low by less than ``least`` a flush), then summed by a shuffle. ``most`` bounds what comes to the driver."""
@@ -148,7 +148,7 @@ def frequent_words(df: DataFrame, path: str, text: str = "text", most: int = 50_
         yield out(least)
 
     counts = df.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return most_frequent(counts, most)
 
 
 _codecs: dict = {}

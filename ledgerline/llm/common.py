@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,6 +36,18 @@ def bounded_sample(df: DataFrame, key: str, most: int, n: int | None = None) ->
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(steps)) < max(1, steps * most // n))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[str]:
+    """The words of ``counts`` (word, n) with the highest counts, ``most`` at most; steps of an eighth of an octave of counts are taken whole. Only the chosen words come to the driver, and a number for each step before."""
+    counts = staged(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
+    room, least = most, None
+    for r in counts.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # 8 steps a doubling
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["step"]
+    return [] if least is None else sorted(r["word"] for r in counts.filter(F.col("step") >= least).select("word").collect())
+
+
 def sliced(batches: Iterator, rows: int = 500) -> Iterator:
     """Arrow batches (arrays, or tuples of them) in slices of few rows, so that what a task makes of long texts at once stays small."""
     for batch in batches:
