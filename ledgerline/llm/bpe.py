@@ -54,7 +54,7 @@ class Codec:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(split["pattern"]["Regex"])
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.lexicon, self._kept, self._most = lexicon, {}, most_kept
+        self.lexicon, self._kept, self._older, self._most = lexicon, {}, {}, most_kept
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word, by merges alone: again and again the pair of least rank, the leftmost first."""
@@ -91,11 +91,20 @@ class Codec:
         return SPACE.split(text) if ODD.search(text) else text.split()
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        ids = [i for w in self._words.findall(chunk) for i in self.word(w)]
-        if len(self._kept) >= self._most:
-            self._kept.clear()
-        names = self.names
-        out = self._kept[chunk] = struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids])
+        """Of two generations of kept chunks the younger one is asked first, by the caller; it becomes the older one when it's half of what is kept, so that chunks in use stay."""
+        out = self._kept.get(chunk) or self._older.get(chunk)
+        if out is None:
+            words = self._words.findall(chunk)
+            if len(words) == 1 and words[0] == chunk:
+                ids, names = self.word(chunk), self.names
+                out = struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids])
+            else:  # with other signs: its words may be kept
+                kept, older = self._kept, self._older
+                parts = [kept.get(w) or older.get(w) or self._chunk(w) for w in words]
+                out = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        if 2 * len(self._kept) >= self._most:
+            self._kept, self._older = {}, self._kept
+        self._kept[chunk] = out
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -154,12 +163,13 @@ def frequent_words(df: DataFrame, path: str, text: str = "text", most: int = 50_
 _codecs: dict = {}
 
 
-def _codec(path: str, lexicon: str | None) -> Codec:
+def _codec(path: str, lexicon: str | None, most_kept: int = 120_000) -> Codec:
     """One codec for each worker process and lexicon file."""
-    if (path, lexicon) not in _codecs:
+    key = path, lexicon, most_kept
+    if key not in _codecs:
         _codecs.clear()
-        _codecs[path, lexicon] = Codec(path, Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
-    return _codecs[path, lexicon]
+        _codecs[key] = Codec(path, Lexicon(SparkFiles.get(lexicon)) if lexicon else None, most_kept)
+    return _codecs[key]
 
 
 def ship_lexicon(df: DataFrame, path: str, text: str = "text", most: int = 50_000) -> str:
@@ -188,12 +198,12 @@ def tokenizer(lexicon: str, path: str):
     return code
 
 
-def digests(lexicon: str, path: str):
-    """A function from a text column to (n_tokens, ids_sha256, decoded_sha256), without moving ids and texts out of the task."""
+def digests(lexicon: str, path: str, most_kept: int = 400_000):
+    """A function from a text column to (n_tokens, ids_sha256, decoded_sha256), without moving ids and texts out of the task. A worker keeps ``most_kept`` chunks of text with their ids, about 300 bytes each."""
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(path, lexicon)
+        codec = _codec(path, lexicon, most_kept)
         for texts in batches:
             rows = []
             for t in texts:

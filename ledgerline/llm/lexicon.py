@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import mmap
 import struct
+import zlib
 
 import numpy as np
 
-MAGIC = b"LEXICON1"
+MAGIC = b"LEXICON2"
+#: Bits of the filter that most other words don't pass.
+FILTER = 20
 
 
 class _State:
@@ -73,7 +76,11 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
         finals.append(s.final)
     ids = [entries[w] for w in words]
     offsets = np.cumsum([0, *map(len, ids)])
-    parts = [np.array(x, "<u4").tobytes() for x in (firsts, targets, skips, offsets, [i for x in ids for i in x])] + [bytes(finals), bytes(labels)]
+    marks = bytearray(1 << (FILTER - 3))
+    for w in words:
+        h = zlib.crc32(w) & ((1 << FILTER) - 1)
+        marks[h >> 3] |= 1 << (h & 7)
+    parts = [np.array(x, "<u4").tobytes() for x in (firsts, targets, skips, offsets, [i for x in ids for i in x])] + [bytes(finals), bytes(labels), bytes(marks)]
     return MAGIC + struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
 
 
@@ -84,12 +91,12 @@ class Lexicon:
         with open(path, "rb") as f:
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         assert self._map[:8] == MAGIC
-        sizes, view, at = struct.unpack("<7Q", self._map[8:64]), memoryview(self._map), 64
+        sizes, view, at = struct.unpack("<8Q", self._map[8:72]), memoryview(self._map), 72
         parts = []
         for k, n in enumerate(sizes):
             parts.append(view[at : at + n].cast("I") if k < 5 else at)
             at += n
-        self._firsts, self._targets, self._skips, self._offsets, self._ids, self._finals, self._labels = parts
+        self._firsts, self._targets, self._skips, self._offsets, self._ids, self._finals, self._labels, self._marks = parts
 
     @property
     def states(self) -> int:
@@ -100,6 +107,9 @@ class Lexicon:
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of a word; none if it isn't in the lexicon."""
+        h = zlib.crc32(word) & ((1 << FILTER) - 1)
+        if not self._map[self._marks + (h >> 3)] >> (h & 7) & 1:
+            return None
         find, labels, firsts, state, number = self._map.find, self._labels, self._firsts, 0, 0
         for k in range(len(word)):
             a = find(word[k : k + 1], labels + firsts[state], labels + firsts[state + 1])
