@@ -154,8 +154,10 @@ def train(labelled: DataFrame, pieces: list[str], key: str = "doc_id", text: str
     return {"langs": langs, "pieces": pieces, "probs": probs.astype("f4"), "prior": np.log([share.get(x, 0) / total for x in langs])}
 
 
-_kept: dict[str, np.ndarray] = {}
+#: A worker's kept words: their rows in the table of logarithms, and whose model they are of.
+_kept: dict[str, int] = {}
 _kept_for: list = [None]
+_logs: list[np.ndarray] = [np.empty((0, 1))]
 
 
 def identify(model: dict, doc_logs: np.ndarray) -> tuple[str, float]:
@@ -178,23 +180,30 @@ def identifier(spark, model: dict, most_kept: int = 300_000):
         if _kept_for[0] != token:
             _kept_for[0] = token
             _kept.clear()
+            _logs[0] = np.empty((0, 1))
             m["unit"], m["double"] = Pieces(m["pieces"]), m["probs"].astype("f8")
         elif "unit" not in m:
             m["unit"], m["double"] = Pieces(m["pieces"]), m["probs"].astype("f8")
         out: list = []
-        for start in range(0, len(texts), 200):
-            docs = [words_of(t) if t and m["langs"] and LETTER.search(t) else [] for t in texts[start : start + 200]]
-            new = set().union(*docs).difference(_kept)
-            if len(_kept) + len(new) > most_kept:
-                _kept.clear()
-                new = set().union(*docs)
-            _kept.update(word_scores(m["unit"], m["double"], list(new)))
-            out += [identify(m, np.array([_kept[w] for w in d]).sum(axis=0)) if d else ("und", 0.0) for d in docs]
+        docs = [words_of(t) if t and m["langs"] and LETTER.search(t) else [] for t in texts]
+        new = set().union(*docs).difference(_kept)
+        if len(_kept) + len(new) > len(_logs[0]):
+            _kept.clear()
+            new = set().union(*docs)
+            _logs[0] = np.empty((max(most_kept, len(new)), m["double"].shape[1]))
+        if new:
+            found = word_scores(m["unit"], m["double"], list(new))
+            first = len(_kept)
+            _logs[0][first : first + len(found)] = list(found.values())
+            _kept.update(zip(found, range(first, first + len(found)), strict=True))
+        place, logs = _kept.__getitem__, _logs[0]
+        out += [identify(m, logs[list(map(place, d))].sum(axis=0)) if d else ("und", 0.0) for d in docs]
         return out
 
     @F.arrow_udf("lang string, score double")
     def lang(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in sliced(batches):
+        # many texts at once: the sums go over all their new words of one length
+        for texts in sliced(batches, 1000):
             got = scored(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang", "score"])
 
