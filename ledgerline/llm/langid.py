@@ -35,10 +35,12 @@ class Pieces:
     def __init__(self, pieces: list[str], longest: int = 16):
         self.places = {p: k for k, p in enumerate(pieces) if len(p) <= longest}
         self.longest = max(map(len, self.places), default=1)
+        # with the beginnings of pieces that are none themselves: beyond what no piece begins with, nothing is looked up
+        self.begun = {p[:k]: -2 for p in self.places for k in range(1, len(p))} | self.places
 
     def cuts(self, words: list[str]) -> np.ndarray:
         """For words of one length n, the places of their pieces: [word, end, length - 1], or -1 for letters that are no piece and -2 for none."""
-        get, n = self.places.get, len(words[0])
+        get, n = self.begun.get, len(words[0])
         deep = min(n, self.longest)
         out = np.full((len(words), n, deep), -2, np.int32)
         for k, w in enumerate(words):
@@ -46,10 +48,12 @@ class Pieces:
             for i in range(n):
                 for j in range(i + 1, min(n, i + deep) + 1):
                     p = get(w[i:j])
-                    if p is not None:
-                        row[j - 1, j - i - 1] = p
-                    elif j == i + 1:
+                    if j == i + 1 and (p is None or p < 0):
                         row[i, 0] = -1
+                    if p is None:
+                        break
+                    if p >= 0:
+                        row[j - 1, j - i - 1] = p
         return out
 
     @staticmethod
