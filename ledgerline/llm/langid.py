@@ -171,7 +171,7 @@ def identify(model: dict, doc_logs: np.ndarray) -> tuple[str, float]:
     return model["langs"][best], float(z[best] / z.sum())
 
 
-def identifier(spark, model: dict, most_kept: int = 300_000):
+def identifier(spark, model: dict, most_kept: int = 800_000):
     """A function from a text column to (lang, score): the likeliest language, and its probability given the text.
 
     A text that is null or has no letter is ``und`` with score 0, as any text is while no language is known. Ties go to the first language in order.
