@@ -265,3 +265,27 @@ def test_language_model(spark, stored):
     assert all(g[6] < 0 for g in got)
     assert sum(g[6] for g in got) > sum(g[5] for g in got) * 1.3
     assert mixing.scores(docs.limit(0), held).count() == 0
+
+
+def test_language_model_learns_what_follows(spark):
+    rng = np.random.default_rng(8)
+    pairs = [(f"head{k}", f"tail{(k * 7) % 40}") for k in range(40)]
+    texts = [" ".join(w for k in rng.integers(0, 40, 60) for w in pairs[k]) for _ in range(120)]
+    texts[1] = " ".join(rng.permutation(texts[0].split()))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in mixing.scores(docs, F.col("doc_id") < 2).collect()}
+    assert math.isclose(got[0].base_score, got[1].base_score, rel_tol=1e-9)
+    assert got[0].score > got[1].score * 0.8
+    size = len(texts[0]) + 2
+    assert math.isclose(got[0].bits_per_byte, -got[0].score * math.log2(10) / size, rel_tol=1e-9)
+
+
+def test_language_model_cuts_texts_anywhere():
+    rng = np.random.default_rng(2)
+    body = mixing._encoded(["".join(rng.choice(list("ab é"), 40)) for _ in range(30)] + ["x" * 500])
+    whole = mixing.Stream(20).contexts(np.frombuffer(body, np.uint8))
+    for step in (1, 7, 64):
+        stream = mixing.Stream(20)
+        parts = [stream.contexts(np.frombuffer(body[a : a + step], np.uint8)) for a in range(0, len(body), step)]
+        assert np.array_equal(np.concatenate(parts, axis=1), whole)
+    assert mixing.table_bits(30_000_000_000) > mixing.table_bits(100_000_000) > mixing.table_bits(1000)
