@@ -289,3 +289,11 @@ def test_language_model_cuts_texts_anywhere():
         parts = [stream.contexts(np.frombuffer(body[a : a + step], np.uint8)) for a in range(0, len(body), step)]
         assert np.array_equal(np.concatenate(parts, axis=1), whole)
     assert mixing.table_bits(30_000_000_000) > mixing.table_bits(100_000_000) > mixing.table_bits(1000)
+
+
+def test_language_model_learns_from_all_training_bits(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["one", "two", "three", "four"], 4000)) for _ in range(8)]
+    counts = spark.sparkContext.broadcast(np.ones(mixing.PREDICTORS << 16, np.uint32))
+    mixer = mixing.learnt_mixer(spark.createDataFrame([(t,) for t in texts], "text string"), counts, 16, 3)
+    assert mixer.taught.sum() == mixer.visits.sum() == 8 * sum(len(t) + 2 for t in texts)
