@@ -288,7 +288,7 @@ def test_language_model_cuts_texts_anywhere():
         stream = mixing.Stream(20)
         parts = [stream.contexts(np.frombuffer(body[a : a + step], np.uint8)) for a in range(0, len(body), step)]
         assert np.array_equal(np.concatenate(parts, axis=1), whole)
-    assert mixing.table_bits(30_000_000_000) > mixing.table_bits(100_000_000) > mixing.table_bits(1000)
+    assert mixing.table_bits(30_000_000_000) > mixing.table_bits(25_000_000) > mixing.table_bits(1000)
 
 
 def test_language_model_learns_from_all_training_bits(spark):
@@ -297,3 +297,11 @@ def test_language_model_learns_from_all_training_bits(spark):
     counts = spark.sparkContext.broadcast(np.ones(mixing.PREDICTORS << 16, np.uint32))
     mixer = mixing.learnt_mixer(spark.createDataFrame([(t,) for t in texts], "text string"), counts, 16, 3)
     assert mixer.taught.sum() == mixer.visits.sum() == 8 * sum(len(t) + 2 for t in texts)
+
+
+def test_language_model_spreads_words_with_one_head(spark):
+    n = Counter(mixing.bucket_of(f"http://host/{k}".encode(), 16) for k in range(4000))
+    assert len(n) == 16 and max(n.values()) < 500
+    docs = spark.createDataFrame([(0, "日本語" * 60_000), (1, " ".join(f"http://host/{k}" for k in range(3000))), (2, "日本語")], "doc_id long, text string")
+    got = {r.doc_id: r for r in mixing.scores(docs, F.col("doc_id") == 2).collect()}
+    assert got[1].n_tokens == 3001 and got[0].bits_per_byte < 1 and all(r.score < 0 for r in got.values())
