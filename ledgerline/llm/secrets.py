@@ -28,7 +28,9 @@ REACH = 60
 # Forms of keys that are public knowledge, and words that speak for or against a secret.
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 RUN = re.compile(r"[A-Za-z0-9+/_~-]{16,}(?:\.[A-Za-z0-9_-]{10,}){0,2}={0,2}")
-ASSIGNED = re.compile(r"(?::=|=>|[=:])\s{0,3}[\"']?([^\s\"'=:]{6,})")
+# A whole name and its sign, then a value to its closing quote in the line or, without one, to white space. Nothing is gone over twice.
+ASSIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)[ \t\"']*+(?::=|=>|[=:])\s*+")
+VALUE = re.compile(r"\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|[\"']?(\S++)")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk_live_", "sk-", "xoxb-", "xoxp-", "AIza", "eyJ", "glpat-", "npm_", "SG.")
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "credential", "auth", "bearer", "private", "access")
 HARMLESS_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "integrity", "etag", "revision", "uuid", "guid", "id", "version", "build", "base64", "example", "sample", "placeholder", "dummy", "fake", "phone", "tel", "card", "order", "file", "path", "url", "href", "src")
@@ -48,11 +50,14 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     text = text or ""
     out = [(m.start(), m.end(), "block") for m in PEM.finditer(text)] if "PRIVATE KEY" in text else []
     if "=" in text or ":" in text:
+        end = 0
         for m in ASSIGNED.finditer(text):
-            name = text[max(0, m.start() - 24) : m.start()].lower().rstrip(" \"'")
-            found = NAME.findall(name)
-            if found and name.endswith(found[-1]) and KEYWORD.search(found[-1]):
-                out.append((*m.span(1), "assigned"))
+            if m.start(1) >= end and KEYWORD.search(m[1].lower()) and (v := VALUE.match(text, m.end())):
+                a, z = v.span(v.lastindex)
+                z = a + len(text[a:z].rstrip("\"'")) if v.lastindex == 3 else z
+                if z - a >= 6:
+                    out.append((a, z, "assigned"))
+                    end = z
     for m in RUN.finditer(text):
         w = m.group()
         if not w.islower() and not w.isupper() and not w.istitle() or any(c in w for c in string.digits):
@@ -90,15 +95,14 @@ class Features:
 
     def coverage(self, value: str) -> float:
         """The largest share of the value's characters that dictionary words can cover without overlaps."""
-        value = value.lower()[:2048]  # beyond, a candidate's share is as good as known
-        best = [0] * (len(value) + 1)
+        value, covered = value.lower(), 0
         for m in LETTERS.finditer(value):
             a, z = m.span()
+            best = [covered]  # up to each place of the run, from what is covered before it
             for j in range(a + 1, z + 1):
-                best[j] = max(best[j - 1], max((best[i] + j - i for i in range(max(a, j - self.longest), j - 3) if value[i:j] in self.words), default=0))
-            for j in range(z + 1, len(value) + 1):
-                best[j] = best[z]
-        return best[-1] / max(1, len(value))
+                best.append(max(best[-1], max((best[i - a] + j - i for i in range(max(a, j - self.longest), j - 3) if value[i:j] in self.words), default=0)))
+            covered = best[-1]
+        return covered / max(1, len(value))
 
     def of(self, before: str, value: str, after: str, path: str | None, kind: str) -> list[float]:
         n = len(value)

@@ -305,3 +305,23 @@ def test_language_model_spreads_words_with_one_head(spark):
     docs = spark.createDataFrame([(0, "日本語" * 60_000), (1, " ".join(f"http://host/{k}" for k in range(3000))), (2, "日本語")], "doc_id long, text string")
     got = {r.doc_id: r for r in mixing.scores(docs, F.col("doc_id") == 2).collect()}
     assert got[1].n_tokens == 3001 and got[0].bits_per_byte < 1 and all(r.score < 0 for r in got.values())
+
+
+def test_secret_candidates_are_whole():
+    for text, value in [
+        ('AUTH_TOKEN_FOR_STAGING_SERVICE = "hunter2!x"', "hunter2!x"),
+        ("password" + " " * 24 + "= hunter2!x", "hunter2!x"),
+        ("password:          hunter2!x", "hunter2!x"),
+        ('password = "ab=cd:ef9!"', "ab=cd:ef9!"),
+        ("password=abcdef=Rest12!x and", "abcdef=Rest12!x"),
+        ("secret: 'two words 1' x", "two words 1"),
+        ('token = "open12', "open12"),
+        ('{"password":"a\\\\"b12345"}', 'a\\\\"b12345'),
+    ]:
+        text, value = text.replace("\\\\", "\\"), value.replace("\\\\", "\\")
+        assert [text[a:z] for a, z, _ in secrets.candidates(text)] == [value], text
+    assert secrets.candidates("token=" * 200_000 + "end") != []
+    see = secrets.Features(["hello", "world"])
+    assert see.coverage("1" * 2048 + "hello" * 400 + "1" * 48) == 2000 / 4096
+    assert see.coverage("a1" * 100_000) == 0
+    assert see.coverage("xhello-worldx") == 10 / 13
