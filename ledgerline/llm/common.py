@@ -48,6 +48,17 @@ def most_frequent(counts: DataFrame, most: int) -> list[str]:
     return [] if least is None else sorted(r["word"] for r in counts.filter(F.col("step") >= least).select("word").collect())
 
 
+def joined(df: DataFrame, counts: DataFrame, keys: list[str], k: str = "k", how: str = "inner", share: int = 1000) -> DataFrame:
+    """``df`` (a stored table) with ``counts``, a row for each key with the number ``k`` of its rows in ``df``. Keys that hold more than one row in ``share``, of which there are fewer than ``share``, are broadcast, so that their rows needn't meet in a task; the others are joined."""
+    total, most = counts.agg(F.sum(k), F.max(k)).first()
+    least = max(1000, (total or 0) // share)
+    if (most or 0) <= least:
+        return df.join(counts, keys, how)
+    hot, others = F.broadcast(counts.filter(F.col(k) > least)), counts.filter(F.col(k) <= least)
+    rest = df.join(F.broadcast(counts.filter(F.col(k) > least).select(*keys)), keys, "left_anti").join(others, keys, how)
+    return df.join(hot, keys).unionByName(rest)
+
+
 def sliced(batches: Iterator, rows: int = 500) -> Iterator:
     """Arrow batches (arrays, or tuples of them) in slices of few rows, so that what a task makes of long texts at once stays small."""
     for batch in batches:

@@ -1,8 +1,9 @@
-"""Long repeats by enhanced suffix arrays over content-picked suffixes."""
+"""Long repeats by enhanced suffix arrays over content-picked suffixes, and passages of many words that documents share."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -12,23 +13,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import staged
+from .common import joined
 
-GRAM = 32
+GRAM, WORD_GRAM = 32, 8
+WORD = re.compile("[^\x20\x09-\x0d]+")
 _PLACE = (1 << 20) - 1
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_M = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _gram_hashes(b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 32 bytes from each place, by doubling."""
-    h = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    step = 1
-    while step < GRAM:
+_M, _X = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_words: dict[str, int] = {}
+
+
+def _hashed(h: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the ``width`` items from each place, from those of single items, by doubling."""
+    out, done, step = None, 0, 1
+    while True:
+        if width & step:
+            part = h[done : len(h) - (width - done - step)] if width > done + step else h[done:]
+            out = part if out is None else out[: len(part)] * _X + (part ^ (part >> np.uint64(29)))
+            done += step
+        if done == width:
+            return out * _X
         h = h[:-step] * _M + h[step:]
         h ^= h >> np.uint64(31)
         step *= 2
-    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _bytes(b: np.ndarray) -> np.ndarray:
+    h = (b.astype(np.uint64) + np.uint64(1)) * _X
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    words = WORD.findall(text)
+    if len(_words) > 100_000:
+        _words.clear()
+    for w in set(words).difference(_words):
+        _words[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,17 +73,15 @@ def _monotonous(b: np.ndarray, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def anchors(body: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Places, hashes, and the first and last window that each serves; and stretches known to be repeated.
+def anchors(items: np.ndarray, length: int, gram: int, single, sure: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes, and the first and last window that each serves.
 
-    A window (a string of ``length`` bytes) is served by its 32-byte gram of least hash, the leftmost of equals; that depends on
-    the window's bytes alone, so equal windows are served at the same distance. Windows deep in a stretch of a short period
+    A window (``length`` items) is served by its gram of least hash, the leftmost of equals; that depends on
+    the window's items alone, so equal windows are served at the same distance. Windows deep in a stretch of a short period (``sure``)
     need none: the stretch covers itself, and the windows near its ends stand for them."""
-    b = np.frombuffer(body, np.uint8)
-    sure = _monotonous(b, length)
-    parts, block, width = [], (1 << 19), length - GRAM + 1
-    for start in range(0, max(0, len(b) - length + 1), block):
-        h = _gram_hashes(b[start : start + block + length - 1])
+    parts, block, width = [], (1 << 19), length - gram + 1
+    for start in range(0, max(0, len(items) - length + 1), block):
+        h = _hashed(single(items[start : start + block + length - 1]), gram)
         key = h & ~np.uint64(_PLACE) | np.arange(len(h), dtype=np.uint64)
         m = _window_min(key, width)
         for a, z in sure:
@@ -74,8 +93,7 @@ def anchors(body: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         keep = v != _NONE
         v, first, last = v[keep], first[keep], last[keep]
         parts.append(((v & np.uint64(_PLACE)).astype(np.int64) + start, (v & ~np.uint64(_PLACE)).view(np.int64), first + start, last + start))
-    cat = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4
-    return (*cat, sure)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 4
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -95,43 +113,32 @@ def common_prefix(a: bytes, b: bytes) -> int:
 class IntervalTree:
     """The common-prefix intervals of suffixes from equal grams, scanned by a stack, smaller sets merged into larger ones.
 
-    ``lefts`` are the bytes before each suffix, reversed; ``rights`` the bytes from it. An interval of depth r holds suffixes
-    whose first r bytes agree; its members stand in the order of their lefts, so a member's longest common left
-    extension within the interval is with a neighbour. Where it and r come to ``length``, the member and all that
-    share it are occurrences of one repeat; what a deeper interval has tested already, with its members alone, isn't tested again."""
+    ``lefts`` are the bytes before each suffix, reversed; ``rights`` the bytes from it. An interval of depth r holds all suffixes
+    whose first r bytes agree. Its members stand in the order of their lefts, so those that share a left extension are neighbours."""
 
     def __init__(self, lefts: list[bytes], rights: list[bytes], length: int):
         self.n, self.length = len(rights), length
-        by_left = sorted(range(self.n), key=lefts.__getitem__)
-        self.item = by_left
+        self.item = sorted(range(self.n), key=lefts.__getitem__)
         self.rank = [0] * self.n
-        for k, i in enumerate(by_left):
+        for k, i in enumerate(self.item):
             self.rank[i] = k
-        self.left = [lefts[i] for i in by_left]  # by rank
+        left = [lefts[i] for i in self.item]
+        #: common left extension of each rank with the next
+        self.shared = np.array([common_prefix(a, b) for a, b in zip(left, left[1:], strict=False)] + [0], np.int64)
         self.order = sorted(range(self.n), key=rights.__getitem__)
         self.depths = [common_prefix(rights[a], rights[b]) for a, b in zip(self.order, self.order[1:], strict=False)]
-        self.most_left, self.most_right = [-1] * self.n, [-1] * self.n  # by rank
-
-    def _meet(self, a: int, b: int, depth: int) -> None:
-        extension = common_prefix(self.left[a], self.left[b])
-        if extension + depth >= self.length:
-            for x in (a, b):
-                self.most_left[x] = max(self.most_left[x], extension)
-                self.most_right[x] = max(self.most_right[x], depth)
 
-    def _merged(self, one: list[int], two: list[int], depth: int) -> list[int]:
+    @staticmethod
+    def _merged(one: list[int], two: list[int]) -> list[int]:
         large, small = (one, two) if len(one) >= len(two) else (two, one)
+        if len(small) * 8 > len(large):
+            return sorted(large + small)
         for x in small:
-            p = bisect_left(large, x)
-            if p:
-                self._meet(large[p - 1], x, depth)
-            if p < len(large):
-                self._meet(x, large[p], depth)
-            large.insert(p, x)
+            large.insert(bisect_left(large, x), x)
         return large
 
     def scan(self) -> Iterator[tuple[int, list[int]]]:
-        """(depth, members as ranks) of each interval, deepest first on each path; members change when the scan goes on."""
+        """(depth, members as ranks in order) of each interval, deepest first on each path; members change when the scan goes on."""
         stack: list[tuple[int, list[int]]] = []
         if not self.n:
             return
@@ -140,120 +147,168 @@ class IntervalTree:
             depth = self.depths[k - 1] if k < self.n else -1
             while stack and stack[-1][0] >= depth:
                 d, other = stack.pop()
-                run = self._merged(other, run, d)
+                run = self._merged(other, run)
                 if not (stack and stack[-1][0] == d) and d > depth:
                     yield d, run
             if k < self.n:
                 stack.append((depth, run))
                 run = [self.rank[self.order[k]]]
 
-    def repeats(self) -> Iterator[tuple[int, int, list[int]]]:
-        """Maximal repeats of ``length`` bytes at least: (bytes before, bytes after, all their occurrences). In an interval the occurrences that share a left extension are runs of neighbours; a run counts if its members' extensions differ beyond it, so that it can't be lengthened."""
+    def runs(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Maximal repeats of ``length`` bytes at least: (bytes before, bytes after, all their occurrences as ranks). A run of neighbours in an interval counts where their extensions differ beyond what they share, so that none can be lengthened."""
         for depth, members in self.scan():
+            at = np.array(members)
+            shared = np.minimum.reduceat(self.shared[: at[-1]], at[:-1])
             need = max(0, self.length - depth)
-            shared = [common_prefix(self.left[a], self.left[b]) for a, b in zip(members, members[1:], strict=False)]
+            if shared.max() < need:
+                continue
             stack: list[tuple[int, int]] = []  # extension, first member
-            for k, e in enumerate([*shared, -1]):
+            for k, e in enumerate([*shared.tolist(), -1]):
                 start = k
                 while stack and stack[-1][0] > e:
                     ext, start = stack.pop()
                     if ext >= need:
-                        yield ext, depth, [self.item[x] for x in members[start : k + 1]]
+                        yield ext, depth, at[start : k + 1]
                 if not stack or stack[-1][0] < e:
                     stack.append((e, start))
 
-    def covered(self) -> list[tuple[int, int]]:
-        """For each suffix the bytes before and after it that repeats cover; (-1, -1) if none does."""
-        for _ in self.scan():
-            pass
-        out = [(-1, -1)] * self.n
-        for r, i in enumerate(self.item):
-            out[i] = self.most_left[r], self.most_right[r]
+    def repeats(self) -> Iterator[tuple[int, int, list[int]]]:
+        """As ``runs``, occurrences as places in what was given."""
+        for before, after, ranks in self.runs():
+            yield before, after, [self.item[x] for x in ranks]
+
+    def covered(self) -> np.ndarray:
+        """For each suffix the bytes before and after it that its repeats cover; -1, -1 if it has none."""
+        most = np.full((self.n, 2), -1, np.int64)
+        for before, after, ranks in self.runs():
+            most[ranks] = np.maximum(most[ranks], (before, after))
+        out = np.empty_like(most)
+        out[self.item] = most
         return out
 
 
-def _scanned(length: int):
-    """Rows (row, doc, n, sha, and the anchors as arrays) of documents."""
+def _scanned(length: int, passage: int):
+    """Documents with their size, SHA-256, number of words and, as arrays, anchors: of windows of bytes (place, and how far their windows reach before and after it) and of windows of words (first and last window)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text in pdf.text:
-                body = (text or "").encode("utf-8", "surrogatepass")
-                sha = hashlib.sha256(body).digest()
-                if len(body) < length:
-                    out.append((len(body), sha, None, None, None, None, None))
-                    continue
-                place, h, first, last, sure = anchors(body, length)
-                out.append((len(body), sha, place, h, place - first, last + length - place, [x for s in sure for x in s]))
-            found = pd.DataFrame(out, columns=["n", "sha", "place", "hash", "before", "after", "sure"])
-            yield pd.concat([pdf[["row", "doc"]].reset_index(drop=True), found], axis=1)
+        for whole in batches:
+            for start in range(0, len(whole), 500):
+                pdf = whole.iloc[start : start + 500].reset_index(drop=True)
+                out = []
+                for text in pdf.text:
+                    body = text.encode("utf-8", "surrogatepass")
+                    b, words = np.frombuffer(body, np.uint8), _word_hashes(text)
+                    sure = _monotonous(b, length) if len(b) >= length else []
+                    place, h, first, last = anchors(b, length, GRAM, _bytes, sure)
+                    _, wh, wfirst, wlast = anchors(words, passage, WORD_GRAM, lambda x: x)
+                    columns = (np.concatenate(x) for x in ((h, wh ^ 1), (place, wfirst), (place - first, wlast), (last + length - place, np.full(len(wh), -1))))
+                    out.append((len(body), len(words), hashlib.sha256(body).digest(), *columns, [x for s in sure for x in s]))
+                yield pd.concat([pdf, pd.DataFrame(out, columns=["n", "n_words", "sha", "hash", "place", "before", "after", "sure"])], axis=1)
 
     return run
 
 
-SCANNED = "row long, doc long, n long, sha binary, place array<long>, hash array<long>, before array<long>, after array<long>, sure array<long>"
+SCANNED = "row long, doc {key}, text string, n long, n_words long, sha binary, hash array<long>, place array<long>, before array<long>, after array<long>, sure array<long>"
+CONTEXTS = "key long, low int, high int, mark binary, row long, place long, left binary, right binary"
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["hash", "hot", "row", "place", "left", "right"]
-    for pdf in batches:
-        out = []
-        for row, text, *at in zip(pdf.row, pdf.text, pdf.hash, pdf.hot, pdf.place, pdf.before, pdf.after, strict=True):
-            body = text.encode("utf-8", "surrogatepass")
-            for h, hot, p, before, after in zip(*at, strict=True):
-                out.append((h, hot, row, p, body[p - before : p][::-1], body[p : p + after]))
-            if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        yield pd.DataFrame(out, columns=names)
+def _mark(key: int, left: bytes, right: bytes) -> bytes:
+    """Tells contexts of a group by 128 bits."""
+    return hashlib.blake2b(left + right, digest_size=16, salt=int(key).to_bytes(8, "little", signed=True), person=len(left).to_bytes(8, "little")).digest()
 
 
-CONTEXTS = "hash long, hot boolean, row long, place long, left binary, right binary"
+def _framed(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["key", "low", "high", "mark", "row", "place", "left", "right"])
 
 
-def _group_spans(length: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, starts, ends = [], [], []
-        pdf = pdf.sort_values("hash", kind="stable")
-        hashes, row, place = pdf.hash.to_numpy(), pdf.row.to_numpy(), pdf.place.to_numpy()
-        left, right = pdf.left.tolist(), pdf.right.tolist()
-        cuts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
-        for a, z in zip(cuts, cuts[1:], strict=False):
-            same: dict[tuple[bytes, bytes], list[int]] = {}
-            for k in range(a, z):
-                same.setdefault((left[k], right[k]), []).append(k)
-            distinct = list(same)
-            cover = IntervalTree([x[0] for x in distinct], [x[1] for x in distinct], length).covered() if len(distinct) > 1 else [(-1, -1)]
-            for (le, ri), (before, after), who in zip(distinct, cover, same.values(), strict=True):
-                if len(who) > 1:  # equal contexts cover each other
-                    before, after = len(le), len(ri)
-                if after >= 0:
-                    for k in who:
-                        rows.append(row[k])
-                        starts.append(place[k] - before)
-                        ends.append(place[k] + after)
-        return pd.DataFrame({"row": rows, "start": starts, "end": ends}, dtype="int64")
+def _contexts(length: int):
+    """A row for each anchor of bytes: what its windows hold of what is before it, reversed, and of what is from it on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row, text, *at in zip(pdf.row, pdf.text, pdf.hash, pdf.place, pdf.before, pdf.after, strict=True):
+                body = text.encode("utf-8", "surrogatepass")
+                for h, p, before, after in zip(*at, strict=True):
+                    if after >= 0:
+                        left, right = body[p - before : p][::-1], body[p : p + after]
+                        out.append((h, 0, length - GRAM, _mark(h, left, right), row, p, left, right))
+                if len(out) > 5_000:
+                    yield _framed(out)
+                    out = []
+            yield _framed(out)
+
+    return run
+
+
+def _halved(length: int):
+    """Contexts of a group that is too large for one tree, under longer keys: windows with few bytes before the anchor agree in more bytes from it on, the others in more bytes before it. Each half's windows lie within its cut contexts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, low, high, row, place, left, right in zip(pdf.key, pdf.low, pdf.high, pdf.row, pdf.place, pdf.left, pdf.right, strict=True):
+                mid = (low + high) // 2
+                for a, z, agreed in ((low, mid, right[: length - mid]), (mid + 1, high, left[: mid + 1])):
+                    le, ri = left[:z], right[: length - a]
+                    if a <= z and len(le) >= a and len(ri) >= length - z:
+                        own = hashlib.blake2b(agreed, digest_size=8, key=int(key).to_bytes(8, "little", signed=True), salt=int(a).to_bytes(8, "little")).digest()
+                        own = int.from_bytes(own, "little", signed=True)
+                        out.append((own, a, z, _mark(own, le, ri), row, place, le, ri))
+            yield _framed(out)
 
     return run
 
 
-def _window_hashes(length: int):
-    """(window hash, row, start) of all windows in the contexts of hot grams."""
+def _windows(passage: int):
+    """(hash, row, start) of the windows of words whose anchors other places have too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for le, ri, row, place in zip(pdf.left, pdf.right, pdf.row, pdf.place, strict=True):
-                body = le[::-1] + ri
-                n = len(body) - length + 1
-                marks = np.array([int.from_bytes(hashlib.blake2b(body[k : k + length], digest_size=16).digest(), "little", signed=False) for k in range(n)], object)
-                low = np.array([int(m) & 0x7FFFFFFFFFFFFFFF for m in marks], np.int64)
-                high = np.array([int(m) >> 65 for m in marks], np.int64)
-                yield pd.DataFrame({"w1": low, "w2": high, "row": row, "start": place - len(le) + np.arange(n)})
+            for row, text, first, last, after in zip(pdf.row, pdf.text, pdf.place, pdf.before, pdf.after, strict=True):
+                words = after == -1
+                if words.any():
+                    starts = np.unique(np.concatenate([np.arange(a, z + 1) for a, z in zip(first[words], last[words], strict=True)]))
+                    yield pd.DataFrame({"window": _hashed(_word_hashes(text), passage)[starts].view(np.int64), "row": row, "start": starts})
 
     return run
 
 
+def _group_spans(length: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        keys, row, place = pdf.key.to_numpy(), pdf.row.to_numpy(), pdf.place.to_numpy()
+        left, right = pdf.left.tolist(), pdf.right.tolist()
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        cover = [IntervalTree(left[a:z], right[a:z], length).covered() for a, z in zip(cuts, cuts[1:], strict=False)]
+        before, after = np.concatenate(cover).T
+        got = after >= 0
+        return pd.DataFrame({"row": row[got], "start": (place - before)[got], "end": (place + after)[got]}, dtype="int64")
+
+    return run
+
+
+def _spans(contexts: DataFrame, length: int, most_group: int) -> DataFrame:
+    """(row, start, end) of what repeats cover around the anchors."""
+    spec = "row long, start long, end long"
+    found = contexts.sparkSession.createDataFrame([], spec)
+    while True:
+        same = staged(contexts.groupBy("mark").agg(F.count("*").alias("k"), F.min(F.struct("row", "place")).alias("first")).filter("k > 1"), "repeat-marks")
+        marked = staged(joined(contexts, same, ["mark"], how="left"), "repeat-marked")
+        # equal contexts cover each other; one of them goes on
+        equal = marked.filter("k is not null").select("row", (F.col("place") - F.octet_length("left")).alias("start"), (F.col("place") + F.octet_length("right")).alias("end"))
+        distinct = marked.filter("k is null or (first.row = row and first.place = place)").drop("k", "first", "mark")
+        groups = staged(distinct.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "repeat-groups")
+        size = groups.filter(F.col("k") <= most_group).agg(F.sum("k")).first()[0] or 0
+        bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, size // 5_000)))
+        small = distinct.join(groups.filter(F.col("k") <= most_group), "key").withColumn("bucket", bucket)
+        found = found.unionByName(equal).unionByName(small.groupBy("bucket").applyInPandas(_group_spans(length), spec))
+        large = groups.filter(F.col("k") > most_group)
+        if large.isEmpty():
+            return found
+        contexts = staged(joined(distinct, large, ["key"]).drop("k").mapInPandas(_halved(length), CONTEXTS), "repeat-contexts")
+
+
 def _united(starts, ends) -> list[tuple[int, int]]:
     """Overlapping and touching spans as one."""
     out: list[tuple[int, int]] = []
@@ -278,45 +333,44 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["row", "n_removed", "n_spans", "kept"])
 
 
-def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, most_group: int = 20_000, keep_bytes: bool = False) -> DataFrame:
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = 51, most_group: int = 5_000, keep_bytes: bool = False) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that starts anywhere else too, in the same document or another.
 
-    ``df`` is a stored table: it's read twice, and its rows are numbered by their place in the files. Returns key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with ``keep_bytes`` also
-    ``kept``, the remaining bytes of documents that lost any (null: all remain). Null texts are empty; texts shorter than ``length`` lose nothing; repeated rows of that length lose all.
+    Returns key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_passage_words and, with ``keep_bytes``,
+    ``kept``, the remaining bytes of documents that lost any (null: all remain). n_passage_words counts the words inside runs of
+    ``passage`` words (parted by ASCII blanks) that another document has too; such a run may be shorter than ``length`` bytes, and then is counted only. Null
+    texts are empty; texts shorter than ``length`` lose nothing; repeated rows of that length lose all.
 
-    1. Each document gives its anchors: the grams that serve its windows. Equal whole texts are told by SHA-256; one of each
+    1. Each document gives its anchors: the grams that serve its windows, of bytes and of words. Equal whole texts are told by SHA-256; one of each
     takes part. 2. Grams that occur once serve no repeat. The others' documents are joined with their texts, once, and give the
-    suffix from each anchor and what is before it, as far as its windows reach. 3. Equal grams meet in a bucket of bounded size, where
-    an interval tree over their enhanced suffix array finds what is repeated. A gram with more than ``most_group``
-    occurrences would make a bucket too large: its contexts are met as whole windows instead, by partial counts. 4. Spans
-    are united a document at a time and cut."""
-    docs = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    seen = staged(docs.mapInPandas(_scanned(length), SCANNED), "repeat-anchors")
-    texts = seen.groupBy("sha", "n").agg(F.min("row").alias("first"), F.count("*").alias("copies"))
-    firsts = seen.join(texts.select(F.col("first").alias("row")), "row", "left_semi").filter(F.col("n") >= length)
+    suffix from each anchor and what is before it, as far as its windows reach. Equal contexts cover each other; one of each goes on. 3. Distinct contexts of
+    equal grams meet in a bucket of bounded size, where an interval tree over their enhanced suffix array gives the maximal repeats with all their
+    occurrences. A gram with more than ``most_group`` distinct contexts is parted by longer keys (by what its windows have on one side, halved
+    again and again, nine times at most), until each part fits a tree. 4. Windows of words are counted by 64-bit hashes. 5. Spans
+    are united a document at a time and cut. Grams, contexts and texts that fill more than a thousandth of the rows are joined by broadcast."""
+    docs = df.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc", "text")
+    seen = staged(docs.mapInPandas(_scanned(length, passage), SCANNED.format(key=df.schema[key].dataType.simpleString())), "repeat-anchors")
+    texts = staged(seen.groupBy("sha", "n").agg(F.min("row").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "repeat-copies")
+    named = joined(seen.drop("text", "doc"), texts, ["sha", "n"], k="copies", how="left")
+    firsts = named.filter("first is null or first = row")
     each = firsts.select("row", F.explode(F.arrays_zip("hash", "place", "before", "after")).alias("x")).select("row", "x.*")
-    counts = each.groupBy("hash").agg(F.count("*").alias("k")).filter(F.col("k") > 1)
-    again = each.join(counts.select("hash", (F.col("k") > most_group).alias("hot")), "hash")
-    again = again.select("row", F.struct("hash", "hot", "place", "before", "after").alias("at"))
+    each = staged(each, "repeat-grams")
+    counts = staged(each.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1"), "repeat-counts")
+    again = joined(each, counts, ["hash"]).select("row", F.struct("hash", "place", "before", "after").alias("at"))
     alone = firsts.filter(F.size("sure") > 0).select("row", F.lit(None).cast(again.schema["at"].dataType).alias("at"))
-    again = again.unionByName(alone).groupBy("row").agg(F.collect_list("at").alias("at")).select("row", "at.hash", "at.hot", "at.place", "at.before", "at.after")
-    touched = staged(again.join(docs.select("row", "text"), "row"), "repeat-texts")
-    contexts = staged(touched.mapInPandas(_contexts, CONTEXTS), "repeat-contexts")
-
-    size = contexts.filter(~F.col("hot")).count()
-    buckets = max(1, size // 5_000)
-    cold = contexts.filter(~F.col("hot")).withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
-    spans = cold.groupBy("bucket").applyInPandas(_group_spans(length), "row long, start long, end long")
-    hot = contexts.filter("hot")
-    if not hot.isEmpty():
-        windows = hot.mapInPandas(_window_hashes(length), "w1 long, w2 long, row long, start long")
-        often = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("w1", "w2")
-        spans = spans.unionByName(windows.join(often, ["w1", "w2"]).select("row", "start", (F.col("start") + length).alias("end")))
+    again = again.unionByName(alone).groupBy("row").agg(F.collect_list("at").alias("at")).select("row", "at.hash", "at.place", "at.before", "at.after")
+    touched = staged(again.join(seen.select("row", "text"), "row"), "repeat-texts")
+    spans = _spans(staged(touched.mapInPandas(_contexts(length), CONTEXTS), "repeat-contexts"), length, most_group)
     own = firsts.filter(F.size("sure") > 0).select("row", F.explode(F.expr("transform(sequence(0, size(sure) div 2 - 1), i -> struct(sure[2 * i] as start, sure[2 * i + 1] as end))")).alias("s")).select("row", "s.start", "s.end")
     spans = spans.unionByName(own).groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     cut = touched.select("row", "text").join(spans, "row").mapInPandas(_removed, "row long, n_removed long, n_spans long, kept binary")
     cut = staged(cut.select("row", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha"), *(["kept"] if keep_bytes else [])), "repeat-cut")
-    out = seen.select("row", "doc", "n", "sha").join(texts, ["sha", "n"]).join(cut, "row", "left")
+
+    windows = staged(touched.mapInPandas(_windows(passage), "window long, row long, start long"), "repeat-windows")
+    often = windows.groupBy("window").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z")).filter("a <> z").select("window", "k")
+    shared = joined(windows, staged(often, "repeat-passages"), ["window"]).groupBy("row").agg(F.array_sort(F.collect_list("start")).alias("s"))
+    inside = F.expr(f"aggregate(sequence(1, size(s)), 0L, (n, i) -> n + if(i = size(s), {passage}, least({passage}, s[i] - s[i - 1])))")
+    out = named.select("row", "n", "n_words", "sha", "copies").join(seen.select("row", "doc"), "row").join(cut, "row", "left").join(shared.select("row", inside.alias("inside")), "row", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n") >= length)
     kept = [F.when(all_gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_bytes else []
     return out.select(
@@ -325,5 +379,6 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
         F.when(all_gone, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("cut_sha", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        F.when((F.col("copies") > 1) & (F.col("n_words") >= passage), F.col("n_words")).otherwise(F.coalesce("inside", F.lit(0))).alias("n_passage_words"),
         *kept,
     )
