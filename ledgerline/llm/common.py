@@ -36,16 +36,18 @@ def bounded_sample(df: DataFrame, key: str, most: int, n: int | None = None) ->
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(steps)) < max(1, steps * most // n))
 
 
-def most_frequent(counts: DataFrame, most: int) -> list[str]:
-    """The words of ``counts`` (word, n) with the highest counts, ``most`` at most; steps of an eighth of an octave of counts are taken whole. Only the chosen words come to the driver, and a number for each step before."""
-    counts = staged(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
-    room, least = most, None
-    for r in counts.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # 8 steps a doubling
-        room -= r["words"]
-        if room < 0:
+def most_frequent(words: DataFrame, most: int, counts: bool = False) -> list:
+    """The words of ``words`` (word, n) with the highest counts, ``most`` at most, in order; with ``counts`` as pairs. Steps of an eighth of an octave of counts are taken whole; of the step that has too many words, those whose hash is below a threshold for nine tenths of the room left. Only the chosen words come to the driver, and a number for each step before."""
+    parts = 1 << 20
+    steps = staged(words.withColumns({"step": F.floor(F.log2("n") * 8).cast("int"), "draw": F.pmod(F.xxhash64("word"), F.lit(parts))}), "word-counts")
+    room, least, below = most, 1 << 30, 0
+    for r in steps.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # 8 steps a doubling
+        if r["words"] > room:
+            least, below = r["step"] + 1, int(0.9 * room / r["words"] * parts)
             break
-        least = r["step"]
-    return [] if least is None else sorted(r["word"] for r in counts.filter(F.col("step") >= least).select("word").collect())
+        room, least = room - r["words"], r["step"]
+    got = steps.filter((F.col("step") >= least) | ((F.col("step") == least - 1) & (F.col("draw") < below))).select("word", "n").collect()
+    return sorted((r["word"], r["n"]) for r in got)[:most] if counts else sorted(r["word"] for r in got)[:most]
 
 
 def joined(df: DataFrame, counts: DataFrame, keys: list[str], k: str = "k", how: str = "inner", share: int = 1000) -> DataFrame:

@@ -112,7 +112,14 @@ def test_repeats(stored, hot):
         spans = int((np.diff(np.concatenate([[False], gone]).astype(int)) == 1).sum())
         kept = bytes(np.frombuffer(b, "u1")[~gone]) if len(b) else b""
         want.append((str(d), len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(stored, most_group=hot).collect()]
+    where = defaultdict(set)
+    words = [WORD.findall(b.decode()) for _, b in bodies]
+    for k, w in enumerate(words):
+        for i in range(len(w) - 50):
+            where[tuple(w[i : i + 51])].add(k)
+    for k, w in enumerate(words):
+        want[k] += (len({j for i in range(len(w) - 50) if len(where[tuple(w[i : i + 51])]) > 1 for j in range(i, i + 51)}),)
+    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in repeats.without_repeats(stored, most_group=hot).collect()]
     assert sorted(got) == sorted(want)
     assert repeats.without_repeats(stored.limit(0)).count() == 0
 
@@ -253,13 +260,13 @@ def test_language(spark):
 
 
 def test_language_model(spark, stored):
-    docs = stored.filter("doc_id is not null")
-    held = F.col("doc_id") % 10 == 0
-    texts = [(d, WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))) for d, t in rows_of(docs)]
+    docs = stored
+    held = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))
+    texts = [(-1 if d is None else d, WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))) for d, t in rows_of(docs)]
     counts = Counter(w for d, ws in texts if d % 10 for w in [*ws, ""])
     n, v = sum(counts.values()), len(counts)
     want = sorted((d, d % 10 == 0, len(ws) + 1, sum(counts[w] > 0 for w in [*ws, ""]), n, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*ws, ""])) for d, ws in texts)
-    got = sorted(tuple(r) for r in mixing.scores(docs, held).collect())
+    got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in mixing.scores(docs, held).collect())
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-6)
     assert all(g[6] < 0 for g in got)
@@ -280,23 +287,56 @@ def test_language_model_learns_what_follows(spark):
     assert math.isclose(got[0].bits_per_byte, -got[0].score * math.log2(10) / size, rel_tol=1e-9)
 
 
-def test_language_model_cuts_texts_anywhere():
-    rng = np.random.default_rng(2)
-    body = mixing._encoded(["".join(rng.choice(list("ab é"), 40)) for _ in range(30)] + ["x" * 500])
-    whole = mixing.Stream(20).contexts(np.frombuffer(body, np.uint8))
-    for step in (1, 7, 64):
-        stream = mixing.Stream(20)
-        parts = [stream.contexts(np.frombuffer(body[a : a + step], np.uint8)) for a in range(0, len(body), step)]
-        assert np.array_equal(np.concatenate(parts, axis=1), whole)
+def test_language_model_code():
+    weights = [5, 1, 1, 9, 30, 2]
+    code = mixing.Code(weights)
+    paths = {}
+    for k in range(len(weights)):
+        at = slice(code.offset[k], code.offset[k] + code.length[k])
+        paths[k] = tuple(zip(code.node[at].tolist(), code.bit[at].tolist(), strict=True))
+    assert sum(2.0 ** -len(p) for p in paths.values()) == 1
+    assert len({tuple(b for _, b in p) for p in paths.values()}) == len(weights) and len(paths[4]) == 1
+    # a node stands for the bits before it
+    before = {node: tuple(b for _, b in p[:k]) for p in paths.values() for k, (node, _) in enumerate(p)}
+    assert all(before[node] == tuple(b for _, b in p[:k]) for p in paths.values() for k, (node, _) in enumerate(p)) and len(before) == len(weights) - 1
     assert mixing.table_bits(30_000_000_000) > mixing.table_bits(25_000_000) > mixing.table_bits(1000)
 
 
-def test_language_model_learns_from_all_training_bits(spark):
+def test_language_model_against_plain_counts(spark):
+    """Counts, mixer and scores of a tiny table, each worked out bit by bit."""
     rng = np.random.default_rng(5)
-    texts = [" ".join(rng.choice(["one", "two", "three", "four"], 4000)) for _ in range(8)]
-    counts = spark.sparkContext.broadcast(np.ones(mixing.PREDICTORS << 16, np.uint32))
-    mixer = mixing.learnt_mixer(spark.createDataFrame([(t,) for t in texts], "text string"), counts, 16, 3)
-    assert mixer.taught.sum() == mixer.visits.sum() == 8 * sum(len(t) + 2 for t in texts)
+    texts = [rng.choice([2, 3, 4, 5], 30).tolist() + [mixing.END] for _ in range(4)]
+    code = mixing.Code([1, 4, 30, 20, 10, 5])
+    lengths = np.array([len(t) for t in texts])
+    flat = np.concatenate(texts)
+    contexts = mixing.token_contexts(flat, np.cumsum(lengths) - lengths, lengths)
+    seen, total = Counter(), 0.0
+    slow = []
+    for t in texts:
+        for k, item in enumerate(t):
+            last, before = (t[k - j] if k >= j else mixing.END for j in (1, 2))
+            for b in range(int(code.length[item])):
+                at = code.offset[item] + b
+                for c, ctx in enumerate(((), (last,), (last, before), (before,))):
+                    seen[c, ctx, int(code.node[at]), int(code.bit[at])] += 1
+                slow.append([(c, ctx, int(code.node[at]), int(code.bit[at])) for c, ctx in enumerate(((), (last,), (last, before), (before,)))])
+    counts = np.zeros(2 * (mixing.PREDICTORS << 16), np.uint32)
+    quick = []
+    for _, node, bit, at in mixing.planes(code, flat, contexts, 16):
+        np.add.at(counts, (2 * at + bit).ravel(), 1)
+        quick += [(a, int(b), int(n)) for a, b, n in zip(at.T.tolist(), bit, node, strict=True)]
+    assert len(quick) == len(slow)
+    for (at, bit, node), keys in zip(quick, slow, strict=True):
+        assert (node, bit) == keys[0][2:]
+        assert [int(counts[2 * a + bit]) for a in at] == [seen[k] for k in keys]
+    packed = counts[::2] << np.uint32(16) | counts[1::2]
+    ready, mixer = mixing.Ready(packed), mixing.Mixer()
+    for owner, node, bit, at in mixing.planes(code, flat, contexts, 16):
+        x, gate = ready.inputs(at, 16)
+        p = mixer.refined(node & 255, mixer.mixed(x, gate))
+        for j in range(len(owner)):
+            dot = sum(float(np.float32(0.2)) * math.log((seen[k[0], k[1], k[2], 1] + 0.05) / (seen[k[0], k[1], k[2], 0] + 0.05)) for k in slow[j])
+            assert math.isclose(p[j], 1 / (1 + math.exp(-dot)), abs_tol=5e-3)
 
 
 def test_language_model_spreads_words_with_one_head(spark):
