@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew where its scan would use a part of the cores only, as that of a single file does; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def fold(key: str | Column, n: int) -> Column:
     """``crc32(key as text) mod n``; a null key counts as the empty text."""
     key = F.col(key) if isinstance(key, str) else key

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, jaccard, langid, mixing, quality, repeats, secrets, sharding, topk
-from .common import fold, table
+from .common import fold, spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,26 +18,26 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return repeats.without_repeats(documents(spark, sf_dir))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     digest = bpe.digests(bpe.ship_lexicon(docs, path), path)
     return docs.select("doc_id", digest("text").alias("x")).select("doc_id", "x.*")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scans(table(spark, sf_dir, "documents"))
+    return secrets.scans(documents(spark, sf_dir))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     learnt = langid.train(docs.filter(fold("doc_id", 4) != 2).select("doc_id", "text", "lang"), langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
     lang = langid.identifier(spark, learnt)
     out = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), lang("text").alias("x"))
@@ -45,7 +49,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.scores(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+    return mixing.scores(documents(spark, sf_dir), fold("doc_id", 10) == 0)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +67,14 @@ def quality_weights(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     score = quality.scorer(spark, quality_weights(spark, docs, sf_dir))
     docs = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), score("text").alias("score"))
     return docs.withColumn("predicted", quality.predicted("score"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+    return jaccard.similar_groups(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_bpe, op4_secrets, op5_language, op6_decontaminate, op7_lm_scores, op8_sharding, op9_quality, op10_jaccard_join)}
