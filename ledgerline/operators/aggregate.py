@@ -46,6 +46,19 @@ def histogram(df: DataFrame, value: str, bounds=(10, 50, 100, 500, 1000, 5000))
     return counts.select(F.explode(F.array(*rows, F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n")))).alias("x")).select("x.*")
 
 
+def rates(df: DataFrame, keys: list[str], time: str = "ts", value: str = "value", bytes_each: int = 200) -> DataFrame:
+    """(keys, events, seconds, per_second, bytes_per_second, mean): events by the time they span, bytes estimated at ``bytes_each`` an event; no time gives rates of 0."""
+    seconds = (F.unix_micros(F.max(F.col(time).cast("timestamp"))) - F.unix_micros(F.min(F.col(time).cast("timestamp")))) / 1e6
+    out = df.groupBy(*keys).agg(F.count("*").alias("events"), seconds.alias("seconds"), F.avg(value).alias("mean"))
+    per = F.when(F.col("seconds") > 0, F.col("events") / F.col("seconds")).otherwise(0.0)
+    return out.select(*keys, "events", "seconds", per.alias("per_second"), (per * bytes_each).alias("bytes_per_second"), "mean")
+
+
+def json_metrics(metrics: DataFrame) -> DataFrame:
+    """One JSON object for each (name, labels, value)."""
+    return metrics.select(F.to_json(F.struct("name", "labels", "value")).alias("line"))
+
+
 def prometheus(metrics: DataFrame, prefix: str = "ledger") -> DataFrame:
     """One text line for each (name, labels, value)."""
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e.key, F.lit('="'), F.regexp_replace(e.value, '(["\\\\])', "\\\\$1"), F.lit('"'))), ",")

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.values import Field
 
+#: Fields of the envelope; all others are looked up in the data.
+ENVELOPE = ("id", "version", "collection", "project_id", "created_at", "updated_at")
 OPERATIONS = ("eq", "ne", "gt", "gte", "lt", "lte", "in")
 
 
-def where(field: str, op: str, value, data: str | Column = "data", envelope: tuple[str, ...] = ("id", "version")) -> Column:
-    """A condition that is never null. ``eq`` and ``ne`` mean same type and value, so that ``ne`` keeps rows without the field; ranges are for numbers alone; an unknown operation holds for no row."""
+def where(field: str, op: str, value, data: str | Column = "data", envelope: tuple[str, ...] = ENVELOPE) -> Column:
+    """A condition that is never null; an envelope field that the rows don't have is an error. ``eq`` and ``ne`` mean same type and value, so that ``ne`` keeps rows without the field; ranges are for numbers alone; an unknown operation holds for no row."""
     if op not in OPERATIONS:
         return F.lit(False)
     if field in envelope:
@@ -80,7 +82,13 @@ class Query:
     def order_by(self, field: str, direction: str = "asc") -> Query:
         if direction not in ("asc", "desc", ""):
             raise ValueError(f"unknown direction {direction!r}")
-        self.order += sort_keys(Field(self.data, field.removeprefix("data.")), direction == "desc")
+        descending = direction == "desc"
+        if field in ENVELOPE:
+            if field not in self.df.columns:
+                raise ValueError(f"these rows have no {field!r}")
+            self.order.append(F.desc_nulls_last(field) if descending else F.asc_nulls_first(field))
+        else:
+            self.order += sort_keys(Field(self.data, field.removeprefix("data.")), descending)
         return self
 
     def offset(self, n: int) -> Query:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chain_hash, payload_hash
@@ -103,6 +105,34 @@ def verification(log: DataFrame) -> DataFrame:
     return out.withColumn("ok", (F.col("bad_hashes") == 0) & (F.col("broken") == 0))
 
 
+def out_of_order(log: DataFrame, order: str, sequence: str = "sequence_number") -> DataFrame:
+    """Events whose number isn't above that of the event before them in ``order`` (unique whole numbers) of the whole log, with ``previous``."""
+    rows = last_before(log.withColumn("__all", F.lit(1)), ["__all"], order, F.col(sequence), "previous")
+    return rows.filter(F.col(sequence) <= F.col("previous")).drop("__all")
+
+
+def latest(log: DataFrame, n: int, project: str | None = None) -> DataFrame:
+    """The last n events, newest first: a top-k."""
+    rows = log if project is None else log.filter(F.col("project_id") == project)
+    return rows.orderBy(F.desc("sequence_number"), "project_id").limit(n)
+
+
+def progress(log: DataFrame, every: int = 1000) -> DataFrame:
+    """(project_id, processed, current_sequence, last_event_time): what a replay has seen after each ``every`` events and at its end. Sequence numbers are gapless; a replay that stops at a fault is that of ``sound_prefix``."""
+    step = F.floor((F.col("sequence_number") - 1) / every)
+    parts = log.groupBy("project_id", step.alias("__step")).agg(F.max("sequence_number").alias("processed"), F.max_by("ts", "sequence_number").alias("last_event_time"))
+    return parts.select("project_id", "processed", F.col("processed").alias("current_sequence"), "last_event_time")
+
+
+def handled(log: DataFrame, handler: Callable[[Row], None], project: str | None = None, from_sequence: int = 0) -> int:
+    """Calls ``handler`` with each event of a replay in order, a partition at a time on the driver, and returns how many. A handler for large logs should take frames (``foreachBatch``) instead."""
+    n = 0
+    for row in read_events(log, project, from_sequence).orderBy("project_id", "sequence_number").toLocalIterator():
+        handler(row)
+        n += 1
+    return n
+
+
 def sound_prefix(lines: DataFrame, line: str, bad: Column) -> DataFrame:
     """The lines of each project before its first bad one, as recovery after a torn write keeps them."""
     first = lines.filter(bad).groupBy("project_id").agg(F.min(line).alias("__first_bad"))

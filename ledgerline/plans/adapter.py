@@ -2,44 +2,74 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import chain_hash, payload_hash
 from ..operators.ordered import last_before, numbered
-from ..storage import staged
+from ..storage import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as the logs of four projects; user_id and value stay for the folds."""
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as the chained logs of four projects; user_id and value stay for the folds."""
     e = table(spark, sf_dir, "events")
     rows = e.select(
         F.concat(F.lit("tenant-"), (F.col("user_id") % 4).cast("string")).alias("project_id"), F.col("event_id").alias("arrival"), F.col("event_id").cast("string").alias("event_id"), "event_type", "user_id", "value", F.col("props").alias("payload"), "ts"
     )
-    return numbered(rows, ["project_id"], ["arrival"]).withColumn("payload_hash", payload_hash()).drop("arrival")
+    rows = numbered(rows, ["project_id"], ["arrival"]).withColumn("payload_hash", payload_hash()).drop("arrival")
+    rows = last_before(rows, ["project_id"], "sequence_number", chain_hash(), "previous_hash")
+    return rows.select("project_id", "sequence_number", "event_id", "event_type", "user_id", "value", "payload", "payload_hash", "previous_hash", "ts")
+
+
+_stored: dict[tuple, tuple[str, StructType]] = {}
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ingested`` as a stored table by project, its files in the order of numbers, so that filters on both prune. It is written once a session for a table's files; all queries scan it."""
+    key = (spark.sparkContext.applicationId, *sorted(table(spark, sf_dir, "events").inputFiles()))
+    if key not in _stored:
+        rows = ingested(spark, sf_dir)
+        path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+        rows.repartitionByRange("project_id", "sequence_number").sortWithinPartitions("project_id", "sequence_number").write.partitionBy("project_id").parquet(path)
+        _stored[key] = path, rows.schema
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = last_before(log(spark, sf_dir), ["project_id"], "sequence_number", chain_hash(), "previous_hash")
-    return staged(rows, "log")
+    return log(spark, sf_dir)
 
 
 def crud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log read as changes of users."""
     kind = F.create_map(*map(F.lit, ("signup", "created", "purchase", "updated", "click", "updated", "error", "deleted")))
     rows = log(spark, sf_dir).withColumns({"entity_id": F.col("user_id").cast("string"), "kind": kind[F.col("event_type")]}).filter("kind is not null")
-    return staged(rows.withColumn("event_type", F.concat(F.lit("user."), "kind")), "crud")
+    return rows.withColumn("event_type", F.concat(F.lit("user."), "kind"))
+
+
+def document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log read as document events with the payloads that applications write: content on create, updates on update."""
+    rows = crud(spark, sf_dir).withColumn("event_type", F.concat(F.lit("document."), "kind"))
+    one = F.struct(F.col("entity_id").alias("document_id"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("collection"), F.struct(F.parse_json("payload").alias("props"), F.col("sequence_number").alias("first")).alias("content"))
+    two = F.struct(F.col("entity_id").alias("document_id"), F.struct(F.parse_json("payload").alias("props"), F.col("sequence_number").alias("last")).alias("updates"))
+    three = F.struct(F.col("entity_id").alias("document_id"))
+    payload = F.when(F.col("kind") == "created", F.to_json(one)).when(F.col("kind") == "updated", F.to_json(two)).otherwise(F.to_json(three))
+    return rows.select("project_id", "sequence_number", "event_id", "event_type", payload.alias("payload"), payload_hash(payload).alias("payload_hash"), "ts")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``customer`` as entities with JSON data."""
     c = table(spark, sf_dir, "customer")
+    born = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("c_custkey") % 97)
     data = F.to_json(F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation")).alias("account"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_mktsegment")).alias("segment")))
-    return c.select(F.col("c_custkey").alias("id"), data.alias("data"), F.lit(False).alias("deleted"))
+    return c.select(F.col("c_custkey").alias("id"), data.alias("data"), F.lit(False).alias("deleted"), born.alias("created_at"), (F.col("c_custkey") % 5).alias("version"))
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +80,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The log as messages of streams named by type, and offsets committed by three groups."""
-    rows = staged(log(spark, sf_dir), "stream")
+    rows = log(spark, sf_dir)
     messages = rows.select("project_id", F.col("event_type").alias("stream"), F.col("sequence_number").alias("offset"), "ts", "value")
     commits = rows.filter("sequence_number % 50 = 0").select("project_id", F.col("event_type").alias("stream"), F.concat(F.lit("group-"), (F.col("user_id") % 3).cast("string")).alias("consumer_group"), F.col("sequence_number").alias("offset"), "sequence_number")
     return messages, commits

@@ -13,10 +13,9 @@ from ..operators.ordered import last_before
 
 def merged(changes: DataFrame, keys: list[str], payload: str = "payload", sequence: str = "sequence_number") -> DataFrame:
     """(keys, data): the JSON objects of each key merged in order, the later value of a top-level name winning; nested objects are replaced, JSON nulls kept. Names stand in their order."""
-    one = changes.select(*keys, F.col(sequence).alias("__at"), F.explode(F.json_object_keys(payload)).alias("__name"), F.col(payload).alias("__doc"))
-    # a name's value as JSON text
-    value = F.to_json(F.variant_get(F.parse_json("__doc"), "$", "map<string,variant>")[F.col("__name")])
-    last = one.groupBy(*keys, "__name").agg(F.max_by(value, "__at").alias("__value"))
+    names = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    one = changes.select(*keys, F.col(sequence).alias("__at"), F.explode(names).alias("__name", "__variant"))
+    last = one.groupBy(*keys, "__name").agg(F.max_by(F.to_json("__variant"), "__at").alias("__value"))
     pairs = F.array_sort(F.collect_list(F.concat(F.to_json(F.struct(F.col("__name").alias("n"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("__name").alias("n")))) - 6), F.lit(":"), F.coalesce("__value", F.lit("null")))))
     return last.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("data"))
 
@@ -40,30 +39,44 @@ def entities(log: DataFrame, entity_type: str, entity_id: str | Column = "entity
     return times.join(merged(kept, keys), keys, "left").select(*keys, F.coalesce("data", F.lit("{}")).alias("data"), "created_at", "updated_at", "version", "deleted", "last_sequence")
 
 
+def document_events(log: DataFrame) -> DataFrame:
+    """The log's document events as ``documents`` takes them, from payloads ``{document_id, collection, content}`` (created), ``{document_id, updates}`` (updated) and ``{document_id}``: document_id, collection, the content or updates as ``payload``, and ``invalid`` where a needed part is missing or empty."""
+    doc = F.try_parse_json("payload")
+    part = lambda name, kind="variant": F.try_variant_get(doc, f"$.{name}", kind)
+    rows = log.filter(F.col("event_type").rlike(r"^document\.(created|updated|deleted)$"))
+    named = rows.withColumns({"document_id": part("document_id", "string"), "collection": part("collection", "string"), "__content": F.to_json(part("content")), "__updates": F.to_json(part("updates"))})
+    empty = lambda c: F.coalesce(c, F.lit("")).isin("", "null")
+    created, updated = F.col("event_type") == "document.created", F.col("event_type") == "document.updated"
+    invalid = empty(F.col("document_id")) | (created & (empty(F.col("collection")) | empty(F.col("__content")))) | (updated & (empty(F.col("__updates")) | (F.col("__updates") == "{}")))
+    return named.withColumns({"invalid": F.coalesce(invalid, F.lit(True)), "payload": F.when(created, F.col("__content")).when(updated, F.col("__updates")).otherwise("{}")}).drop("__content", "__updates")
+
+
 def document_steps(log: DataFrame, document_id: str | Column = "document_id") -> DataFrame:
-    """The log's document events with ``kind`` (created, updated, deleted) and ``error``: a create of a live document, an update of a missing one. Deletes of missing ones are tolerated."""
+    """The log's document events with ``kind`` (created, updated, deleted) and ``error``: a create of a live document (exists), an update of a missing one (missing), or one marked ``invalid``, which changes nothing. Deletes of missing ones are tolerated."""
     kind = F.regexp_extract("event_type", r"^document\.(created|updated|deleted)$", 1)
     steps = log.withColumns({"id": F.col(document_id) if isinstance(document_id, str) else document_id, "kind": kind}).filter("kind <> ''")
-    steps = last_before(steps, ["project_id", "id"], "sequence_number", F.when(F.col("kind") != "updated", F.col("kind")), "__was")
+    wrong = F.col("invalid") if "invalid" in log.columns else F.lit(False)
+    steps = last_before(steps, ["project_id", "id"], "sequence_number", F.when((F.col("kind") != "updated") & ~wrong, F.col("kind")), "__was")
     live = F.coalesce(F.col("__was") == "created", F.lit(False))
-    error = F.when((F.col("kind") == "created") & live, "exists").when((F.col("kind") == "updated") & ~live, "missing")
+    error = F.when(wrong, "invalid").when((F.col("kind") == "created") & live, "exists").when((F.col("kind") == "updated") & ~live, "missing")
     return steps.withColumn("error", error).drop("__was")
 
 
 def documents(log: DataFrame, document_id: str | Column = "document_id", strict: bool = False) -> DataFrame:
-    """(project_id, id, content, created_at, updated_at, version, event_id) of the live documents; event_id is the creator's. Faulty steps are left out, or, if ``strict``, refused."""
+    """(project_id, id, content, created_at, updated_at, version, event_id) of the live documents, with their collection if the log has it; event_id is the creator's. Faulty steps are left out, or, if ``strict``, refused."""
     steps = document_steps(log, document_id)
     if strict and not steps.filter("error is not null").isEmpty():
-        raise ValueError("the log creates a live document or updates a missing one")
+        raise ValueError("the log has an invalid document event, creates a live document or updates a missing one")
     steps = steps.filter("error is null")
     keys = ["project_id", "id"]
     last = steps.groupBy(*keys).agg(F.max(F.when(F.col("kind") == "created", F.col("sequence_number"))).alias("__born"), F.max(F.when(F.col("kind") == "deleted", F.col("sequence_number"))).alias("__gone"))
     last = last.filter("__born is not null and (__gone is null or __gone < __born)").drop("__gone")
     now = steps.join(last, keys).filter("sequence_number >= __born")
+    collection = [F.min_by("collection", "sequence_number").alias("collection")] if "collection" in log.columns else []
     state = now.groupBy(*keys).agg(
-        F.min_by("ts", "sequence_number").alias("created_at"), F.max_by("ts", "sequence_number").alias("updated_at"), F.count("*").alias("version"), F.min_by("event_id", "sequence_number").alias("event_id")
+        *collection, F.min_by("ts", "sequence_number").alias("created_at"), F.max_by("ts", "sequence_number").alias("updated_at"), F.count("*").alias("version"), F.min_by("event_id", "sequence_number").alias("event_id")
     )
-    return state.join(merged(now, keys), keys, "left").select(*keys, F.coalesce("data", F.lit("{}")).alias("content"), "created_at", "updated_at", "version", "event_id")
+    return state.join(merged(now, keys), keys, "left").select(*keys, *(["collection"] if collection else []), F.coalesce("data", F.lit("{}")).alias("content"), "created_at", "updated_at", "version", "event_id")
 
 
 def user_fold(log: DataFrame, keys: list[str], init: Callable[[], dict], apply: Callable[[dict, dict], dict], schema: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..functions.values import Field
 from ..operators import aggregate, delivery, find, log, ordered
-from . import adapter, folds, views
+from ..functions import canonical
+from ..sources import files
+from ..storage import shared_dir
+from ..streaming import bridge
+from . import adapter, folds, snapshots, store, views
 from .adapter import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,7 +86,14 @@ def log_segments(spark, d):
     return out.select("segment.project_id", "segment.segment", "first_sequence", "last_sequence", "events")
 
 
-@query()
+#: CRC-32 of ``text``, bit by bit, since DuckDB has none.
+CRC = """CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS UBIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * CAST(3988292384 AS UBIGINT)))), CAST(4294967295 AS UBIGINT)) AS BIGINT)"""
+
+
+@query(f"""WITH {LOG}, c AS (SELECT text, {CRC} AS crc FROM (SELECT DISTINCT payload AS text FROM log))
+SELECT project_id || ':' || ((sequence_number - 1) // 500) AS segment, min(sequence_number) AS first_sequence, max(sequence_number) AS last_sequence, count(*) AS events, bit_xor(crc) AS checksum
+FROM log JOIN c ON payload = text GROUP BY 1""")
 def log_segment_checksums(spark, d):
     return log.segments(adapter.log(spark, d), F.expr("concat(project_id, ':', (sequence_number - 1) div 500)"))
 
@@ -141,14 +153,22 @@ def replay_except(spark, d):
     return log.same_replays(one, one.filter("sequence_number % 500 <> 7"))
 
 
-@query()
+@query(f"""WITH {LOG}, h AS (SELECT project_id, sha256('{{"payload":"' || replace(payload, '"', '\\"') || '","project_id":"' || project_id || '","sequence_number":' || sequence_number || '}}') AS h FROM log)
+SELECT project_id, count(*) AS "rows", sha256(concat_ws(':', count(*), sum(CAST('0x' || substr(h, 1, 15) AS UBIGINT)), sum(CAST('0x' || substr(h, 16, 15) AS UBIGINT)))) AS state_hash FROM h GROUP BY project_id""")
 def replay_state_hash(spark, d):
     return log.state_hash(adapter.log(spark, d).select("project_id", "sequence_number", "payload"), ["project_id"])
 
 
-@query(f"WITH {LOG} SELECT count(*) AS events, 0 AS faulty FROM log")
+@query(f"""WITH {LOG}, f AS (SELECT project_id, unnest([CASE WHEN sequence_number % 50 = 0 THEN 'event_type' END, CASE WHEN sequence_number % 70 = 0 THEN 'payload' END, CASE WHEN sequence_number % 70 = 0 OR sequence_number % 90 = 0 THEN 'payload_hash' END]) AS fault FROM log)
+SELECT project_id, fault, count(*) AS events FROM f WHERE fault IS NOT NULL GROUP BY ALL""")
 def validate_events(spark, d):
-    return log.faults(adapter.log(spark, d)).agg(F.count("*").alias("events"), F.count_if(F.size("faults") > 0).cast("int").alias("faulty"))
+    at = F.col("sequence_number")
+    torn = adapter.log(spark, d).withColumns({
+        "event_type": F.when(at % 50 == 0, "two words").otherwise(F.col("event_type")),
+        "payload": F.when(at % 70 == 0, F.lit("{")).otherwise(F.col("payload")),
+        "payload_hash": F.when(at % 90 == 0, F.lit("0")).otherwise(F.col("payload_hash")),
+    })
+    return log.faults(torn).select("project_id", F.explode("faults").alias("fault")).groupBy("project_id", "fault").agg(F.count("*").alias("events"))
 
 
 # --- predicates, order and paging
@@ -246,10 +266,11 @@ def histogram_buckets(spark, d):
     return aggregate.histogram(table(spark, d, "events"), "value")
 
 
-@query("SELECT count(*) AS documents, count(DISTINCT source) AS collections, max(doc_id) AS last_updated FROM documents")
+@query("""SELECT count(*) AS documents, count(DISTINCT source) AS collections, max(doc_id) AS last_updated,
+CAST(sum(octet_length(encode('{"doc_id":' || doc_id || coalesce(',"collection":"' || source || '"', '') || ',"updated_at":' || doc_id || '}'))) AS BIGINT) AS bytes FROM documents""")
 def store_stats(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("collection"), F.col("doc_id").alias("updated_at"))
-    return aggregate.store_stats(docs).select("documents", "collections", "last_updated")
+    return aggregate.store_stats(docs).select("documents", "collections", "last_updated", "bytes")
 
 
 @query("SELECT source AS collection, count(*) AS documents FROM documents GROUP BY source")
@@ -257,7 +278,7 @@ def documents_per_collection(spark, d):
     return aggregate.collections(table(spark, d, "documents").withColumnRenamed("source", "collection"))
 
 
-@query()
+@query(f"""WITH {LOG} SELECT 'ledger_events_total{{project="' || project_id || '",type="' || event_type || '"}} ' || count(*) AS line FROM log GROUP BY project_id, event_type""")
 def prometheus_metrics(spark, d):
     counts = adapter.log(spark, d).groupBy("project_id", "event_type").agg(F.count("*").alias("value"))
     return aggregate.prometheus(counts.select(F.lit("events_total").alias("name"), F.create_map(F.lit("project"), "project_id", F.lit("type"), "event_type").alias("labels"), "value"))
@@ -334,10 +355,40 @@ def last_100_per_type(spark, d):
     return views.last_per_type(adapter.log(spark, d)).select("project_id", "event_type", "sequence_number", "payload")
 
 
-@query()
+@query(f"""WITH {LOG}, t AS (SELECT project_id, count(*) AS event_count FROM log GROUP BY project_id),
+k AS (SELECT project_id, event_type, sequence_number, payload FROM log QUALIFY row_number() OVER (PARTITION BY project_id, event_type ORDER BY sequence_number DESC) <= 100)
+SELECT k.*, event_count FROM k JOIN t USING (project_id)""")
 def snapshot(spark, d):
-    rows = views.snapshot(adapter.log(spark, d))
-    return rows.select("project_id", "event_count", "last_sequence", F.to_json("data").alias("data"))
+    rows = views.snapshot(adapter.log(spark, d)).select("project_id", "event_count", F.explode("data").alias("event_type", "events"))
+    return rows.select("project_id", "event_count", "event_type", F.explode("events").alias("e")).select("project_id", "event_count", "event_type", "e.sequence_number", "e.payload")
+
+
+def _two_snapshots(spark, d):
+    """The log, and where its states up to 200 and up to 500 are written."""
+    rows, path = adapter.log(spark, d), f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    snapshots.write(rows, path, "early", "2024-01-01 00:00:00", 200)
+    snapshots.write(rows, path, "late", "2024-02-01 00:00:00", 500)
+    return rows, path
+
+
+@query(f"""WITH {LOG}, s AS (SELECT unnest(['early', 'late']) AS snapshot_id, unnest([200, 500]) AS up_to)
+SELECT snapshot_id, CAST(up_to AS BIGINT) AS up_to, count(DISTINCT project_id) AS tenants, count(*) AS events FROM log JOIN s ON sequence_number <= up_to GROUP BY ALL""")
+def snapshot_list(spark, d):
+    return snapshots.listed(spark, _two_snapshots(spark, d)[1]).drop("created_at")
+
+
+@query(f"WITH {LOG} SELECT project_id, count(*) AS event_count, max_by(ts, sequence_number) AS last_event_at, max(sequence_number) AS last_sequence FROM log GROUP BY project_id")
+def snapshot_restore(spark, d):
+    """The newest snapshot, carried on by the events after it."""
+    rows, path = _two_snapshots(spark, d)
+    return snapshots.restore(spark, path, snapshots.latest(spark, path), rows)
+
+
+@query(f"WITH {LOG} SELECT project_id, least(count(*), 200) AS events_one, count(*) FILTER (sequence_number <= 200 AND sequence_number % 7 <> 0) AS events_two FROM log GROUP BY project_id")
+def snapshot_faults(spark, d):
+    """A snapshot held against a log that has lost every seventh event."""
+    rows, path = _two_snapshots(spark, d)
+    return snapshots.faults(spark, path, "early", rows.filter("sequence_number % 7 <> 0"))
 
 
 @query(f"WITH {LOG} SELECT project_id, count(*) AS events_one, count(*) FILTER (sequence_number <= 200) AS events_two FROM log GROUP BY project_id HAVING count(*) > 200")
@@ -360,16 +411,16 @@ def dedupe_receipt_lookup(spark, d):
     return delivery.known_receipts(events.filter("event_type = 'purchase'"), receipts)
 
 
-@query(f"WITH {DELIVERIES} SELECT stream_id, velocity_seq, event_type FROM e WHERE velocity_seq % 5 = 0 AND velocity_seq % 10 <> 0")
+@query(f"WITH {DELIVERIES} SELECT stream_id, velocity_seq, event_type FROM e WHERE velocity_seq % 10 <> 0")
 def pending_minus_tombstones(spark, d):
     events, _ = adapter.deliveries(spark, d)
-    return delivery.pending(events.filter("velocity_seq % 5 = 0"), events.filter("velocity_seq % 10 = 0"))
+    return delivery.pending(events, events.filter("velocity_seq % 10 = 0"))
 
 
-@query(f"WITH {DELIVERIES} SELECT stream_id, velocity_seq, event_type, CASE WHEN velocity_seq % 4 <> 0 THEN 'skip' ELSE 'redeliver' END AS action FROM e WHERE velocity_seq % 6 = 0")
+@query(f"WITH {DELIVERIES} SELECT stream_id, velocity_seq, event_type, CASE WHEN velocity_seq % 4 <> 0 THEN 'skip' ELSE 'redeliver' END AS action FROM e")
 def recovery_classify(spark, d):
     events, receipts = adapter.deliveries(spark, d)
-    return delivery.recovery(events.filter("velocity_seq % 6 = 0"), receipts)
+    return delivery.recovery(events, receipts)
 
 
 GATE = """g AS (SELECT 'stream-' || (user_id % 8) AS stream_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n, event_id AS arrival, event_type <> 'view' OR user_id % 8 < 6 AS real FROM events),
@@ -428,6 +479,241 @@ def tenant_usage(spark, d):
     return views.usage(adapter.stream(spark, d)[1])
 
 
+# --- what applications write
+
+
+STEPS = CRUD + """, w AS (SELECT *, last_value(CASE WHEN k <> 'u' THEN k END IGNORE NULLS) OVER (PARTITION BY project_id, id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM crud),
+ok AS (SELECT * FROM w WHERE NOT (k = 'c' AND was IS NOT DISTINCT FROM 'c') AND NOT (k = 'u' AND was IS DISTINCT FROM 'c')),
+b AS (SELECT project_id, id, max(s) FILTER (k = 'c') AS born, max(s) FILTER (k = 'd') AS gone FROM ok GROUP BY ALL),
+live AS (SELECT project_id, id, 'c' || (CAST(id AS BIGINT) % 3) AS collection, min(s) AS first, max(s) FILTER (k = 'u') AS last, CAST(max_by(json_extract_string(payload, '$.k'), s) AS BIGINT) AS k, count(*) AS version
+  FROM ok JOIN b USING (project_id, id) WHERE born IS NOT NULL AND (gone IS NULL OR gone < born) AND s >= born GROUP BY project_id, id)"""
+
+
+def _number(name):
+    return F.get_json_object("content", f"$.{name}").cast("long")
+
+
+@query(f"WITH {STEPS} SELECT project_id, id, collection, k, first, last, version FROM live")
+def document_payloads(spark, d):
+    """Documents from events that carry content and updates."""
+    out = folds.documents(folds.document_events(adapter.document_log(spark, d)))
+    return out.select("project_id", "id", "collection", _number("props.k").alias("k"), _number("first").alias("first"), _number("last").alias("last"), "version")
+
+
+@query(f"WITH {STEPS} SELECT project_id, id, collection, k, version FROM live")
+def document_store(spark, d):
+    """The same changes, made through the document store: appended to a new log, numbered there, and folded."""
+    rows = adapter.crud(spark, d)
+    kept = store.TableStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    kept.create(spark.createDataFrame([], "project_id string, sequence_number long, event_id string, event_type string, payload string, payload_hash string, previous_hash string, ts timestamp, metadata map<string,string>"))
+    changes = rows.select("project_id", "kind", F.col("entity_id").alias("document_id"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("collection"), F.col("payload").alias("body"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("arrival"))
+    docs = store.Documents(kept)
+    docs.apply(changes)
+    return docs.state().select("project_id", "id", "collection", _number("k").alias("k"), "version")
+
+
+@query(f"WITH {STEPS} SELECT project_id, collection, count(*) AS documents FROM live WHERE project_id = 'tenant-1' GROUP BY ALL")
+def document_collections(spark, d):
+    docs = folds.documents(folds.document_events(adapter.document_log(spark, d))).filter("project_id = 'tenant-1'")
+    return docs.groupBy("project_id", "collection").agg(F.count("*").alias("documents"))
+
+
+@query(f"""WITH {CRUD}, x AS (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY s DESC) AS n FROM crud WHERE k <> 'u')
+SELECT project_id, id, 'c' || (CAST(id AS BIGINT) % 3) AS collection, s AS first FROM x WHERE n = 1 AND k = 'c'""")
+def console_documents(spark, d):
+    return views.console_documents(adapter.document_log(spark, d)).select("project_id", "id", "collection", F.get_json_object("content", "$.first").cast("long").alias("first"))
+
+
+@query(f"WITH {CRUD} SELECT s AS sequence_number, project_id, CASE k WHEN 'c' THEN 'DOCUMENT_CREATED' WHEN 'u' THEN 'DOCUMENT_UPDATED' ELSE 'DOCUMENT_DELETED' END AS action, id AS entity FROM crud ORDER BY s DESC, project_id LIMIT 500")
+def console_audit_latest(spark, d):
+    return views.audit(adapter.document_log(spark, d)).limit(500).select("sequence_number", "project_id", "action", "entity")
+
+
+def _console(spark, d):
+    """The log as what a console writes: messages (some without a stream), files and alerts."""
+    name = F.create_map(*map(F.lit, ("click", "message.published", "purchase", "file.uploaded", "error", "alert.created")))
+    rows = adapter.log(spark, d)
+    message = F.to_json(F.struct(F.col("event_id").alias("message_id"), F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("s"), F.col("user_id") % 5)).alias("stream"), F.lit("hello").alias("payload"), F.col("sequence_number").alias("published_at")))
+    upload = F.to_json(F.struct(F.col("event_id").alias("file_id"), F.lit("a.txt").alias("name"), (F.col("user_id") * 10).alias("size"), F.lit("text/plain").alias("type"), F.col("sequence_number").alias("uploaded_at")))
+    alert = F.to_json(F.struct(F.col("event_id").alias("rule_id"), F.col("event_type").alias("source"), F.lit("k").alias("conditionField"), F.col("user_id").alias("conditionValue"), F.lit("notify").alias("action")))
+    kind = F.coalesce(name[F.col("event_type")], F.col("event_type"))
+    return rows.withColumns({"payload": F.when(kind == "message.published", message).when(kind == "file.uploaded", upload).when(kind == "alert.created", alert).otherwise(F.col("payload")), "event_type": kind})
+
+
+@query(f"WITH {LOG} SELECT project_id, event_id AS id, CASE WHEN user_id % 3 <> 0 THEN 's' || (user_id % 5) END AS stream, sequence_number AS \"offset\" FROM log WHERE event_type = 'click'")
+def console_messages(spark, d):
+    return views.messages(_console(spark, d)).select("project_id", "id", "stream", "offset")
+
+
+@query(f"WITH {LOG} SELECT project_id, event_id AS id, user_id * 10 AS size, CAST(sequence_number AS VARCHAR) AS uploaded_at FROM log WHERE event_type = 'purchase'")
+def console_files(spark, d):
+    return views.files(_console(spark, d)).select("project_id", "id", "size", "uploaded_at")
+
+
+@query(f"WITH {LOG} SELECT project_id, event_id AS id, event_type AS source, CAST(user_id AS VARCHAR) AS condition_value, TRUE AS active FROM log WHERE event_type = 'error'")
+def console_alerts(spark, d):
+    return views.alerts(_console(spark, d)).select("project_id", "id", "source", "condition_value", "active")
+
+
+@query(f"""WITH {LOG} SELECT project_id, count(*) AS events, count(*) FILTER (event_type = 'click') AS messages, count(*) FILTER (event_type = 'purchase') AS files,
+CAST(coalesce(sum(user_id * 10) FILTER (event_type = 'purchase'), 0) AS BIGINT) AS file_bytes FROM log GROUP BY project_id""")
+def dashboard(spark, d):
+    return views.dashboard(_console(spark, d)).drop("documents")
+
+
+@query(f"""WITH {CRUD}, b AS (SELECT project_id, id, max(s) AS born FROM crud WHERE k = 'c' GROUP BY ALL)
+SELECT project_id, id FROM crud JOIN b USING (project_id, id) WHERE s >= born GROUP BY project_id, id HAVING NOT bool_or(k = 'd')""")
+def live_entities(spark, d):
+    """Entities with a tombstone don't show."""
+    return find.Query(folds.entities(adapter.crud(spark, d), "user")).rows().select("project_id", "id")
+
+
+@query(f"WITH {LOG} SELECT project_id, count(*) AS event_count, max(sequence_number) AS last_sequence FROM log GROUP BY project_id")
+def projection_rebuild(spark, d):
+    """A projection of half the log, then rebuilt for one project after the other from the whole."""
+    rows, kept = adapter.log(spark, d), store.Projections()
+    kept.register("state", views.tenant_state)
+    kept.rebuild(rows.filter("sequence_number <= 100"))
+    for k in range(4):
+        kept.rebuild(rows, "state", f"tenant-{k}")
+    return kept.get("state").select("project_id", "event_count", "last_sequence")
+
+
+# --- order by the envelope and by mixed values
+
+
+@query("SELECT c_custkey AS id, c_custkey % 5 AS version FROM customer ORDER BY c_custkey % 5 DESC, c_custkey % 97, c_custkey LIMIT 50 OFFSET 10")
+def find_sorted_envelope(spark, d):
+    return find.Query(adapter.customers(spark, d)).order_by("version", "desc").order_by("created_at").offset(10).limit(50).rows().select("id", "version")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 5 >= 3 AND 1700000000 + c_custkey % 97 < 1700000040")
+def find_by_envelope(spark, d):
+    q = find.Query(adapter.customers(spark, d)).where("version", "gte", 3).where("created_at", "lt", F.timestamp_seconds(F.lit(1_700_000_040)))
+    return q.rows().select("id")
+
+
+@query("""SELECT id, place FROM (SELECT c_custkey AS id, row_number() OVER (ORDER BY CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END,
+CASE c_custkey % 4 WHEN 1 THEN CAST(c_custkey % 8 = 1 AS INTEGER) WHEN 2 THEN c_acctbal ELSE 0 END, CASE WHEN c_custkey % 4 = 3 THEN c_name END, c_custkey) - 1 AS place FROM customer)""")
+def find_sorted_mixed(spark, d):
+    """Missing values, then false and true, numbers and texts."""
+    c, key = table(spark, d, "customer"), F.col("c_custkey") % 4
+    mixed = F.when(key == 1, F.when(F.col("c_custkey") % 8 == 1, "true").otherwise("false")).when(key == 2, F.col("c_acctbal").cast("string")).when(key == 3, F.concat(F.lit('"'), "c_name", F.lit('"')))
+    docs = c.select(F.col("c_custkey").alias("id"), F.coalesce(F.concat(F.lit('{"m":'), mixed, F.lit("}")), F.lit("{}")).alias("data"))
+    return ordered.ranked(docs, [*find.sort_keys(Field("data", "m")), F.asc("id")], "place").select("id", "place")
+
+
+# --- more of the log, of delivery and of the functions
+
+
+@query("SELECT event_id, user_id, q AS previous FROM (SELECT *, lag(user_id) OVER (ORDER BY event_id) AS q FROM events) WHERE user_id <= q")
+def log_out_of_order(spark, d):
+    return log.out_of_order(table(spark, d, "events").select("event_id", "user_id"), "event_id", "user_id").select("event_id", "user_id", "previous")
+
+
+@query(f"WITH {LOG} SELECT project_id, sequence_number, event_type FROM log ORDER BY sequence_number DESC, project_id LIMIT 25")
+def log_latest(spark, d):
+    return log.latest(adapter.log(spark, d), 25).select("project_id", "sequence_number", "event_type")
+
+
+@query(f"WITH {LOG} SELECT project_id, max(sequence_number) AS processed, max(sequence_number) AS current_sequence, max_by(ts, sequence_number) AS last_event_time FROM log GROUP BY project_id, (sequence_number - 1) // 1000")
+def replay_progress(spark, d):
+    return log.progress(adapter.log(spark, d))
+
+
+@query(f"""WITH {LOG}, r AS (SELECT project_id, count(*) AS events, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds, avg(value) AS mean FROM log GROUP BY project_id)
+SELECT project_id, events, round(seconds, 3) AS seconds, round(events / seconds, 9) AS per_second, round(events / seconds * 200, 6) AS bytes_per_second, round(mean, 6) AS mean FROM r""")
+def log_rates(spark, d):
+    out = aggregate.rates(adapter.log(spark, d), ["project_id"])
+    return out.select("project_id", "events", *(F.round(c, n).alias(c) for c, n in (("seconds", 3), ("per_second", 9), ("bytes_per_second", 6), ("mean", 6))))
+
+
+@query(f"""WITH {LOG}, b AS (SELECT project_id, epoch_us(ts) - sequence_number AS base FROM log WHERE sequence_number = 1000)
+SELECT project_id, sequence_number, greatest(max(epoch_us(ts) - sequence_number) OVER (PARTITION BY project_id ORDER BY sequence_number), base) + sequence_number AS micros
+FROM log JOIN b USING (project_id) WHERE sequence_number > 1000""")
+def append_times(spark, d):
+    """Appended events get times that rise by a microsecond at least."""
+    whole = adapter.log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    new = whole.filter("sequence_number > 1000").select("project_id", "event_type", "payload", "ts", F.col("sequence_number").alias("arrival"), "event_id")
+    return log.append(whole.filter("sequence_number <= 1000"), new).select("project_id", "sequence_number", F.unix_micros("ts").alias("micros"))
+
+
+SIZED = LOG + """, z AS (SELECT *, octet_length(encode(payload)) + length(project_id) + length(event_type) + 32 AS size FROM log),
+y AS (SELECT *, (sum(size) OVER (PARTITION BY project_id ORDER BY sequence_number) - size) // 50000 AS segment FROM z)"""
+
+
+@query(f"WITH {SIZED} SELECT project_id, CAST(segment AS BIGINT) AS segment, min(sequence_number) AS first_sequence, max(sequence_number) AS last_sequence, count(*) AS events, CAST(64 + sum(size - 0) AS BIGINT) AS bytes FROM y GROUP BY ALL")
+def segments_sealed(spark, d):
+    return files.sealed(adapter.log(spark, d), 50_000, version=1).drop("content")
+
+
+@query(f"WITH {LOG} SELECT project_id, sequence_number, event_type, payload FROM log")
+def segments_decoded(spark, d):
+    """Written as sealed segments and read back."""
+    path = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    files.write_segments(adapter.log(spark, d), path, 200_000)
+    return files.read_sealed(spark.read.parquet(path)).select("project_id", "sequence_number", "event_type", "payload")
+
+
+@query(f"WITH {LOG} SELECT project_id, sequence_number, event_type, ts FROM log WHERE sequence_number BETWEEN 300 AND 900 AND event_type IN ('click', 'error')")
+def segments_filtered(spark, d):
+    out = files.read_sealed(files.sealed(adapter.log(spark, d), 50_000, version=1), 300, 900, ["click", "error"])
+    return out.select("project_id", "sequence_number", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"WITH {DELIVERIES} SELECT stream_id, velocity_seq, event_type FROM e WHERE velocity_seq % 3 <> 0 ORDER BY stream_id, velocity_seq")
+def pending_ordered(spark, d):
+    events, _ = adapter.deliveries(spark, d)
+    return delivery.pending_in_order(events, events.filter("velocity_seq % 3 = 0"))
+
+
+@query(f"WITH {DELIVERIES} SELECT DISTINCT velocity_seq FROM r WHERE stream_id = 'stream-3'")
+def delivered_numbers(spark, d):
+    return delivery.delivered_numbers(adapter.deliveries(spark, d)[1], "stream-3")
+
+
+@query(f"WITH {DELIVERIES} SELECT stream_id, velocity_seq, event_type, CASE WHEN velocity_seq % 4 <> 0 THEN velocity_seq * 2 END AS wal_sequence FROM e")
+def original_receipts(spark, d):
+    """A second receipt for some events; each gets its first."""
+    events, receipts = adapter.deliveries(spark, d)
+    return delivery.with_receipts(events, receipts.unionByName(receipts.filter("velocity_seq % 3 = 0").withColumn("wal_sequence", F.col("wal_sequence") + 1)))
+
+
+@query(f"""WITH {DELIVERIES}, c AS (SELECT r.*, velocity_seq || ':' || stream_id || ':' || wal_sequence || ':' || event_type AS text FROM r)
+SELECT stream_id, velocity_seq, wal_sequence, {CRC} AS checksum FROM c WHERE velocity_seq % 11 <> 0""")
+def receipt_registry(spark, d):
+    """Receipts that were written twice, some with a wrong checksum."""
+    _, r = adapter.deliveries(spark, d)
+    r = r.withColumn("checksum", hashing.receipt_checksum() + F.when(F.col("velocity_seq") % 11 == 0, 1).otherwise(0))
+    return bridge.registry(r.unionByName(r)).select("stream_id", "velocity_seq", "wal_sequence", "checksum")
+
+
+@query(f"""WITH {GATE}, s AS (SELECT stream_id, n, CASE WHEN NOT real THEN 'transient' WHEN stop IS NULL OR n < stop THEN 'accepted' ELSE 'gap' END AS status FROM g LEFT JOIN f USING (stream_id)
+UNION ALL SELECT stream_id, n, CASE WHEN NOT real THEN 'transient' WHEN stop IS NULL OR n < stop THEN 'duplicate' ELSE 'gap' END FROM g LEFT JOIN f USING (stream_id) WHERE n % 10 = 0)
+SELECT stream_id, count(*) AS received, count(*) FILTER (status = 'accepted') AS delivered, count(*) FILTER (status IN ('transient', 'gap')) AS rejected, count(*) FILTER (status = 'duplicate') AS duplicates,
+max(n) FILTER (status = 'accepted') AS last_crossed, CAST(0 AS BIGINT) AS buffered FROM s GROUP BY stream_id""")
+def bridge_metrics(spark, d):
+    return delivery.metrics(bridge_gate(spark, d))
+
+
+@query("""SELECT o_orderkey, format('{:016x}', o_orderkey) || left(o_orderpriority, 8) AS sortable, o_orderkey AS decoded, 'doc_' || o_orderkey || '_' || left(o_orderpriority, 8) AS document, least(100 * pow(2, o_orderkey % 12), 30000)::BIGINT AS wait,
+round(o_orderkey / 1024, 2) AS kb, coalesce(CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END, '__null__') AS index_key, epoch_us(o_orderdate) AS micros FROM orders""")
+def function_values(spark, d):
+    o = table(spark, d, "orders")
+    sortable = hashing.sortable_id("o_orderkey", "o_orderpriority")
+    return o.select(
+        "o_orderkey", sortable.alias("sortable"), hashing.sortable_id_time(sortable).alias("decoded"), hashing.document_id("o_orderkey", "o_orderpriority").alias("document"), hashing.backoff_ms(100, F.col("o_orderkey") % 12).alias("wait"),
+        hashing.kilobytes("o_orderkey").alias("kb"), hashing.index_key(F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey"))).alias("index_key"), hashing.micros(F.col("o_orderdate").cast("timestamp")).alias("micros"),
+    )
+
+
+@query("""SELECT event_id, '{"a":{"user":' || user_id || ',"z":null},"k":' || json_extract_string(props, '$.k') || ',"t":"\\u003c' || event_type || '\\u003e"}' AS canonical FROM events""")
+def canonical_payloads(spark, d):
+    """Keys out of order, blanks and characters that are escaped."""
+    text = F.concat(F.lit('{"t": "<'), "event_type", F.lit('>", "k": '), F.get_json_object("props", "$.k"), F.lit(', "a" : {"z":null,"user":'), F.col("user_id").cast("string"), F.lit(".0}}"))
+    return table(spark, d, "events").select("event_id", canonical.canonical_json(text).alias("canonical"))
+
+
 # --- what Spark adds to the reference's operations
 
 

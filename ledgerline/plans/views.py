@@ -88,12 +88,22 @@ def offsets(commits: DataFrame) -> DataFrame:
     return commits.groupBy("project_id", "stream", "consumer_group").agg(F.max_by("offset", "sequence_number").alias("committed"))
 
 
-def lag(stream: DataFrame, commits: DataFrame) -> DataFrame:
-    """(project_id, stream, consumer_group, committed, waiting): messages behind each group's offset. Both sides are counted or joined by stream, whose heads are few."""
-    groups = offsets(commits)
-    waiting = stream.select("project_id", "stream", "offset").join(groups, ["project_id", "stream"]).filter(F.col("offset") > F.col("committed"))
-    counted = waiting.groupBy("project_id", "stream", "consumer_group").agg(F.count("*").alias("waiting"))
-    return groups.join(counted, ["project_id", "stream", "consumer_group"], "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
+def lag(stream: DataFrame, commits: DataFrame, block: int = 65_536) -> DataFrame:
+    """(project_id, stream, consumer_group, committed, waiting): messages behind each group's offset.
+
+    Messages are counted by blocks of ``block`` offsets, with map-side combine; whole blocks behind an offset are summed from those counts, and only the messages of the
+    blocks that hold an offset, one a group, are looked at one by one."""
+    keys = ["project_id", "stream"]
+    groups = offsets(commits).withColumn("__block", F.floor(F.col("committed") / block))
+    rows = stream.select(*keys, "offset", F.floor(F.col("offset") / block).alias("__block"))
+    counts = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__n"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("__block"))
+    behind = counts.select(*keys, "__block", F.sum("__n").over(later).alias("__sum"))
+    whole = groups.join(behind.withColumnRenamed("__block", "__from"), keys, "left").filter(F.col("__from") > F.col("__block"))
+    whole = whole.groupBy(*keys, "consumer_group").agg(F.max("__sum").alias("__whole"))
+    part = rows.join(groups, [*keys, "__block"]).filter(F.col("offset") > F.col("committed")).groupBy(*keys, "consumer_group").agg(F.count("*").alias("__part"))
+    out = groups.drop("__block").join(whole, [*keys, "consumer_group"], "left").join(part, [*keys, "consumer_group"], "left")
+    return out.select(*keys, "consumer_group", "committed", (F.coalesce("__whole", F.lit(0)) + F.coalesce("__part", F.lit(0))).alias("waiting"))
 
 
 def replay(stream: DataFrame, name: str | None = None, from_offset: int | None = None, from_time=None) -> DataFrame:
@@ -108,5 +118,18 @@ def rate_violations(log: DataFrame, most_per_second: int) -> DataFrame:
     return per.filter(F.col("events") > most_per_second)
 
 
+def dashboard(log: DataFrame) -> DataFrame:
+    """(project_id, events, documents, messages, files, file_bytes): what a console's start page sums up."""
+    kind = lambda name: F.count_if(F.col("event_type") == name)
+    size = F.when(F.col("event_type") == "file.uploaded", field("size").cast("long"))
+    return log.groupBy("project_id").agg(
+        F.count("*").alias("events"),
+        (kind("document.created") - kind("document.deleted")).alias("documents"),
+        kind("message.published").alias("messages"),
+        kind("file.uploaded").alias("files"),
+        F.coalesce(F.sum(size), F.lit(0)).alias("file_bytes"),
+    )
+
+
 def usage(stream: DataFrame) -> DataFrame:
     return stream.groupBy("project_id").agg(F.countDistinct("stream").alias("streams"), F.countDistinct("consumer_group").alias("groups"), F.count("*").alias("events"))

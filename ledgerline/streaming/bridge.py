@@ -16,27 +16,27 @@ OUTPUT = "stream_id string, velocity_seq long, event_type string, payload string
 
 
 class Gate(StatefulProcessor):
-    """accepted, transient, duplicate (crossed before) or gap, in the order of numbers within a micro-batch."""
+    """accepted, transient, duplicate (accepted before), reorder (before the first that was accepted) or gap, in the order of numbers within a micro-batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "crossed long")
+        self.last = handle.getValueState("last", "first long, crossed long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.last.get()
-        last = state[0] if state else 0
+        first, last = state or (0, 0)
         batch = pd.concat(list(rows)).sort_values("velocity_seq", kind="stable")
         status = []
         for seq, real in zip(batch.velocity_seq, batch.irreversibility_marker, strict=True):
             if not real or seq <= 0:
                 status.append("transient")
             elif last and seq <= last:
-                status.append("duplicate")
+                status.append("duplicate" if seq >= first else "reorder")
             elif last and seq != last + 1:
                 status.append("gap")
             else:
-                last = int(seq)
+                first, last = first or int(seq), int(seq)
                 status.append("accepted")
-        self.last.update((last,))
+        self.last.update((first, last))
         yield batch.assign(status=status)[["stream_id", "velocity_seq", "event_type", "payload", "status"]]
 
     def close(self) -> None:
@@ -61,6 +61,12 @@ def deliver(events: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
     return gated(events).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def registry(receipts: DataFrame) -> DataFrame:
+    """The receipts of a ``deliver`` folder that hold: sound by their checksum, and each number once, by its first log sequence. What a compaction would keep."""
+    sound = receipts.filter(receipt_checksum() == F.col("checksum"))
+    return sound.groupBy("stream_id", "velocity_seq").agg(F.min_by(F.struct("wal_sequence", "event_type", "checksum"), "wal_sequence").alias("r")).select("stream_id", "velocity_seq", "r.*")
+
+
 def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Each (stream_id, velocity_seq) once within the watermark."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["stream_id", "velocity_seq"])
