@@ -12,13 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import staged
-from .common import LOWER, UPPER
+from ..storage import drop, staged
+from .common import LOWER, UPPER, joined
 from .components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SMALL = str.maketrans(UPPER, LOWER)
-#: Bits of a shingle's hash.
+#: Bits of a shingle's hash in the index; a set's size and mark go by 64.
 BITS = 48
 _ids: dict[str, int] = {}
 
@@ -38,7 +38,7 @@ def _word_hash(word: str) -> int:
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 48-bit hashes of the text's word shingles; of all its words, if there are fewer; none without words."""
+    """Sorted distinct 64-bit hashes of the text's word shingles; of all its words, if there are fewer; none without words."""
     words = WORD.findall((text or "").translate(SMALL) if not (text or "").isascii() else (text or "").lower())
     if not words:
         return np.empty(0, np.uint64)
@@ -51,7 +51,13 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     out = np.zeros(len(h) - width + 1, np.uint64)
     for k in range(width):
         out = _mixed(out + h[k : k + len(out)] + np.uint64(k + width * 8))
-    return np.unique(out >> np.uint64(64 - BITS))
+    return np.unique(out)
+
+
+def _indexed(full: np.ndarray) -> np.ndarray:
+    """The upper ``BITS`` bits, once each."""
+    out = full >> np.uint64(64 - BITS)
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -99,8 +105,9 @@ def _token_blocks(buckets: int, width: int, most_docs: int = 2048):
                 first = ~docs.duplicated(["unnamed", "n", "mark", "check"]).to_numpy() & (sizes > 0) & ~docs.unnamed.to_numpy()
                 rows = [(place, -1 - place % buckets, _frame(docs), b"")]
                 if first.any():
-                    tokens = np.concatenate([s for s, f in zip(sets, first, strict=True) if f])
-                    owners = np.repeat(np.flatnonzero(first), sizes[first]).astype("<u2")
+                    parts = [_indexed(s) for s, f in zip(sets, first, strict=True) if f]
+                    tokens = np.concatenate(parts)
+                    owners = np.repeat(np.flatnonzero(first), [len(p) for p in parts]).astype("<u2")
                     order = np.argsort(tokens, kind="stable")
                     tokens, owners = tokens[order], owners[order]
                     cuts = np.searchsorted(tokens >> shift, np.arange(buckets + 1))
@@ -190,13 +197,16 @@ def _boundary(histogram: list, share: int, mates: float, pair_cost: float = 0.5)
     return best
 
 
-def _keys(share: int, boundary: int):
+KEYS = "key long, rep long, n long, c long, at long, light boolean"
+
+
+def _keys(share: int, boundary: int, components: bool = False):
     """The keys under which a set is looked up. A set of n with c common tokens shares ``o = ceil(share * n)`` with any partner, so two partners share one of their first c - o + 1 common tokens (rarest first), and two of their first c - o + 2. Light sets (n <= boundary) give the 2-subsets of the latter, for each other; heavy ones, and light ones that can be a heavy one's partner, the former."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for rep, n, blob in zip(pdf.rep, pdf.n, pdf.common, strict=True):
+            for rep, n, blob, component in zip(pdf.rep, pdf.n, pdf.common, pdf.component if components else pdf.rep, strict=True):
                 t = _from_six(blob)
                 slack = len(t) - _needed(n, share)
                 if slack < 0:
@@ -205,12 +215,12 @@ def _keys(share: int, boundary: int):
                     p = t[: slack + 2]
                     i, j = np.triu_indices(len(p), 1)
                     # the first of the two in the order is the earlier one for both partners
-                    out.append(pd.DataFrame({"key": _mixed(_mixed(p[i]) + p[j]).view(np.int64), "rep": rep, "n": n, "c": len(t), "at": i, "light": True}))
+                    out.append(pd.DataFrame({"key": _mixed(_mixed(p[i]) + p[j]).view(np.int64), "rep": rep, "n": n, "c": len(t), "at": i, "light": True, "component": component}))
                 if n > boundary or 100 * n >= share * (boundary + 1):
                     p = t[: slack + 1]
-                    out.append(pd.DataFrame({"key": p.view(np.int64), "rep": rep, "n": n, "c": len(t), "at": np.arange(len(p)), "light": False}))
+                    out.append(pd.DataFrame({"key": p.view(np.int64), "rep": rep, "n": n, "c": len(t), "at": np.arange(len(p)), "light": False, "component": component}))
             if out:
-                yield pd.concat(out)
+                yield pd.concat(out) if components else pd.concat(out).drop(columns="component")
 
     return run
 
@@ -242,36 +252,47 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", share
     nowhere else, are linked with nothing. Candidates come from light sets' 2-subsets and heavy sets' inverted lists. First, each list's most
     common set is verified against the list (a star: as many pairs as entries), which joins groups of near copies; then
     all pairs in a list that aren't in one component yet. So no link between components is lost, and pairs within
-    a group of copies aren't formed. Tokens are 48-bit hashes and sets are matched by 128 bits. Keys are integers: rows with a null key keep it, and join nothing. Repeated rows
+    a group of copies aren't formed. Set sizes count 64-bit hashes, the index holds 48 bits of them, and sets are matched by 128 bits. Keys and classes that hold more than a thousandth of the rows are joined by broadcast, and a list's pairs are dealt out by thousands. Keys are integers: rows with a null key keep it, and join nothing. Repeated rows
     give repeated rows."""
-    docs = staged(documents(df, key, text, share, width), "sets")
+    wide = staged(documents(df, key, text, share, width), "sets")
     # a class's common tokens are the same wherever they are given
-    classes = docs.filter((F.col("n") > 0) & F.col("doc").isNotNull()).groupBy("n", "mark", "check").agg(F.max("common").alias("common"), F.min("doc").alias("rep"))
+    classes = wide.filter((F.col("n") > 0) & F.col("doc").isNotNull()).groupBy("n", "mark", "check").agg(F.max("common").alias("common"), F.min("doc").alias("rep"), F.count("*").alias("k"))
     classes = staged(classes, "set-classes")
+    docs = staged(wide.drop("common"), "set-sizes")
+    drop(wide)
     sets = classes.filter(F.octet_length("common") > 0).select("rep", "n", "common")
     # a row for each size: at most as many as the largest set has tokens, in the range that light sets may have
     sizes = sets.filter(F.col("n") <= 400).groupBy("n").agg(F.max(F.octet_length("common") / 6).cast("long").alias("c"), F.count("*").alias("rows")).orderBy("n").collect()
-    rates = sets.mapInPandas(_keys(share, 0), "key long, rep long, n long, c long, at long, light boolean").groupBy("key").agg(F.count("*").alias("k")).agg(F.avg("k")).first()[0]
-    boundary = _boundary([(r["n"], r["c"], r["rows"]) for r in sizes], share, rates or 1.0)
-    keys = sets.mapInPandas(_keys(share, boundary), "key long, rep long, n long, c long, at long, light boolean")
+    rows, lists = sets.mapInPandas(_keys(share, 0), KEYS).agg(F.count("*"), F.approx_count_distinct("key")).first()
+    boundary = _boundary([(r["n"], r["c"], r["rows"]) for r in sizes], share, rows / max(1, lists))
+    keys = staged(sets.mapInPandas(_keys(share, boundary), KEYS), "set-keys")
     # a key of one set has no candidates
-    keys = staged(keys, "set-keys")
-    hub = F.max(F.struct((F.col("c") / F.col("n")).alias("r"), -F.col("rep"), "rep", "n", "c", "at", "light")).alias("h")
-    hubs = keys.groupBy("key", "light").agg(hub, F.count("*").alias("k")).filter(F.col("k") > 1).select("key", "light", "h.rep", "h.n", "h.c", "h.at")
-    x, y = hubs.alias("x"), keys.alias("y")
-    heavy = lambda a, b: F.col(f"{a}.light") | (F.col(f"{a}.n") > boundary) | (F.col(f"{b}.n") > boundary)
-    star = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.light") == F.col("y.light")) & (F.col("x.rep") != F.col("y.rep")) & _linkable("x", "y", share) & heavy("x", "y"))
+    hub = F.max(F.struct((F.col("c") / F.col("n")).alias("r"), -F.col("rep"), "rep", "n", "c", "at")).alias("x")
+    hubs = staged(keys.groupBy("key", "light").agg(hub, F.count("*").alias("k")).filter(F.col("k") > 1), "key-hubs")
+    star = joined(keys.select("key", "light", F.struct("rep", "n", "c", "at").alias("y")), hubs, ["key", "light"])
+    star = star.filter((F.col("x.rep") != F.col("y.rep")) & _linkable("x", "y", share) & (F.col("light") | (F.col("x.n") > boundary) | (F.col("y.n") > boundary)))
     pairs = star.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     edges = staged(_verified(pairs, sets, share), "star-links")
+    drop(keys, hubs)
     labels = components(edges)
-    named = staged(keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named-keys")
-    open_keys = named.groupBy("key", "light").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter(F.col("p") != F.col("q")).select("key", "light")
-    named = named.join(open_keys, ["key", "light"], "left_semi")
-    x, y = named.alias("x"), named.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.light") == F.col("y.light")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _linkable("x", "y", share) & heavy("x", "y"))
+    # keys are made again with their components, which is less than to join them
+    named = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = named.mapInPandas(_keys(share, boundary, True), KEYS + ", component long")
+    spread_keys = named.groupBy("key", "light").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("k")).filter(F.col("p") != F.col("q"))
+    spread_keys = staged(spread_keys.select("key", "light", F.ceil(F.col("k") / 1000).alias("salts")), "open-keys")
+    few = spread_keys.count() <= 100_000  # 2.4 MB at most
+    opened = staged(named.join(F.broadcast(spread_keys) if few else spread_keys, ["key", "light"]), "open-rows")
+    # a list of many sets is dealt to as many tasks as it has thousands
+    x = opened.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts"))).alias("x")
+    y = opened.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.light") == F.col("y.light")) & (F.col("x.salt") == F.col("y.salt"))
+    heavy = F.col("x.light") | (F.col("x.n") > boundary) | (F.col("y.n") > boundary)
+    rest = x.join(y, same & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _linkable("x", "y", share) & heavy)
     pairs = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    edges = edges.unionByName(_verified(pairs, sets, share))
-    labels = components(edges)
-    classes = classes.select("n", "mark", "check", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "mark", "check", F.coalesce("component", "rep").alias("component"))
-    named = docs.select("doc", "n", "mark", "check").join(classes, ["n", "mark", "check"], "left")
+    more = staged(_verified(pairs, sets, share), "rest-links")
+    drop(opened, spread_keys)
+    labels = components(edges.unionByName(more))
+    drop(edges, more)
+    classes = classes.select("n", "mark", "check", "rep", "k").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "mark", "check", "k", F.coalesce("component", "rep").alias("component"))
+    named = joined(docs.select("doc", "n", "mark", "check"), staged(classes, "class-components"), ["n", "mark", "check"], how="left")
     return named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
