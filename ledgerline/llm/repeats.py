@@ -6,13 +6,14 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import staged
+from ..storage import drop, staged
 from .common import joined
 
 GRAM, WORD_GRAM = 32, 8
@@ -291,10 +292,11 @@ def _group_spans(length: int):
 def _spans(contexts: DataFrame, length: int, most_group: int) -> DataFrame:
     """(row, start, end) of what repeats cover around the anchors."""
     spec = "row long, start long, end long"
-    found = contexts.sparkSession.createDataFrame([], spec)
+    found = []
     while True:
         same = staged(contexts.groupBy("mark").agg(F.count("*").alias("k"), F.min(F.struct("row", "place")).alias("first")).filter("k > 1"), "repeat-marks")
         marked = staged(joined(contexts, same, ["mark"], how="left"), "repeat-marked")
+        drop(contexts, same)
         # equal contexts cover each other; one of them goes on
         equal = marked.filter("k is not null").select("row", (F.col("place") - F.octet_length("left")).alias("start"), (F.col("place") + F.octet_length("right")).alias("end"))
         distinct = marked.filter("k is null or (first.row = row and first.place = place)").drop("k", "first", "mark")
@@ -302,11 +304,14 @@ def _spans(contexts: DataFrame, length: int, most_group: int) -> DataFrame:
         size = groups.filter(F.col("k") <= most_group).agg(F.sum("k")).first()[0] or 0
         bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, size // 5_000)))
         small = distinct.join(groups.filter(F.col("k") <= most_group), "key").withColumn("bucket", bucket)
-        found = found.unionByName(equal).unionByName(small.groupBy("bucket").applyInPandas(_group_spans(length), spec))
+        found.append(staged(equal.unionByName(small.groupBy("bucket").applyInPandas(_group_spans(length), spec)), "repeat-spans"))
         large = groups.filter(F.col("k") > most_group)
-        if large.isEmpty():
-            return found
-        contexts = staged(joined(distinct, large, ["key"]).drop("k").mapInPandas(_halved(length), CONTEXTS), "repeat-contexts")
+        done = large.isEmpty()
+        if not done:
+            contexts = staged(joined(distinct, large, ["key"]).drop("k").mapInPandas(_halved(length), CONTEXTS), "repeat-contexts")
+        drop(marked, groups)
+        if done:
+            return reduce(DataFrame.unionByName, found)
 
 
 def _united(starts, ends) -> list[tuple[int, int]]:
@@ -351,26 +356,33 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     docs = df.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc", "text")
     seen = staged(docs.mapInPandas(_scanned(length, passage), SCANNED.format(key=df.schema[key].dataType.simpleString())), "repeat-anchors")
     texts = staged(seen.groupBy("sha", "n").agg(F.min("row").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "repeat-copies")
-    named = joined(seen.drop("text", "doc"), texts, ["sha", "n"], k="copies", how="left")
+    named = joined(seen.drop("text"), texts, ["sha", "n"], k="copies", how="left")
     firsts = named.filter("first is null or first = row")
-    each = firsts.select("row", F.explode(F.arrays_zip("hash", "place", "before", "after")).alias("x")).select("row", "x.*")
-    each = staged(each, "repeat-grams")
+    each = staged(firsts.select("row", F.explode(F.arrays_zip("hash", "place", "before", "after")).alias("x")).select("row", "x.*"), "repeat-grams")
+    known = staged(named.select("row", "doc", "n", "n_words", "sha", "copies", F.when(F.col("first").isNull() | (F.col("first") == F.col("row")), F.col("sure")).alias("sure")), "repeat-documents")
     counts = staged(each.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1"), "repeat-counts")
     again = joined(each, counts, ["hash"]).select("row", F.struct("hash", "place", "before", "after").alias("at"))
-    alone = firsts.filter(F.size("sure") > 0).select("row", F.lit(None).cast(again.schema["at"].dataType).alias("at"))
+    stretches = known.filter(F.size("sure") > 0)
+    alone = stretches.select("row", F.lit(None).cast(again.schema["at"].dataType).alias("at"))
     again = again.unionByName(alone).groupBy("row").agg(F.collect_list("at").alias("at")).select("row", "at.hash", "at.place", "at.before", "at.after")
     touched = staged(again.join(seen.select("row", "text"), "row"), "repeat-texts")
+    drop(seen, texts, each, counts)
+
+    windows = staged(touched.mapInPandas(_windows(passage), "window long, row long, start int"), "repeat-windows")
+    often = windows.groupBy("window").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z")).filter("a <> z").select("window", "k")
+    often = staged(often, "repeat-passages")
+    inside = F.expr(f"aggregate(sequence(1, size(s)), 0L, (n, i) -> n + if(i = size(s), {passage}, least({passage}, s[i] - s[i - 1])))")
+    shared = joined(windows, often, ["window"]).groupBy("row").agg(F.sort_array(F.collect_list("start")).alias("s"))
+    shared = staged(shared.select("row", inside.alias("inside")), "repeat-inside")
+    drop(windows, often)
+
     spans = _spans(staged(touched.mapInPandas(_contexts(length), CONTEXTS), "repeat-contexts"), length, most_group)
-    own = firsts.filter(F.size("sure") > 0).select("row", F.explode(F.expr("transform(sequence(0, size(sure) div 2 - 1), i -> struct(sure[2 * i] as start, sure[2 * i + 1] as end))")).alias("s")).select("row", "s.start", "s.end")
+    own = stretches.select("row", F.explode(F.expr("transform(sequence(0, size(sure) div 2 - 1), i -> struct(sure[2 * i] as start, sure[2 * i + 1] as end))")).alias("s")).select("row", "s.start", "s.end")
     spans = spans.unionByName(own).groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     cut = touched.select("row", "text").join(spans, "row").mapInPandas(_removed, "row long, n_removed long, n_spans long, kept binary")
     cut = staged(cut.select("row", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha"), *(["kept"] if keep_bytes else [])), "repeat-cut")
-
-    windows = staged(touched.mapInPandas(_windows(passage), "window long, row long, start long"), "repeat-windows")
-    often = windows.groupBy("window").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z")).filter("a <> z").select("window", "k")
-    shared = joined(windows, staged(often, "repeat-passages"), ["window"]).groupBy("row").agg(F.array_sort(F.collect_list("start")).alias("s"))
-    inside = F.expr(f"aggregate(sequence(1, size(s)), 0L, (n, i) -> n + if(i = size(s), {passage}, least({passage}, s[i] - s[i - 1])))")
-    out = named.select("row", "n", "n_words", "sha", "copies").join(seen.select("row", "doc"), "row").join(cut, "row", "left").join(shared.select("row", inside.alias("inside")), "row", "left")
+    drop(touched)
+    out = known.join(cut, "row", "left").join(shared, "row", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n") >= length)
     kept = [F.when(all_gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_bytes else []
     return out.select(
