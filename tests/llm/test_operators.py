@@ -299,6 +299,10 @@ def test_language_model_code():
     # a node stands for the bits before it
     before = {node: tuple(b for _, b in p[:k]) for p in paths.values() for k, (node, _) in enumerate(p)}
     assert all(before[node] == tuple(b for _, b in p[:k]) for p in paths.values() for k, (node, _) in enumerate(p)) and len(before) == len(weights) - 1
+    cut = mixing.Code(weights, 2)
+    assert cut.length.max() == 2
+    assert math.isclose(sum(2.0 ** -int(n) * 10**r for n, r in zip(cut.length, cut.rest, strict=True)), 1)
+    assert all(cut.bit[cut.offset[k] : cut.offset[k] + cut.length[k]].tolist() == [b for _, b in paths[k][: cut.length[k]]] for k in paths)
     assert mixing.table_bits(30_000_000_000) > mixing.table_bits(25_000_000) > mixing.table_bits(1000)
 
 
