@@ -62,9 +62,10 @@ def joined(df: DataFrame, counts: DataFrame, keys: list[str], k: str = "k", how:
     least = max(1000, (total or 0) // share)
     if (most or 0) <= least:
         return df.join(counts, keys, how)
-    hot, others = F.broadcast(counts.filter(F.col(k) > least)), counts.filter(F.col(k) <= least)
-    rest = df.join(F.broadcast(counts.filter(F.col(k) > least).select(*keys)), keys, "left_anti").join(others, keys, how)
-    return df.join(hot, keys).unionByName(rest)
+    hot = counts.filter(F.col(k) > least)
+    marked = df.join(F.broadcast(hot), keys, "left")
+    rest = marked.filter(F.col(k).isNull()).select(*df.columns).join(counts.filter(F.col(k) <= least), keys, how)
+    return marked.filter(F.col(k).isNotNull()).unionByName(rest)
 
 
 def sliced(batches: Iterator, rows: int = 500) -> Iterator:
