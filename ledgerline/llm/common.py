@@ -57,15 +57,18 @@ def most_frequent(words: DataFrame, most: int, counts: bool = False) -> list:
 
 
 def joined(df: DataFrame, counts: DataFrame, keys: list[str], k: str = "k", how: str = "inner", share: int = 1000) -> DataFrame:
-    """``df`` (a stored table) with ``counts``, a row for each key with the number ``k`` of its rows in ``df``. Keys that hold more than one row in ``share``, of which there are fewer than ``share``, are broadcast, so that their rows needn't meet in a task; the others are joined."""
+    """``df`` with ``counts``, a row for each key with the number ``k`` of its rows in ``df``; ``how`` is inner or left. Keys that hold more than one row in ``share``, of which there are fewer than ``share``, are broadcast; their rows pass the join with the others under a salt of their whole numbers, so that they needn't meet in a task."""
     total, most = counts.agg(F.sum(k), F.max(k)).first()
     least = max(1000, (total or 0) // share)
     if (most or 0) <= least:
         return df.join(counts, keys, how)
-    hot = counts.filter(F.col(k) > least)
-    marked = df.join(F.broadcast(hot), keys, "left")
-    rest = marked.filter(F.col(k).isNull()).select(*df.columns).join(counts.filter(F.col(k) <= least), keys, how)
-    return marked.filter(F.col(k).isNotNull()).unionByName(rest)
+    new = [c for c in counts.columns if c not in keys]
+    hot = counts.filter(F.col(k) > least).select(*keys, *(F.col(c).alias(f"__{c}") for c in new))
+    spread = [c for c, kind in df.dtypes if kind == "bigint" and c not in keys]
+    marked = df.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col(f"__{k}").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.lit(4095)) + 1))
+    both = marked.join(counts.filter(F.col(k) <= least).withColumn("__salt", F.lit(0).cast("long")), [*keys, "__salt"], "left")
+    out = both.select(*df.columns, *(F.coalesce(f"__{c}", c).alias(c) for c in new))
+    return out.filter(F.col(k).isNotNull()) if how == "inner" else out
 
 
 def sliced(batches: Iterator, rows: int = 500) -> Iterator:

@@ -269,7 +269,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", share
     # a key of one set has no candidates
     hub = F.max(F.struct((F.col("c") / F.col("n")).alias("r"), -F.col("rep"), "rep", "n", "c", "at")).alias("x")
     hubs = staged(keys.groupBy("key", "light").agg(hub, F.count("*").alias("k")).filter(F.col("k") > 1), "key-hubs")
-    star = joined(keys.select("key", "light", F.struct("rep", "n", "c", "at").alias("y")), hubs, ["key", "light"])
+    star = joined(keys.select("key", "light", "rep", F.struct("rep", "n", "c", "at").alias("y")), hubs, ["key", "light"])
     star = star.filter((F.col("x.rep") != F.col("y.rep")) & _linkable("x", "y", share) & (F.col("light") | (F.col("x.n") > boundary) | (F.col("y.n") > boundary)))
     pairs = star.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     edges = staged(_verified(pairs, sets, share), "star-links")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, jaccard, langid, mixing, quality, repeats, secrets, sharding, topk
+from ledgerline.llm.common import joined
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, rep long"
@@ -369,3 +370,15 @@ def test_secret_candidates_are_whole():
     assert see.coverage("1" * 2048 + "hello" * 400 + "1" * 48) == 2000 / 4096
     assert see.coverage("a1" * 100_000) == 0
     assert see.coverage("xhello-worldx") == 10 / 13
+
+
+def test_hot_keys_are_joined_whole(spark):
+    rows = [(1, k) for k in range(3000)] + [(2 + k // 2, k) for k in range(100)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "key long, row long")
+    counts = df.groupBy("key").agg(F.count("*").alias("k"), F.min("row").alias("first")).filter("k > 1")
+    want = [(a, b, 3000 if a == 1 else 2, 0 if a == 1 else (a - 2) * 2) for a, b in rows if a is not None]
+    got = joined(df, counts, ["key"])
+    assert sorted(map(tuple, got.select("key", "row", "k", "first").collect())) == sorted(want)
+    left = joined(df, counts, ["key"], how="left")
+    assert left.columns == got.columns and left.count() == len(rows)
+    assert left.filter("key is null").first().k is None
