@@ -13,6 +13,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ class Codec:
         """The ids of one word, by merges alone: again and again the pair of least rank, the leftmost first."""
         ids = [self._first[b] for b in word]
         ids[-1] = self._last[word[-1]]
+        if len(ids) > 256:
+            return self._merge_long(ids)
         get, never = self._ranks.get, 1 << 60
         pairs = [get(a << 20 | b, never) for a, b in zip(ids, ids[1:], strict=False)]
         while pairs and (best := min(pairs)) < never:
@@ -72,6 +75,25 @@ class Codec:
                 pairs[i] = get(ids[i] << 20 | ids[i + 1], never)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges in n log n steps: pairs in a heap by rank and place, ids linked with their neighbours. A pair that has changed since it was put there is passed over."""
+        get, n = self._ranks.get, len(ids)
+        before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
+        heap = [(best, i) for i in range(n - 1) if (best := get(ids[i] << 20 | ids[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            best, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j == n or get(ids[i] << 20 | ids[j]) != best:
+                continue
+            ids[i], ids[j], after[i] = best & 0xFFFFF, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (new := get(ids[a] << 20 | ids[b])) is not None:
+                    heappush(heap, (new, a))
+        return [x for x in ids if x >= 0]
+
     def word(self, word: str) -> list[int]:
         body = word.encode("utf-8")
         found = self.lexicon.get(body) if self.lexicon is not None else None

@@ -41,6 +41,18 @@ def test_any_text(codec, text):
     same(codec, text)
 
 
+@pytest.mark.parametrize("text", ["x" * 40_000, "ab" * 10_000, "walking" * 5_000, "".join(map(chr, np.random.default_rng(5).integers(97, 123, 60_000)))], ids=["letter", "pair", "word", "any"])
+def test_long_words(codec, text):
+    same(codec, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=2, max_size=200) | st.text("abelnst", min_size=2, max_size=200).map(str.encode))
+def test_long_merges(codec, word):
+    ids = [codec._first[b] for b in word[:-1]] + [codec._last[word[-1]]]
+    assert codec._merge_long(ids) == codec.merge(word)
+
+
 def test_lexicon(tmp_path, codec):
     words = [b"a", b"ab", b"walking", b"talking", b"talked", b"walked", "größe".encode()]
     (tmp_path / "x").write_bytes(compile_lexicon({w: codec.merge(w) for w in words}))
