@@ -184,6 +184,25 @@ def test_decontamination(spark, stored):
     assert decontaminate.contamination(stored, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_clashing_names(spark):
+    names = ["doc_id", "text", "words", "Hits", "found", "row", "hit", "doc", "window", "key", "a.b"]
+    docs = spark.createDataFrame([(k, t, *(f"{c}{k}" for c in names[2:])) for k, t in enumerate(["x one two y", "clean", None, ""])], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names[2:]))
+    bench = spark.createDataFrame([("i", "One Two")], "item_id string, text string")
+    rows = [tuple(r) for r in docs.collect()]
+    for limits in ({}, {"most_windows": 0}):
+        kept = decontaminate.without_documents(docs, bench, **limits)
+        assert kept.columns == names
+        assert sorted(map(tuple, kept.collect())) == rows[1:]
+        cut = decontaminate.without_spans(docs, bench, **limits)
+        assert cut.columns == names
+        assert sorted(map(tuple, cut.collect())) == [(0, "x y", *rows[0][2:]), *rows[1:]]
+        hits = decontaminate.with_hits(docs, bench, **limits)
+        assert hits.columns == [c for c in names if c not in ("words", "Hits")] + ["words", "hits"]
+        assert [(r.words, [h.window for h in r.hits], r["a.b"]) for r in hits.orderBy("doc_id").collect()][:2] == [(["x", "one", "two", "y"], ["one two"], "a.b0"), (["clean"], [], "a.b1")]
+    for key in ("row", "key", "window"):
+        assert sorted((r[key], r.contaminated) for r in decontaminate.contamination(docs, bench, key=key).collect()) == [(f"{key}{k}", k == 0) for k in range(4)]
+
+
 def test_shards(stored):
     got = sorted((r.shard, r.slot, -1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in sharding.byte_shards(stored, shards=4).collect())
     texts = rows_of(stored)
