@@ -33,13 +33,18 @@ def lower_ascii(text: str | Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def bounded_sample(df: DataFrame, key: str, most: int, n: int | None = None) -> DataFrame:
-    """Rows whose key's hash falls below a threshold set so that about ``most`` rows stay; all, if there are fewer. Depends on keys alone, not on partitions. ``n``: the row count where it's known."""
-    n = df.count() if n is None else n
+def bounded_sample(df: DataFrame, key: str, most: int, n: int | None = None, of: str | None = None, counts: dict | None = None, least: int = 0) -> DataFrame:
+    """Rows whose key's hash falls below a threshold set so that about ``most`` rows stay; all, if there are fewer. Depends on keys alone, not on partitions. ``n``: the row count where it's known.
+
+    With ``counts``, the rows of each value of ``of``, a value whose share is under ``least`` rows keeps that many, or all it has."""
+    n = sum(counts.values()) if counts is not None else df.count() if n is None else n
     if n <= most:
         return df
     steps = 1 << 20
-    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(steps)) < max(1, steps * most // n))
+    below = F.lit(max(1, steps * most // n))
+    if counts:
+        below = F.greatest(below, F.create_map(*(F.lit(x) for v, k in counts.items() for x in (v, min(steps, -(-steps * least // k)))))[F.col(of)])
+    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(steps)) < below)
 
 
 def most_frequent(words: DataFrame, most: int, counts: bool = False) -> list:

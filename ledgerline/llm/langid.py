@@ -19,6 +19,8 @@ START = "▁"
 #: The probability of a letter that is no piece, in any language.
 UNKNOWN = 1e-10
 LETTER = re.compile(r"[^\W\d_]")
+#: For Java's regular expressions, what str.split() parts words by.
+SPACES = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 
 def vocabulary(path: str) -> list[str]:
@@ -117,18 +119,20 @@ def words_of(text: str) -> list[str]:
     return [START + w for w in text.lower().split()]
 
 
-def train(labelled: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "text", label: str = "lang", most: int = 8_000, rounds: int = 2, prior: float = 0.02) -> dict:
+def train(labelled: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "text", label: str = "lang", most: int = 8_000, least: int = 200, rounds: int = 2, prior: float = 0.02) -> dict:
     """Piece probabilities of each language, by expectation maximisation.
 
     Learns from a sample of about ``most`` labelled rows (a documented bound; all, if there are fewer), picked by
-    their keys' hashes. Word counts are summed by a shuffle; each round spreads the distinct words over tasks, which
+    their keys' hashes; a label whose share of it were under ``least`` rows gives that many, or all it has, so that none is lost in a
+    large table. Priors are by all labelled rows. Word counts are summed by a shuffle; each round spreads the distinct words over tasks, which
     return expected counts of pieces, and the driver gets their sums: a number for each piece and language. Null labels
     are left out. Without any labelled row, no language is known."""
-    rows = bounded_sample(labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()), key, most)
-    words = rows.select(F.col(label).alias("lang"), F.explode(F.split(F.lower(text), r"\s+")).alias("word")).filter(F.col("word") != "")
+    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    share = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = bounded_sample(rows, "key", most, of="lang", counts=share, least=least)
+    words = rows.select("lang", F.explode(F.split(F.lower("text"), SPACES)).alias("word")).filter(F.col("word") != "")
     words = words.groupBy("lang", F.concat(F.lit(START), "word").alias("word")).agg(F.count("*").alias("n")).persist()
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    share = {r["lang"]: r["n"] for r in rows.groupBy(F.col(label).alias("lang")).agg(F.count("*").alias("n")).collect()}
     column = {x: k for k, x in enumerate(langs)}
     unit = Pieces(pieces)
     probs = np.full((len(pieces) + 2, max(1, len(langs))), 1 / len(pieces))

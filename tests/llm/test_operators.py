@@ -184,6 +184,19 @@ def test_decontamination(spark, stored):
     assert decontaminate.contamination(stored, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_rare_languages(spark):
+    blank = "\u2003"  # parts words as ASCII's does
+    texts = {"en": f"the{blank}walls are green and old", "de": "die Mauern sind schön\x1cund alt", "fi": "talon seinät ovat vihreitä"}
+    rows = [(k, texts["en" if k % 2 else "de"], "en" if k % 2 else "de") for k in range(600)] + [(1000, texts["fi"], "fi")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = sorted({w for t in texts.values() for w in langid.words_of(t)} | set("abcdefghijklmnopqrstuvwxyzäö") | {langid.START})
+    learnt = langid.train(docs, pieces, most=40, least=5)
+    assert learnt["langs"] == ["de", "en", "fi"]
+    assert np.allclose(np.exp(learnt["prior"]), [300 / 601, 300 / 601, 1 / 601])
+    lang = langid.identifier(spark, learnt)
+    assert {(r.lang, r.x.lang) for r in docs.select("lang", lang("text").alias("x")).collect()} == {(x, x) for x in texts}
+
+
 def test_decontamination_clashing_names(spark):
     names = ["doc_id", "text", "words", "Hits", "found", "row", "hit", "doc", "window", "key", "a.b"]
     docs = spark.createDataFrame([(k, t, *(f"{c}{k}" for c in names[2:])) for k, t in enumerate(["x one two y", "clean", None, ""])], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names[2:]))
