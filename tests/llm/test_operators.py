@@ -145,12 +145,74 @@ def test_topk(spark):
     for q in range(0, 400, 50):
         scores = sorted((-int(e[q] @ e[c]), c) for c in range(400) if c != q)[:5]
         want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scores)]
-    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block=100, query_block=3).collect()]
-    assert sorted(got) == want
+    for limits in ({}, {"block": 100, "query_block": 3}, {"block": 20, "query_block": 2, "chunk": 3}):
+        got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, **limits).collect()]
+        assert sorted(got) == want
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+    assert topk.top_k(df, F.lit(False)).count() == 0
     assert topk.top_k(df.filter("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_topk_of_odd_rows(spark):
+    """Null ids take no part; rows of one id are each other's candidates; short, empty, equal and zero vectors count; own column names may clash."""
+    rows = [(None, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, []), (3, [2.0]), (4, [0.0, 0.0]), (5, [-1.0, -1.0])]
+    df = spark.createDataFrame([(i, v, 9, 9, True) for i, v in rows], "vec_id long, embedding array<double>, id int, cell int, is_query boolean")
+    full = [(i, (v + [0.0, 0.0])[:2]) for i, v in rows if i is not None]
+    want = []
+    for a, (i, x) in enumerate(full):
+        best = sorted((-int(65536 * (x[0] * y[0] + x[1] * y[1])), j) for b, (j, y) in enumerate(full) if a != b)
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best[:3])]
+    for block in (1, 2, 4096):
+        assert sorted(tuple(r) for r in topk.top_k(df, F.lit(True), k=3, block=block).collect()) == sorted(want)
+
+
+def _clusters(n, dims, spread, seed=4):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(40, dims))
+    return np.floor(256 * (middles[rng.integers(0, 40, n)] + spread * rng.normal(size=(n, dims)))).astype(np.int64)
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_cover_tree(spread):
+    """Covering, separation, nesting, falling radii; every point in one leaf."""
+    data = np.concatenate([_clusters(1500, 6, spread), np.tile(_clusters(1, 6, 0), (80, 1))]).astype("f8")
+    t = topk.CoverTree(data)
+    leaves = []
+    for a in range(len(t.radius)):
+        own = t.order[t.start[a] : t.stop[a]]
+        far = np.linalg.norm(data[own] - data[t.centers[a]], axis=1)
+        assert t.centers[a] in own and np.isclose(far.max(), t.radius[a])
+        kids = np.arange(t.first[a], t.first[a] + t.children[a])
+        if not len(kids):
+            leaves += list(own)
+            continue
+        c = data[t.centers[kids]]
+        gaps = np.linalg.norm(c[:, None] - c[None], axis=2)[np.triu_indices(len(c), 1)]
+        assert t.centers[kids[0]] == t.centers[a] and (gaps > t.radius[a] / t.base).all()
+        assert (t.radius[kids] <= t.radius[a] / t.base).all()
+        assert sorted(own) == sorted(p for k in kids for p in t.order[t.start[k] : t.stop[k]])
+    assert sorted(leaves) == list(range(len(data))) and len(t.radius) > 20
+
+
+def test_dual_search_prunes():
+    """On clustered vectors a small share of the pairs is tested, fewer with floors; bounds hold for every pair of nodes."""
+    data, ids = _clusters(2000, 16, 0.03), np.arange(2000)
+    top = np.sqrt((data**2).sum(axis=1).max())
+    refs, q = topk.References(data, ids, ids, top), ids % 10 == 0
+    found = topk.DualSearch(data[q], ids[q], refs, 5)
+    scores = data[q] @ data.T
+    own = scores.copy()
+    own[np.arange(q.sum()), ids[q]] = -(1 << 60)
+    assert (np.lexsort((np.broadcast_to(ids, own.shape), -own), axis=1)[:, :5] == found.best).all()
+    assert found.tested < 0.1 * scores.size
+    again = topk.DualSearch(data[q], ids[q], refs, 5, found.scores[:, -1])
+    assert (again.best == found.best).all() and again.tested < found.tested
+    for a in range(len(found.tree.radius)):
+        bounds = found._bounds(a, np.arange(len(refs.tree.radius)))
+        for b, bound in enumerate(bounds):
+            assert scores[np.ix_(found._points(a), refs.tree.order[refs.tree.start[b] : refs.tree.stop[b]])].max() <= bound
+
+
 def test_decontamination(spark, stored):
     texts = rows_of(stored)
     item = " ".join(next(t for d, t in texts if d == 3).split()[:14])
