@@ -195,7 +195,7 @@ def test_cover_tree(spread):
 
 
 def test_dual_search_prunes():
-    """On clustered vectors a small share of the pairs is tested, fewer with floors; bounds hold for every pair of nodes."""
+    """On clustered vectors a small share of the pairs is tested, none with floors out of reach; bounds hold for every pair of nodes."""
     data, ids = _clusters(2000, 16, 0.03), np.arange(2000)
     top = np.sqrt((data**2).sum(axis=1).max())
     refs, q = topk.References(data, ids, ids, top), ids % 10 == 0
@@ -206,7 +206,9 @@ def test_dual_search_prunes():
     assert (np.lexsort((np.broadcast_to(ids, own.shape), -own), axis=1)[:, :5] == found.best).all()
     assert found.tested < 0.1 * scores.size
     again = topk.DualSearch(data[q], ids[q], refs, 5, found.scores[:, -1])
-    assert (again.best == found.best).all() and again.tested < found.tested
+    assert (again.best == found.best).all() and again.tested <= found.tested
+    none = topk.DualSearch(data[q], ids[q], refs, 5, np.full(int(q.sum()), 1 << 40))
+    assert none.tested == 0 and (none.best < 0).all()
     for a in range(len(found.tree.radius)):
         bounds = found._bounds(a, np.arange(len(refs.tree.radius)))
         for b, bound in enumerate(bounds):
