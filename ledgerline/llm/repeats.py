@@ -261,16 +261,31 @@ def _halved(length: int):
     return run
 
 
+def _columns(parts: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("window", "row", "start"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+
 def _windows(passage: int):
     """(hash, row, start) of the windows of words whose anchors other places have too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0  # many texts' windows go on in one batch
         for pdf in batches:
             for row, text, first, last, after in zip(pdf.row, pdf.text, pdf.place, pdf.before, pdf.after, strict=True):
                 words = after == -1
                 if words.any():
-                    starts = np.unique(np.concatenate([np.arange(a, z + 1) for a, z in zip(first[words], last[words], strict=True)]))
-                    yield pd.DataFrame({"window": _hashed(_word_hashes(text), passage)[starts].view(np.int64), "row": row, "start": starts})
+                    hashes = _hashed(_word_hashes(text), passage).view(np.int64)
+                    served = np.zeros(len(hashes) + 1, np.int64)
+                    np.add.at(served, first[words], 1)
+                    np.add.at(served, last[words] + 1, -1)
+                    starts = np.flatnonzero(np.cumsum(served[:-1]) > 0)
+                    out.append((hashes[starts], np.full(len(starts), row), starts))
+                    held += len(starts)
+                if held > 100_000:
+                    yield _columns(out)
+                    out, held = [], 0
+        if out:
+            yield _columns(out)
 
     return run
 
