@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,10 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import staged
-from .common import LOWER, UPPER, most_frequent
+from .common import most_frequent
 
-WORD = re.compile("[^\x20\x09-\x0d]+")
-SMALL = str.maketrans(UPPER, LOWER)
 #: Predictors of a token's bits: behind nothing, the last token, the last two, and the one before the last. Of a letter's: behind the last 1, 2, 3 and 5 bytes of the word.
 PREDICTORS, ORDERS = 4, (1, 2, 3, 5)
 #: The predictors whose counts choose the weights.
@@ -28,10 +25,10 @@ INPUTS = PREDICTORS + 1
 GATES = 6 * 6
 #: Symbols of the token code: a word that is spelled, and the end of a text.
 SPELLED, END = 0, 1
-#: Bits of a token that contexts predict: they name its class. Within the class a token counts by its frequency.
-CLASS_BITS = 5
+#: Bits of a path whose counts stand in one line of a table, so that an item's bits are near each other in memory.
+LINE = 4
 #: Bits that are worked on at once, and that the mixer learns from in one step.
-STEP = 1 << 13
+STEP = 1 << 15
 _M, _X, _Y = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -43,10 +40,17 @@ def _unzip(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
-def tokens(text: str | None) -> list[str]:
-    """The words of a text, A-Z made small."""
-    text = text or ""
-    return WORD.findall(text.lower() if text.isascii() else text.translate(SMALL))
+def tokens(text: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z made small. Of bytes, ``lower`` knows ASCII letters only, and ``split`` parts at ``[\\x20\\x09-\\x0D]+``."""
+    return (text or b"").lower().split()
+
+
+class Numbers(dict):
+    """Words as numbers, in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 def bucket_of(word: bytes, buckets: int) -> int:
@@ -58,7 +62,7 @@ BLOCKS = "block long, bucket int, first long, words binary, counts binary, docs
 
 
 def _pieces(pdf: pd.DataFrame, most_docs: int, most_bytes: int) -> Iterator[pd.DataFrame]:
-    sizes = pdf.text.str.len().fillna(0).to_numpy().cumsum()
+    sizes = np.fromiter((len(t or b"") for t in pdf.text), np.int64, len(pdf)).cumsum()
     start = 0
     while start < len(pdf):
         base = sizes[start - 1] if start else 0
@@ -74,20 +78,23 @@ def _blocks(buckets: int, most_bytes: int, most_docs: int = 8192):
         block = TaskContext.get().partitionId() << 32
         for whole in batches:
             for pdf in _pieces(whole, most_docs, most_bytes):
-                known: dict[str, int] = {"": 0}
-                put, used = known.setdefault, []
+                known = Numbers({b"": 0})
+                used = []
                 for text in pdf.text:
-                    used.append(np.array([put(w, len(known)) for w in tokens(text)] + [0], np.uint32))
-                words = [w.encode("utf-8", "surrogatepass") for w in known]
-                own = [bucket_of(w, buckets) for w in words]
-                order = sorted(range(len(words)), key=lambda k: (own[k], words[k]))
+                    found = tokens(text)
+                    found.append(b"")
+                    used.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
+                words = list(known)
+                own = np.array([bucket_of(w, buckets) for w in words])
+                order = np.array(sorted(range(len(words)), key=words.__getitem__))
+                order = order[np.argsort(own[order], kind="stable")]
                 place = np.empty(len(words), np.uint32)
                 place[order] = np.arange(len(words))
                 lengths = np.array([len(u) for u in used])
                 flat = place[np.concatenate(used)]
                 train = np.repeat(~pdf.held_out.to_numpy(bool), lengths)
                 counts = np.bincount(flat[train], minlength=len(words)).astype("<u4")
-                cuts = np.searchsorted(np.array(own)[order], np.arange(buckets + 1))
+                cuts = np.searchsorted(own[order], np.arange(buckets + 1))
                 # a word and the blank behind it; the end counts as one
                 long = np.array([len(words[k]) + 1 for k in order])
                 sizes = np.add.reduceat(long[flat], np.cumsum(lengths) - lengths)
@@ -147,9 +154,10 @@ class Code:
             self.bit[at[live]], self.node[at[live]] = side[here[live]], parent[here[live]] - len(weights)
             here = parent[here]
             at = at - 1
-        self.rest, self.near = np.zeros(len(weights)), most or 0
+        self.rest = np.zeros(len(weights))
         if most:
             self._cut(np.array(weights, float), most)
+        self._lined()
 
     def _cut(self, weights: np.ndarray, most: int) -> None:
         length = np.minimum(self.length, most)
@@ -165,31 +173,45 @@ class Code:
         self.rest = np.log10(weights / np.bincount(prefix, weights)[prefix])
         self.length, self.offset, self.node, self.bit = length, offset, node, bit
 
+    def _lined(self) -> None:
+        """Paths in pieces of ``LINE`` bits: those of an item stand at ``first``, each with the node it begins at, and with its bits' nodes, bits and slots in a row. A bit's slot names, within its piece, the bits before it, behind a one; there is none behind a path's end."""
+        self.pieces = -(-self.length // LINE)
+        self.first = np.cumsum(self.pieces) - self.pieces
+        place = np.arange(len(self.bit)) - np.repeat(self.offset, self.length)
+        to = np.repeat(LINE * self.first, self.length) + place
+        shape = (int(self.pieces.sum()), LINE)
+        self.nodes, self.bits, self.slots = np.zeros(shape, "u4"), np.zeros(shape, "u1"), np.zeros(shape, "u1")
+        self.nodes.ravel()[to], self.bits.ravel()[to], self.slots.ravel()[to] = self.node, self.bit, 1
+        for k in range(1, LINE):
+            self.slots[:, k] *= 2 * self.slots[:, k - 1] + self.bits[:, k - 1]
+        self.start = self.nodes[:, 0].astype(np.uint64) * _X
+
 
 def planes(code: Code, items: np.ndarray, contexts: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The items' bits in steps: (item of each bit, node, bit, the predictors' places in the tables). The places of a cut code's nodes behind one context are neighbours, so that an item's bits are near each other in memory."""
+    """The items' bits in steps: (item of each bit, node, bit, the predictors' places in the tables). A context is hashed with the node that a piece of a path begins at; the piece's nodes are neighbours."""
     contexts = np.ascontiguousarray(contexts)  # a row must be one piece: take() would copy it whole each time
     lengths = code.length[items]
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    if code.near:
-        contexts = ((contexts * _M) >> np.uint64(64 - bits + code.near)).astype(np.int64) << code.near
-        contexts += (np.arange(PREDICTORS) << bits)[:, None]
     cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(STEP, total, STEP)), [len(items)]]))
     for a, z in zip(cuts, cuts[1:], strict=False):
-        n = lengths[a:z]
-        owner = np.repeat(np.arange(a, z), n)
-        path = np.arange(len(owner)) + np.repeat(code.offset[items[a:z]] - (np.cumsum(n) - n), n)
-        node = code.node[path]
-        at = np.empty((PREDICTORS, len(owner)), np.int64)
-        mixed = node if code.near else node * _X
+        own = items[a:z]
+        n = code.pieces[own]
+        whose = np.repeat(np.arange(a, z), n)
+        piece = np.arange(len(whose)) + np.repeat(code.first[own] - (np.cumsum(n) - n), n)
+        start, slots = code.start.take(piece), code.slots.take(piece, axis=0)
+        live = np.flatnonzero(slots)
+        at = np.empty((PREDICTORS, len(live)), np.int64)
         for k in range(PREDICTORS):
-            if code.near:
-                np.add(contexts[k].take(owner), mixed, out=at[k])
-            else:
-                at[k] = ((contexts[k].take(owner) ^ mixed) * _M) >> np.uint64(64 - bits)
-                at[k] += k << bits
-        yield owner, node, code.bit[path].astype(np.int64), at
+            line = contexts[k].take(whose)
+            line ^= start
+            line *= _M
+            line >>= np.uint64(64 - bits + LINE)
+            line = line.view(np.int64)
+            line <<= LINE
+            line += k << bits
+            np.take((line[:, None] + slots).ravel(), live, out=at[k], mode="clip")
+        yield np.repeat(np.arange(a, z), lengths[a:z]), code.nodes.take(piece, axis=0).ravel().take(live), code.bits.take(piece, axis=0).ravel().take(live), at
 
 
 def token_contexts(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -249,6 +271,10 @@ def trained_letters(known: dict[bytes, int]) -> Callable[[pd.DataFrame], Stream]
     return stream
 
 
+#: A zero and a one, each in its half of a number.
+TALLY = np.array([1 << 32, 1], np.uint64)
+
+
 def _counted(code, bits: int, parts: int, stream):
     """Counts of zeros and ones at each place of the tables, over all that the task has."""
 
@@ -257,11 +283,14 @@ def _counted(code, bits: int, parts: int, stream):
         of = stream() if isinstance(stream, Later) else stream
         for pdf in batches:
             for items, contexts, weights in of(pdf):
-                counts = np.zeros(2 * places, np.uint32) if counts is None else counts
+                counts = np.zeros(places, np.uint64) if counts is None else counts
                 for owner, _, bit, at in planes(code.value, items, contexts, bits):
-                    np.add.at(counts, (2 * at + bit).ravel(), np.uint32(1) if weights is None else np.tile(weights[owner], PREDICTORS).astype(np.uint32))
+                    more = TALLY.take(bit)
+                    more = more if weights is None else more * weights[owner].astype(np.uint64)
+                    for k in range(PREDICTORS):
+                        np.add.at(counts, at[k], more)
         if counts is not None:
-            zeros, ones = counts[::2], counts[1::2]
+            ones, zeros = counts.view("<u4").reshape(-1, 2).T
             cuts = np.linspace(0, places, parts + 1).astype(int)
             for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 yield pd.DataFrame({"part": [k], "zeros": [_zip(zeros[a:z].tobytes())], "ones": [_zip(ones[a:z].tobytes())]})
@@ -283,14 +312,14 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     """The tasks' counts together, zeros in the upper and ones in the lower half of a number; counts beyond ``MOST`` keep their ratio."""
     total = [sum(np.frombuffer(_unzip(x), "<u4").astype("i8") for x in pdf[c]) for c in ("zeros", "ones")]
     over = np.maximum(np.maximum(*total) / MOST, 1)
-    z, o = (np.rint(t / over).astype("<u4") for t in total)
+    z, o = (np.maximum(np.rint(t / over), t > 0).astype("<u4") for t in total)  # what was seen stays seen
     return pd.DataFrame({"part": [pdf.part.iloc[0]], "counts": [_zip((z << np.uint32(16) | o).tobytes())]})
 
 
 MOST = 65535
 LOGS = np.log(np.arange(MOST + 1) + PRIOR).astype("f4")
 #: 0, 1, 2-3, 4-15, 16-255 and more.
-LEVELS = np.searchsorted([1, 2, 4, 16, 256], np.arange(2 * MOST + 1), side="right")
+LEVELS = np.searchsorted([1, 2, 4, 16, 256], np.arange(2 * MOST + 1), side="right").astype("u1")
 
 
 class Ready:
@@ -302,24 +331,30 @@ class Ready:
             c = counts[a : a + (1 << 20)]
             self.odds[a : a + (1 << 20)] = LOGS[c & MOST] - LOGS[c >> 16]
         places = len(counts) // PREDICTORS
-        self.levels = {k: LEVELS[(c >> 16) + (c & MOST)].astype("u1") for k in GATED for c in [counts[k * places : (k + 1) * places]]}
+        self.levels = {k: LEVELS[(c >> 16) + (c & MOST)] for k in GATED for c in [counts[k * places : (k + 1) * places]]}
 
     def inputs(self, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.ones((INPUTS, at.shape[1]), "f4")
         self.odds.take(at, out=x[:-1], mode="clip")
-        one, two = (self.levels[k].take(at[k] - (k << bits)).astype(np.int64) for k in GATED)
-        return x, one * 6 + two
+        one, two = (self.levels[k].take(at[k] - (k << bits), mode="clip") for k in GATED)
+        return x, one * np.uint8(6) + two
 
 
-def _left_out(counts: np.ndarray, at: np.ndarray, bit: np.ndarray, own: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """The predictors' log odds with a constant, and the gate, where each bit is in the counts ``own`` times and must be left out."""
+def _left_out(counts: np.ndarray, at: np.ndarray, bit: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The predictors' log odds with a constant, and the gate, where each bit is in the counts ``own`` times (once, if none) and must be left out."""
     seen = counts.take(at)
-    z, o = (seen >> np.uint32(16)).astype(np.int64), (seen & np.uint32(MOST)).astype(np.int64)
-    z, o = np.maximum(z - own * (1 - bit), 0), np.maximum(o - own * bit, 0)
-    x = np.ones((INPUTS, at.shape[1]), "f4")
-    np.subtract(LOGS.take(o), LOGS.take(z), out=x[:-1])
+    if own is None:
+        seen -= np.where(bit, np.uint32(1), np.uint32(1 << 16))
+    else:
+        z, o = np.minimum(own * (1 - bit.astype(np.int64)), seen >> np.uint32(16)), np.minimum(own * bit, seen & np.uint32(MOST))
+        seen -= (z << 16 | o).astype("<u4")
+    z, o = seen >> np.uint32(16), seen & np.uint32(MOST)
     one, two = (LEVELS.take(z[k] + o[k]) for k in GATED)
-    return x, one * 6 + two
+    x = np.ones((INPUTS, at.shape[1]), "f4")
+    odds = np.add(o, np.float32(PRIOR), out=x[:-1], dtype="f4", casting="same_kind")
+    odds /= np.add(z, np.float32(PRIOR), dtype="f4", casting="same_kind")
+    np.log(odds, out=odds)
+    return x, one * np.uint8(6) + two
 
 
 def _unpacked(parts: list[bytes], bits: int, ready: bool):
@@ -342,6 +377,9 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 KNOTS = np.linspace(-12, 12, 33)
+LEAST, WIDTH = float(KNOTS[0]), float(KNOTS[1] - KNOTS[0])
+#: What is left of a cell after so many bits.
+LEFT = 0.98 ** np.arange(STEP)
 
 
 class Mixer:
@@ -354,30 +392,37 @@ class Mixer:
         self.taught, self.visits = np.zeros(GATES), np.zeros(self.table.size)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("kn,kn->n", self.w.T.take(gate, axis=1), x), -12, 12)
+        gate, out = gate.astype(np.int64), np.zeros(len(gate), "f4")
+        for k in range(INPUTS):
+            w = self.w[:, k].take(gate)
+            w *= x[k]
+            out += w
+        return np.clip(out, -12, 12, out=out)
 
     def refined(self, node: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         """The probability of a one: the mean of the mixture's and the table's, straight between its knots."""
-        t = (mixed - KNOTS[0]) / (KNOTS[1] - KNOTS[0])
-        k = np.minimum(t.astype(np.int64), len(KNOTS) - 2)
-        f = t - k
-        at = node * len(KNOTS) + k
+        t = (mixed - LEAST) / WIDTH
+        k = np.minimum(t.astype(np.int32), len(KNOTS) - 2)
+        f = t - k.astype("f4")
+        at = (node * len(KNOTS) + k).astype(np.int64)
         flat = self.table.ravel()
-        p = flat[at] * (1 - f) + flat[at + 1] * f
+        p = flat.take(at)
+        p += (flat.take(at + 1) - p) * f
         return np.clip((p + _squash(mixed)) / 2, 1e-7, 1 - 1e-7)
 
     def learn(self, node: np.ndarray, bit: np.ndarray, x: np.ndarray, gate: np.ndarray, rate: float = 0.3) -> None:
         """One step: each gate's weights by its bits' mean, and each of the table's cells as by its bits one after the other."""
+        gate = gate.astype(np.int64)
         mixed = self.mixed(x, gate)
         wrong = bit - _squash(mixed)
         n = np.bincount(gate, minlength=GATES)
         for k in range(INPUTS):
             self.w[:, k] += rate * np.bincount(gate, wrong * x[k], GATES) / (n + 16)
         self.taught += n
-        k = node * len(KNOTS) + np.rint((mixed - KNOTS[0]) / (KNOTS[1] - KNOTS[0])).astype(np.int64)
+        k = node * np.int64(len(KNOTS)) + np.rint((mixed - LEAST) / WIDTH).astype(np.int64)
         n = np.bincount(k, minlength=self.table.size)
         flat = self.table.ravel()
-        flat += (1 - 0.98**n) * (np.bincount(k, bit, self.table.size) / np.maximum(n, 1) - flat)
+        flat += (1 - LEFT.take(n, mode="clip")) * (np.bincount(k, bit, self.table.size) / np.maximum(n, 1) - flat)
         self.visits += n
 
     def state(self) -> tuple[np.ndarray, np.ndarray]:
@@ -401,7 +446,7 @@ def _learnt(code, counts, bits: int, stream, parts: int = 8):
         for pdf in batches:
             for items, contexts, weights in of(pdf):
                 for owner, node, bit, at in planes(code.value, items, contexts, bits):
-                    x, gate = _left_out(counts.value, at, bit, 1 if weights is None else weights[owner])
+                    x, gate = _left_out(counts.value, at, bit, None if weights is None else weights[owner])
                     mixer.learn(node & np.uint32(255), bit, x, gate)
         state, n = mixer.state()
         cut = [np.array_split(y, parts) for y in (state * n, n)]
@@ -441,8 +486,8 @@ class Model:
             for owner, node, bit, at in planes(code.value, items, contexts, bits):
                 one = mixer.value.refined(node & np.uint32(255), mixer.value.mixed(*ready.value.inputs(at, bits)))
                 a = int(owner[0]) if len(owner) else 0
-                own = np.bincount(owner - a, np.log10(np.where(bit == 1, one, 1 - one)))
-                out[a : a + len(own)] += own
+                own = np.bincount(owner - a, np.log(np.where(bit, one, 1 - one)))
+                out[a : a + len(own)] += own / np.log(10)
             return out + code.value.rest[items]
 
         return logs
@@ -513,14 +558,14 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def table_bits(size: int) -> int:
     """Bits of each predictor's table, so that places grow with the input; 2^22 at most, which an executor's workers can hold (67 MB for all)."""
-    return min(22, max(16, int(size).bit_length() - 8))
+    return min(22, max(18, int(size).bit_length() - 6))
 
 
 def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", most_words: int = 65_536) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
 
     A text is a run of words, A-Z small, and an end. Words are written in bits: the ``most_words`` most frequent ones of the training texts by a
-    Huffman code of their counts, whose first ``CLASS_BITS`` bits are predicted and whose others go by the counts alone, the other words by a sign and then letter by letter, in a Huffman code of bytes. Each bit's probability is a mixture of
+    Huffman code of their counts, the other words by a sign and then letter by letter, in a Huffman code of bytes. Each bit's probability is a mixture of
     predictors that have counted zeros and ones, in all training texts, at the bit's node behind hashed contexts (``PREDICTORS``, ``ORDERS``);
     a word's letters see their own word only, so that each distinct word is spelled once however often it occurs. The mixture's weights are chosen by a gate and
     learnt online, as is a table that refines them, in each task over all bits of its training texts, each bit left out of the counts it is
@@ -534,7 +579,7 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
     cores = sc.defaultParallelism
     buckets = max(64, size // 12_000_000)
     spread = max(2 * cores, buckets)  # given outright: few bytes are much work here
-    docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     blocks = staged(docs.mapInPandas(_blocks(buckets, min(1 << 24, max(1 << 20, size // (4 * cores)))), BLOCKS), "lm-blocks")
     words = staged(blocks.filter(F.col("bucket") >= 0).repartition(spread, "bucket").groupBy("bucket").applyInPandas(_merge, MERGED), "lm-words")
     n, v = (x or 0 for x in words.agg(F.sum("n"), F.sum("v")).first())
@@ -553,6 +598,6 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
     values = words.select("words", "counts", "blocks", "firsts", "places").mapInPandas(_valued(known, spelling.scorer()), "block long, first long, values binary, docs binary")
     both = values.unionByName(blocks.filter(F.col("bucket") < 0).select("block", F.lit(-1).cast("long").alias("first"), F.lit(None).cast("binary").alias("values"), "docs"))
     coded = staged(both.repartition(spread, "block").groupBy("block").applyInPandas(_coded(n, v), "docs binary"), "lm-coded")
-    model = Model(coded, trained_tokens, Code([max(1, spelled), max(1, ends), *(c for _, c in chosen)], CLASS_BITS), bits, tasks)
+    model = Model(coded, trained_tokens, Code([max(1, spelled), max(1, ends), *(c for _, c in chosen)]), bits, tasks)
     out = coded.mapInPandas(_scored(model.scorer()), "doc long, unnamed boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return out.select(F.when(~F.col("unnamed"), F.col("doc")).alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

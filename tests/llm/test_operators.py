@@ -384,6 +384,23 @@ def test_language_model_learns_what_follows(spark):
     assert math.isclose(got[0].bits_per_byte, -got[0].score * math.log2(10) / size, rel_tol=1e-9)
 
 
+def test_language_model_predicts_whole_words(spark):
+    rng = np.random.default_rng(9)
+    after = rng.permutation(512)
+    texts = [" ".join(w for k in rng.integers(0, 512, 100) for w in (f"head{k}", f"tail{after[k]}")) for _ in range(300)]
+    texts[1] = " ".join(rng.permutation(texts[0].split()))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in mixing.scores(docs, F.col("doc_id") < 2).collect()}
+    # of two words the second follows from the first: its code of about 10 bits costs next to nothing
+    assert got[0].score > got[0].base_score * 0.65 and got[0].score > got[1].score * 0.6
+
+
+def test_language_model_bytes():
+    for text in ("A\u00a0b\u3000c \u00c9\x0bD\x1ce\x85f\tg\r\n\x0c h", "", "  ", "\u0130I"):
+        assert [w.decode() for w in mixing.tokens(text.encode())] == WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    assert mixing.tokens(None) == []
+
+
 def test_language_model_code():
     weights = [5, 1, 1, 9, 30, 2]
     code = mixing.Code(weights)
