@@ -141,7 +141,9 @@ def sound_prefix(lines: DataFrame, line: str, bad: Column) -> DataFrame:
 
 def same_replays(one: DataFrame, two: DataFrame) -> DataFrame:
     """Rows that only one of two replays has, each as often as it's missing."""
-    return one.exceptAll(two).withColumn("only_in", F.lit(1)).unionByName(two.exceptAll(one).withColumn("only_in", F.lit(2)))
+    both = one.withColumn("__more", F.lit(1)).union(two.withColumn("__more", F.lit(-1)))
+    more = both.groupBy(*one.columns).agg(F.sum("__more").alias("__more")).filter("__more <> 0")
+    return more.select(*one.columns, F.when(F.col("__more") > 0, 1).otherwise(2).alias("only_in"), F.explode(F.sequence(F.lit(1), F.abs("__more").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def state_hash(df: DataFrame, key: list[str]) -> DataFrame:

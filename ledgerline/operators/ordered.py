@@ -23,22 +23,26 @@ def ranked(df: DataFrame, order: list[str | Column], name: str = "rank") -> Data
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "sequence_number") -> DataFrame:
     """A gapless number from 1 for each row of a key, in order."""
     rows = ranked(df, [*keys, *order], "__rank")
-    first = rows.groupBy(*keys).agg(F.min("__rank").alias("__least"))
+    # written, so that Spark knows how few keys there are and need not shuffle all rows for them
+    first = staged(rows.groupBy(*keys).agg(F.min("__rank").alias("__least")), "first-ranks")
     return rows.join(first, keys).withColumn(name, F.col("__rank") - F.col("__least") + 1).drop("__rank", "__least")
 
 
-def last_before(df: DataFrame, keys: list[str], order: str, value: Column, name: str, block: int = 1 << 16) -> DataFrame:
+def last_before(df: DataFrame, keys: list[str], order: str, value: Column, name: str, block: int = 1 << 16, in_order: bool = False) -> DataFrame:
     """``df`` with the last value of its key that isn't null, before the row. ``order`` is a whole number and unique in its key.
 
-    Windows go over blocks of ``order`` only; what a block hands on is its last value, one row a block."""
+    Windows go over blocks of ``order`` only; what a block hands on is its last value, one row a block. With ``in_order``, for an ``order`` without gaps,
+    blocks are dealt by ranges, so that later partitions have later rows, and ``value`` is worked out behind the one shuffle of all rows."""
     own = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumns({"__block": F.expr(f"floor({order} / {block})"), "__value": value})
-    handed = rows.filter(F.col("__value").isNotNull()).groupBy(*keys, "__block").agg(F.max_by("__value", order).alias("__last"))
+    rows = df.withColumn("__block", F.expr(f"floor({order} / {block})"))
+    handed = rows.withColumn("__value", value)
+    rows = (rows.repartitionByRange(*keys, "__block") if in_order else rows).withColumn("__value", value)
+    handed = handed.filter(F.col("__value").isNotNull()).groupBy(*keys, "__block").agg(F.max_by("__value", order).alias("__last"))
     blocks = rows.select(*keys, "__block").distinct().join(handed, [*keys, "__block"], "left")
     past = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*keys, "__block", F.last("__last", ignorenulls=True).over(past).alias("__handed"))
     rows = rows.withColumn("__own", F.last("__value", ignorenulls=True).over(own))
-    return rows.join(blocks, [*keys, "__block"]).withColumn(name, F.coalesce("__own", "__handed")).drop("__block", "__value", "__own", "__handed")
+    return rows.join(F.broadcast(blocks) if in_order else blocks, [*keys, "__block"]).withColumn(name, F.coalesce("__own", "__handed")).drop("__block", "__value", "__own", "__handed")
 
 
 def at_ranks(df: DataFrame, value: str, shares: list[float]) -> DataFrame:

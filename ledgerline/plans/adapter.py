@@ -23,9 +23,10 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select(
         F.concat(F.lit("tenant-"), (F.col("user_id") % 4).cast("string")).alias("project_id"), F.col("event_id").alias("arrival"), F.col("event_id").cast("string").alias("event_id"), "event_type", "user_id", "value", F.col("props").alias("payload"), "ts"
     )
-    rows = numbered(rows, ["project_id"], ["arrival"]).withColumn("payload_hash", payload_hash()).drop("arrival")
-    rows = last_before(rows, ["project_id"], "sequence_number", chain_hash(), "previous_hash")
-    return rows.select("project_id", "sequence_number", "event_id", "event_type", "user_id", "value", "payload", "payload_hash", "previous_hash", "ts")
+    rows = numbered(rows, ["project_id"], ["arrival"]).drop("arrival")
+    # hashes don't compress: they are made when the rows are where they are written
+    rows = last_before(rows, ["project_id"], "sequence_number", chain_hash(hashed=payload_hash()), "previous_hash", in_order=True)
+    return rows.withColumn("payload_hash", payload_hash()).select("project_id", "sequence_number", "event_id", "event_type", "user_id", "value", "payload", "payload_hash", "previous_hash", "ts")
 
 
 _stored: dict[tuple, tuple[str, StructType]] = {}
@@ -37,7 +38,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _stored:
         rows = ingested(spark, sf_dir)
         path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
-        rows.repartitionByRange("project_id", "sequence_number").sortWithinPartitions("project_id", "sequence_number").write.partitionBy("project_id").parquet(path)
+        rows.sortWithinPartitions("project_id", "sequence_number").write.partitionBy("project_id").option("compression", "zstd").parquet(path)
         _stored[key] = path, rows.schema
     path, schema = _stored[key]
     return spark.read.schema(schema).parquet(path).select(*schema.names)
