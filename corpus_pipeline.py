@@ -11,6 +11,20 @@ from ledgerline.llm.common import table
 from ledgerline.llm.queries import quality_weights
 from ledgerline.storage import staged
 
+#: Bitmaps of 32,768 ids that are broadcast: 4 KB each.
+MOST_BITMAPS = 4096
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``. Ids go to the documents as bitmaps, a bit each where they are dense, so that no text is shuffled; ids so sparse that there are more than ``MOST_BITMAPS`` are joined by a shuffle."""
+    part, place = F.shiftright("doc_id", 15), F.col("doc_id").bitwiseAND(32767)
+    maps = staged(ids.groupBy(part.alias("__part")).agg(F.bitmap_construct_agg(place).alias("__bits")), "kept-ids")
+    if maps.count() > MOST_BITMAPS:
+        return docs.join(ids.select("doc_id"), "doc_id", "left_semi")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("__part", part).join(F.broadcast(maps), "__part")
+    return found.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*docs.columns)
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -22,7 +36,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The smallest doc_id of each group of near-duplicates, its row once; documents in no group stay, as do those without an id."""
     groups = staged(jaccard.similar_groups(docs).filter("doc_id is not null"), "groups")
     leaders = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.filter("doc_id is not null").join(leaders.select("doc_id"), "doc_id", "left_semi")
+    kept = with_ids(docs.filter("doc_id is not null"), leaders.select("doc_id"))
     if not leaders.filter("rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

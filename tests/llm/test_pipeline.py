@@ -42,3 +42,20 @@ def test_odd_rows(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
     assert corpus_pipeline.without_secrets(spark, docs, "").count() == 4
     assert corpus_pipeline.encoded(spark, docs, "").count() == 4
+
+
+def test_ids_reach_documents_without_a_shuffle_of_texts(spark):
+    ids = [0, 1, 7, 8, 32_767, 32_768, -1, -32_768, -32_769, 2**63 - 1, -(2**63), 70_000]
+    docs = spark.createDataFrame([(k, f"text {k}") for k in [*ids, 2, 9, 32_766, -2, 2**62, None, 7]], "doc_id long, text string")
+    wanted = spark.createDataFrame([(k,) for k in ids], "doc_id long")
+    most, limit = corpus_pipeline.MOST_BITMAPS, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.with_ids(docs, wanted)
+        assert sorted(r.doc_id for r in got.collect()) == sorted([*ids, 7]) and got.columns == docs.columns
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        corpus_pipeline.MOST_BITMAPS = 3
+        assert sorted(r.doc_id for r in corpus_pipeline.with_ids(docs, wanted).collect()) == sorted([*ids, 7])
+    finally:
+        corpus_pipeline.MOST_BITMAPS = most
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
