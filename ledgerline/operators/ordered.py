@@ -35,10 +35,10 @@ def last_before(df: DataFrame, keys: list[str], order: str, value: Column, name:
     blocks are dealt by ranges, so that later partitions have later rows, and ``value`` is worked out behind the one shuffle of all rows."""
     own = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("__block", F.expr(f"floor({order} / {block})"))
-    handed = rows.withColumn("__value", value)
+    named = rows.withColumn("__value", value)
     rows = (rows.repartitionByRange(*keys, "__block") if in_order else rows).withColumn("__value", value)
-    handed = handed.filter(F.col("__value").isNotNull()).groupBy(*keys, "__block").agg(F.max_by("__value", order).alias("__last"))
-    blocks = rows.select(*keys, "__block").distinct().join(handed, [*keys, "__block"], "left")
+    handed = named.filter(F.col("__value").isNotNull()).groupBy(*keys, "__block").agg(F.max_by("__value", order).alias("__last"))
+    blocks = named.select(*keys, "__block").distinct().join(handed, [*keys, "__block"], "left")
     past = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*keys, "__block", F.last("__last", ignorenulls=True).over(past).alias("__handed"))
     rows = rows.withColumn("__own", F.last("__value", ignorenulls=True).over(own))
