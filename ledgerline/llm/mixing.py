@@ -174,7 +174,7 @@ class Code:
         self.length, self.offset, self.node, self.bit = length, offset, node, bit
 
     def _lined(self) -> None:
-        """Paths in pieces of ``LINE`` bits: those of an item stand at ``first``, each with the node it begins at, and with its bits' nodes, bits and slots in a row. A bit's slot names, within its piece, the bits before it, behind a one; there is none behind a path's end."""
+        """Paths in pieces of ``LINE`` bits: those of an item stand at ``first``, each with the node it begins at, and with its bits' nodes, bits and slots in a row. A bit's slot names, within its piece, the bits before it, behind a one; there is none behind a path's end. A piece's outcome is the name of the bits it ends with, behind a one. ``cells`` has a bit's node for the mixer, or 256 behind a path's end."""
         self.pieces = -(-self.length // LINE)
         self.first = np.cumsum(self.pieces) - self.pieces
         place = np.arange(len(self.bit)) - np.repeat(self.offset, self.length)
@@ -185,41 +185,93 @@ class Code:
         for k in range(1, LINE):
             self.slots[:, k] *= 2 * self.slots[:, k - 1] + self.bits[:, k - 1]
         self.start = self.nodes[:, 0].astype(np.uint64) * _X
+        self.outcomes = (2 * self.slots.astype(np.int64) + self.bits).max(axis=1)
+        self.cells = np.where(self.slots > 0, self.nodes & np.uint32(255), 256).astype("u2")
+        self.own = np.where(self.slots > 0, np.where(self.bits > 0, 1, 1 << 16), 0).astype("<u4")
 
 
-def planes(code: Code, items: np.ndarray, contexts: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The items' bits in steps: (item of each bit, node, bit, the predictors' places in the tables). A context is hashed with the node that a piece of a path begins at; the piece's nodes are neighbours."""
-    contexts = np.ascontiguousarray(contexts)  # a row must be one piece: take() would copy it whole each time
-    lengths = code.length[items]
-    ends = np.cumsum(lengths)
+def lines(code: Code, items: np.ndarray, contexts: np.ndarray, bits: int, least: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """The items' pieces in steps of ``STEP`` bits: (first item, pieces of each item, piece, where the piece's line begins in each table from ``least`` on). A context is hashed with the node that a piece of a path begins at; the piece's nodes are neighbours."""
+    ends = np.cumsum(code.length[items])
     total = int(ends[-1]) if len(ends) else 0
     cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(STEP, total, STEP)), [len(items)]]))
     for a, z in zip(cuts, cuts[1:], strict=False):
         own = items[a:z]
         n = code.pieces[own]
-        whose = np.repeat(np.arange(a, z), n)
-        piece = np.arange(len(whose)) + np.repeat(code.first[own] - (np.cumsum(n) - n), n)
-        start, slots = code.start.take(piece), code.slots.take(piece, axis=0)
+        piece = np.repeat(code.first[own] - (np.cumsum(n) - n), n)
+        piece += np.arange(len(piece))
+        start = code.start.take(piece)
+        yield int(a), n, piece, [_line(np.repeat(contexts[k, a:z], n), start, k, bits) for k in range(least, PREDICTORS)]
+
+
+def _line(context: np.ndarray, start: np.ndarray, k: int, bits: int) -> np.ndarray:
+    line = context ^ start
+    line *= _M
+    line >>= np.uint64(64 - bits + LINE)
+    line = line.view(np.int64)
+    line <<= LINE
+    line += k << bits
+    return line
+
+
+def _spots(line: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    at = np.repeat(line, LINE)
+    at += slots
+    return at
+
+
+def _alone(code: Code, bits: int) -> np.ndarray:
+    """The places of all the code's bits for the first predictor where it sees nothing: they depend on the piece alone."""
+    return _spots(_line(np.zeros(len(code.start), np.uint64), code.start, 0, bits), code.slots.ravel())
+
+
+def planes(code: Code, items: np.ndarray, contexts: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The items' bits, one by one, in steps: (item of each bit, node, bit, the predictors' places in the tables)."""
+    lengths = code.length[items]
+    for a, n, piece, line in lines(code, items, contexts, bits):
+        slots = code.slots.take(piece, axis=0).ravel()
         live = np.flatnonzero(slots)
-        at = np.empty((PREDICTORS, len(live)), np.int64)
-        for k in range(PREDICTORS):
-            line = contexts[k].take(whose)
-            line ^= start
-            line *= _M
-            line >>= np.uint64(64 - bits + LINE)
-            line = line.view(np.int64)
-            line <<= LINE
-            line += k << bits
-            np.take((line[:, None] + slots).ravel(), live, out=at[k], mode="clip")
-        yield np.repeat(np.arange(a, z), lengths[a:z]), code.nodes.take(piece, axis=0).ravel().take(live), code.bits.take(piece, axis=0).ravel().take(live), at
+        z = a + len(n)
+        yield np.repeat(np.arange(a, z), lengths[a:z]), code.nodes.take(piece, axis=0).ravel().take(live), code.bits.take(piece, axis=0).ravel().take(live), np.stack([_spots(x, slots).take(live) for x in line])
 
 
-def token_contexts(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """What each predictor sees before each token; a text begins behind ends."""
+def _before(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """The last token and the one before it, plus one; a text begins behind ends."""
     place = np.arange(len(flat)) - np.repeat(starts, lengths)
     ids = flat.astype(np.uint64) + np.uint64(1)
-    last, before = (np.where(place >= k, np.concatenate([np.full(k, END + 1, np.uint64), ids[:-k]])[: len(ids)], np.uint64(END + 1)) for k in (1, 2))
-    return np.stack([np.zeros(len(flat), np.uint64), last * _Y, (last + before * _M) * _X, before * _M + np.uint64(7)])
+    return [np.where(place >= k, np.concatenate([np.full(k, END + 1, np.uint64), ids[:-k]])[: len(ids)], np.uint64(END + 1)) for k in (1, 2)]
+
+
+def _contexts(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return np.stack([np.zeros(len(last), np.uint64), last * _Y, (last + before * _M) * _X, before * _M + np.uint64(7)])
+
+
+def token_contexts(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What each predictor sees before each token."""
+    return _contexts(*_before(flat, starts, lengths))
+
+
+#: Bits of a token's number in a key of three.
+WIDE = np.uint64(21)
+
+
+def distinct(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens behind the same two (of those marked by ``some``, or all), sorted so that equal contexts are together: (items, contexts, the place of each token among them). Predictors see no more than two tokens."""
+    last, before = _before(flat, starts, lengths)
+    if some is not None:
+        flat, last, before = flat[some], last[some], before[some]
+    if int(flat.max(initial=0)) >= (1 << int(WIDE)) - 1:  # more than two million words don't fit a key
+        return flat, _contexts(last, before), np.arange(len(flat))
+    keys = (last << WIDE | before) << WIDE | flat
+    del last, before
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    keys, least = keys[new], np.uint64((1 << int(WIDE)) - 1)
+    return (keys & least).astype(np.uint32), _contexts(keys >> WIDE + WIDE, keys >> WIDE & least), place
 
 
 def letter_contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,6 +308,15 @@ def trained_tokens(pdf: pd.DataFrame) -> Stream:
         yield flat[train], token_contexts(flat, np.cumsum(lengths) - lengths, lengths)[:, train], None
 
 
+def counted_tokens(pdf: pd.DataFrame) -> Stream:
+    """As ``trained_tokens``, but a block's equal ones once, weighted by their number: for what needs no order."""
+    for body in pdf.docs:
+        whole, _, flat = _read(body)
+        lengths = whole[3]
+        items, contexts, place = distinct(flat, np.cumsum(lengths) - lengths, lengths, np.repeat(whole[2] == 0, lengths))
+        yield items, contexts, np.bincount(place, minlength=len(items))
+
+
 def trained_letters(known: dict[bytes, int]) -> Callable[[pd.DataFrame], Stream]:
     """(items, contexts, weights) of the training words that are spelled, each once and weighted by its count."""
 
@@ -271,29 +332,42 @@ def trained_letters(known: dict[bytes, int]) -> Callable[[pd.DataFrame], Stream]
     return stream
 
 
-#: A zero and a one, each in its half of a number.
-TALLY = np.array([1 << 32, 1], np.uint64)
+def _unfolded(tally: np.ndarray) -> np.ndarray:
+    """From how often each of a line's outcomes came: zeros and ones at each place, in turns. An outcome is counted at all bits that lead to it."""
+    tally = tally.reshape(-1, 2 << LINE)
+    for p in range((1 << LINE) - 1, 1, -1):
+        tally[:, p] += tally[:, 2 * p] + tally[:, 2 * p + 1]
+    return tally.reshape(-1, 2)
 
 
 def _counted(code, bits: int, parts: int, stream):
-    """Counts of zeros and ones at each place of the tables, over all that the task has."""
+    """Counts of zeros and ones at each place of the tables, over all that the task has. A piece of a path is counted once, by its outcome; those of a predictor that sees nothing are counted by the piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, counts = PREDICTORS << bits, None
+        places, tally = PREDICTORS << bits, None
         of = stream() if isinstance(stream, Later) else stream
         for pdf in batches:
             for items, contexts, weights in of(pdf):
-                counts = np.zeros(places, np.uint64) if counts is None else counts
-                for owner, _, bit, at in planes(code.value, items, contexts, bits):
-                    more = TALLY.take(bit)
-                    more = more if weights is None else more * weights[owner].astype(np.uint64)
-                    for k in range(PREDICTORS):
-                        np.add.at(counts, at[k], more)
-        if counts is not None:
-            ones, zeros = counts.view("<u4").reshape(-1, 2).T
-            cuts = np.linspace(0, places, parts + 1).astype(int)
+                if tally is None:
+                    tally = np.zeros(2 * places, np.uint32)
+                    came = np.zeros(len(code.value.start), np.int64)
+                alone = not contexts[0].any()
+                for a, n, piece, line in lines(code.value, items, contexts, bits, int(alone)):
+                    outcome = code.value.outcomes.take(piece)
+                    more = np.uint32(1) if weights is None else np.repeat(weights[a : a + len(n)], n).astype(np.uint32)
+                    for at in line:
+                        at <<= 1
+                        at += outcome
+                        np.add.at(tally, at, more)
+                    if alone:
+                        came += np.bincount(piece, None if weights is None else more, len(came)).astype(np.int64)
+        if tally is not None:
+            first = _line(np.zeros(len(came), np.uint64), code.value.start, 0, bits)
+            np.add.at(tally, 2 * first + code.value.outcomes, came.astype(np.uint32))
+            cuts = np.linspace(0, places >> LINE, parts + 1).astype(int) << LINE
             for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                yield pd.DataFrame({"part": [k], "zeros": [_zip(zeros[a:z].tobytes())], "ones": [_zip(ones[a:z].tobytes())]})
+                zeros, ones = _unfolded(tally[2 * a : 2 * z]).T
+                yield pd.DataFrame({"part": [k], "zeros": [_zip(zeros.tobytes())], "ones": [_zip(ones.tobytes())]})
 
     return run
 
@@ -323,38 +397,66 @@ LEVELS = np.searchsorted([1, 2, 4, 16, 256], np.arange(2 * MOST + 1), side="righ
 
 
 class Ready:
-    """What scoring reads of the counts: log odds at all places, and how often the contexts ``GATED`` were seen, as levels."""
+    """What scoring reads of the counts: log odds at all places; in the last three bits of their fractions, how often the contexts ``GATED`` were seen, as levels."""
 
     def __init__(self, counts: np.ndarray):
-        self.odds = np.empty(len(counts), "f4")
+        self.odds, self.alone = np.empty(len(counts), "f4"), None
         for a in range(0, len(counts), 1 << 20):
             c = counts[a : a + (1 << 20)]
             self.odds[a : a + (1 << 20)] = LOGS[c & MOST] - LOGS[c >> 16]
         places = len(counts) // PREDICTORS
-        self.levels = {k: LEVELS[(c >> 16) + (c & MOST)] for k in GATED for c in [counts[k * places : (k + 1) * places]]}
+        for k in GATED:
+            for a in range(k * places, (k + 1) * places, 1 << 20):
+                z = min(a + (1 << 20), (k + 1) * places)
+                c, odds = counts[a:z], self.odds[a:z]
+                odds[odds == 0] = 1e-6  # else the level would be a subnormal number
+                own = odds.view("u4")
+                own &= np.uint32(0xFFFFFFF8)
+                own |= LEVELS[(c >> 16) + (c & MOST)]
+
+    def gate(self, x: list[np.ndarray]) -> np.ndarray:
+        one, two = (x[k].view("u4") & np.uint32(7) for k in GATED)
+        one *= np.uint32(6)
+        one += two
+        return one
 
     def inputs(self, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.ones((INPUTS, at.shape[1]), "f4")
         self.odds.take(at, out=x[:-1], mode="clip")
-        one, two = (self.levels[k].take(at[k] - (k << bits), mode="clip") for k in GATED)
-        return x, one * np.uint8(6) + two
-
-
-def _left_out(counts: np.ndarray, at: np.ndarray, bit: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The predictors' log odds with a constant, and the gate, where each bit is in the counts ``own`` times (once, if none) and must be left out."""
-    seen = counts.take(at)
-    if own is None:
-        seen -= np.where(bit, np.uint32(1), np.uint32(1 << 16))
-    else:
-        z, o = np.minimum(own * (1 - bit.astype(np.int64)), seen >> np.uint32(16)), np.minimum(own * bit, seen & np.uint32(MOST))
-        seen -= (z << 16 | o).astype("<u4")
-    z, o = seen >> np.uint32(16), seen & np.uint32(MOST)
-    one, two = (LEVELS.take(z[k] + o[k]) for k in GATED)
-    x = np.ones((INPUTS, at.shape[1]), "f4")
-    odds = np.add(o, np.float32(PRIOR), out=x[:-1], dtype="f4", casting="same_kind")
-    odds /= np.add(z, np.float32(PRIOR), dtype="f4", casting="same_kind")
-    np.log(odds, out=odds)
-    return x, one * np.uint8(6) + two
+        return x, self.gate(x)
+
+    def of_pieces(self, code: Code, piece: np.ndarray, line: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """``inputs`` of all bits of pieces, without the constant; with a line too few, those of the predictor that sees nothing come first."""
+        slots, x = code.slots.take(piece, axis=0).ravel().astype(np.int64), []
+        if len(line) < PREDICTORS:
+            if self.alone is None:
+                self.alone = self.odds.take(_alone(code, bits)).reshape(-1, LINE)
+            x = [self.alone.take(piece, axis=0).ravel()]
+        x += [self.odds.take(_spots(at, slots)) for at in line]
+        return x, self.gate(x)
+
+
+def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    odds = np.add(ones, np.float32(PRIOR), dtype="f4", casting="same_kind")
+    odds /= np.add(zeros, np.float32(PRIOR), dtype="f4", casting="same_kind")
+    return np.log(odds, out=odds)
+
+
+def _left_out(counts: np.ndarray, spots: Iterator[np.ndarray], own: np.ndarray, whole: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """The predictors' log odds, and the gate, where ``own`` (zeros in the upper half, ones in the lower) is in the counts and must be left out. With ``whole``, the counts hold it all."""
+    x, levels = [], []
+    for at in spots:
+        seen = counts.take(at)
+        seen -= own if whole else np.minimum(own >> np.uint32(16), seen >> np.uint32(16)) << np.uint32(16) | np.minimum(own & np.uint32(MOST), seen & np.uint32(MOST))
+        z, o = seen >> np.uint32(16), seen & np.uint32(MOST)
+        x.append(_odds(z, o))
+        z += o
+        levels.append(z)
+    shift = PREDICTORS - len(x)
+    one, two = (LEVELS.take(levels[k - shift]) for k in GATED)
+    one *= np.uint8(6)
+    one += two
+    return x, one
 
 
 def _unpacked(parts: list[bytes], bits: int, ready: bool):
@@ -391,10 +493,11 @@ class Mixer:
         self.table = np.repeat(_squash(KNOTS)[None], 256, axis=0).astype("f4")
         self.taught, self.visits = np.zeros(GATES), np.zeros(self.table.size)
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        gate, out = gate.astype(np.int64), np.zeros(len(gate), "f4")
-        for k in range(INPUTS):
-            w = self.w[:, k].take(gate)
+    def mixed(self, x: np.ndarray | list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        gate = gate.astype(np.int64)
+        out = self.w[:, -1].take(gate, mode="clip")
+        for k in range(PREDICTORS):
+            w = self.w[:, k].take(gate, mode="clip")
             w *= x[k]
             out += w
         return np.clip(out, -12, 12, out=out)
@@ -410,19 +513,34 @@ class Mixer:
         p += (flat.take(at + 1) - p) * f
         return np.clip((p + _squash(mixed)) / 2, 1e-7, 1 - 1e-7)
 
-    def learn(self, node: np.ndarray, bit: np.ndarray, x: np.ndarray, gate: np.ndarray, rate: float = 0.3) -> None:
-        """One step: each gate's weights by its bits' mean, and each of the table's cells as by its bits one after the other."""
-        gate = gate.astype(np.int64)
-        mixed = self.mixed(x, gate)
+    def learn(self, node: np.ndarray, bit: np.ndarray, x: list[np.ndarray], gate: np.ndarray, rate: float = 0.3) -> None:
+        """One step: each gate's weights by its bits' mean, and each of the table's cells as by its bits one after the other. What has gate ``GATES`` is no bit."""
+        n = np.bincount(gate, minlength=GATES)[:GATES]
+        order = np.argsort(gate, kind="stable")[: n.sum()]
+        node, bit, x = node.take(order), bit.take(order), [y.take(order) for y in x]
+        mixed = np.repeat(self.w[:, -1], n)
+        for k in range(PREDICTORS):
+            w = np.repeat(self.w[:, k], n)
+            w *= x[k]
+            mixed += w
+        np.clip(mixed, -12, 12, out=mixed)
         wrong = bit - _squash(mixed)
-        n = np.bincount(gate, minlength=GATES)
-        for k in range(INPUTS):
-            self.w[:, k] += rate * np.bincount(gate, wrong * x[k], GATES) / (n + 16)
+        some = np.flatnonzero(n)
+        starts = (np.cumsum(n) - n)[some]
+        self.w[some, -1] += rate * np.add.reduceat(wrong, starts) / (n[some] + 16)
+        for k in range(PREDICTORS):
+            x[k] *= wrong
+            self.w[some, k] += rate * np.add.reduceat(x[k], starts) / (n[some] + 16)
         self.taught += n
-        k = node * np.int64(len(KNOTS)) + np.rint((mixed - LEAST) / WIDTH).astype(np.int64)
-        n = np.bincount(k, minlength=self.table.size)
+        mixed -= np.float32(LEAST)
+        mixed *= np.float32(1 / WIDTH)
+        k = np.rint(mixed, out=mixed).astype(np.int64)
+        k += node * np.int64(len(KNOTS))
+        size = self.table.size
+        both = np.bincount(2 * k + bit, minlength=2 * size).reshape(-1, 2)
+        n = both.sum(axis=1)
         flat = self.table.ravel()
-        flat += (1 - LEFT.take(n, mode="clip")) * (np.bincount(k, bit, self.table.size) / np.maximum(n, 1) - flat)
+        flat += (1 - LEFT.take(n, mode="clip")) * (both[:, 1] / np.maximum(n, 1) - flat)
         self.visits += n
 
     def state(self) -> tuple[np.ndarray, np.ndarray]:
@@ -441,13 +559,23 @@ def _learnt(code, counts, bits: int, stream, parts: int = 8):
     """A mixer that has walked all that the task has, in order, each bit left out of the counts it is predicted from: its state, times what it has learnt from, in parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mixer = Mixer()
+        mixer, c, alone = Mixer(), code.value, None
         of = stream() if isinstance(stream, Later) else stream
         for pdf in batches:
             for items, contexts, weights in of(pdf):
-                for owner, node, bit, at in planes(code.value, items, contexts, bits):
-                    x, gate = _left_out(counts.value, at, bit, None if weights is None else weights[owner])
-                    mixer.learn(node & np.uint32(255), bit, x, gate)
+                plain = weights is None and not contexts[0].any()
+                if plain and alone is None:
+                    seen = counts.value.take(_alone(c, bits)) - c.own.ravel()  # has no meaning for symbols that no training text has
+                    alone = _odds(seen >> np.uint32(16), seen & np.uint32(MOST)).reshape(-1, LINE)
+                for a, n, piece, line in lines(c, items, contexts, bits, int(plain)):
+                    slots, own = c.slots.take(piece, axis=0).ravel().astype(np.int64), c.own.take(piece, axis=0).ravel()
+                    if weights is not None:
+                        own *= np.repeat(np.repeat(weights[a : a + len(n)], n), LINE).astype("<u4")
+                    x, gate = _left_out(counts.value, (_spots(at, slots) for at in line), own, weights is None)
+                    if plain:
+                        x.insert(0, alone.take(piece, axis=0).ravel())
+                    gate[slots == 0] = GATES
+                    mixer.learn(c.cells.take(piece, axis=0).ravel(), c.bits.take(piece, axis=0).ravel(), x, gate)
         state, n = mixer.state()
         cut = [np.array_split(y, parts) for y in (state * n, n)]
         yield pd.DataFrame({"part": range(parts), "sums": [y.tobytes() for y in cut[0]], "n": [y.tobytes() for y in cut[1]]})
@@ -462,12 +590,12 @@ def _averaged(pdf: pd.DataFrame) -> pd.DataFrame:
 class Model:
     """A code, the tables of its bits, and the mixer: what scoring needs, as broadcasts."""
 
-    def __init__(self, data: DataFrame, stream, code: Code, bits: int, tasks: int):
+    def __init__(self, data: DataFrame, stream, code: Code, bits: int, tasks: int, counted=None):
         sc = data.sparkSession.sparkContext
         parts = max(16, (PREDICTORS << bits) >> 17)
         self.bits, self.code = bits, sc.broadcast(code)
         some = data.coalesce(tasks)
-        got = some.mapInPandas(_counted(self.code, bits, parts, stream), "part int, zeros binary, ones binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").orderBy("part").collect()
+        got = some.mapInPandas(_counted(self.code, bits, parts, counted or stream), "part int, zeros binary, ones binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").orderBy("part").collect()
         tables = [bytes(r["counts"]) for r in got]
         counts = sc.broadcast(Packed(tables, bits, False))
         mixer = Mixer()
@@ -482,12 +610,19 @@ class Model:
         code, ready, mixer, bits = self.code, self.ready, self.mixer, self.bits
 
         def logs(items: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(items))
-            for owner, node, bit, at in planes(code.value, items, contexts, bits):
-                one = mixer.value.refined(node & np.uint32(255), mixer.value.mixed(*ready.value.inputs(at, bits)))
-                a = int(owner[0]) if len(owner) else 0
-                own = np.bincount(owner - a, np.log(np.where(bit, one, 1 - one)))
-                out[a : a + len(own)] += own / np.log(10)
+            c, out = code.value, np.zeros(len(items))
+            plain = not contexts[0].any()
+            for a, n, piece, line in lines(c, items, contexts, bits, int(plain)):
+                cells = c.cells.take(piece, axis=0).ravel()
+                one = mixer.value.refined(cells & np.uint16(255), mixer.value.mixed(*ready.value.of_pieces(c, piece, line, bits)))
+                right = np.where(c.bits.take(piece, axis=0).ravel(), one, 1 - one)
+                right[cells > 255] = 1
+                right = right.reshape(-1, LINE)
+                all_right = right[:, 0] * right[:, 1] * right[:, 2] * right[:, 3]  # 1e-28 at least
+                ends = np.cumsum(n)
+                some = np.flatnonzero(n)
+                if len(some):
+                    out[a + some] = np.add.reduceat(np.log10(all_right), (ends - n)[some], dtype="f8")
             return out + code.value.rest[items]
 
         return logs
@@ -541,7 +676,8 @@ def _scored(logs):
                 whole, (base, spelled), flat = _read(body)
                 doc, unnamed, held, lengths, sizes, known = whole
                 starts = np.cumsum(lengths) - lengths
-                score = np.add.reduceat(logs(flat, token_contexts(flat, starts, lengths)), starts) + spelled
+                items, contexts, place = distinct(flat, starts, lengths)
+                score = np.add.reduceat(logs(items, contexts).take(place), starts) + spelled
                 yield pd.DataFrame({"doc": doc, "unnamed": unnamed == 1, "held_out": held == 1, "n_tokens": lengths, "n_known": known, "base_score": base, "score": score, "bits_per_byte": -score * np.log2(10) / sizes})
 
     return run
@@ -598,6 +734,6 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
     values = words.select("words", "counts", "blocks", "firsts", "places").mapInPandas(_valued(known, spelling.scorer()), "block long, first long, values binary, docs binary")
     both = values.unionByName(blocks.filter(F.col("bucket") < 0).select("block", F.lit(-1).cast("long").alias("first"), F.lit(None).cast("binary").alias("values"), "docs"))
     coded = staged(both.repartition(spread, "block").groupBy("block").applyInPandas(_coded(n, v), "docs binary"), "lm-coded")
-    model = Model(coded, trained_tokens, Code([max(1, spelled), max(1, ends), *(c for _, c in chosen)]), bits, tasks)
+    model = Model(coded, trained_tokens, Code([max(1, spelled), max(1, ends), *(c for _, c in chosen)]), bits, tasks, counted_tokens)
     out = coded.mapInPandas(_scored(model.scorer()), "doc long, unnamed boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return out.select(F.when(~F.col("unnamed"), F.col("doc")).alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -457,6 +458,31 @@ def test_language_model_against_plain_counts(spark):
             assert math.isclose(p[j], 1 / (1 + math.exp(-dot)), abs_tol=5e-3)
 
 
+def test_language_model_counts_pieces_and_distinct_contexts_once():
+    """Counting by outcomes of pieces, and by distinct contexts with their numbers, is counting bit by bit."""
+    rng = np.random.default_rng(6)
+    code = mixing.Code([1, 4, *(int(2000 / k) for k in range(1, 60))])
+    lengths = np.array([40, 1, 300, 60])
+    flat = np.minimum(rng.zipf(1.3, lengths.sum()) + 1, 60).astype("u4")
+    starts = np.cumsum(lengths) - lengths
+    contexts = mixing.token_contexts(flat, starts, lengths)
+    slow = np.zeros(2 * (mixing.PREDICTORS << 16), np.int64)
+    for _, _, bit, at in mixing.planes(code, flat, contexts, 16):
+        np.add.at(slow, (2 * at + bit).ravel(), 1)
+    items, own, place = mixing.distinct(flat, starts, lengths)
+    assert len(items) < len(flat) and (items[place] == flat).all() and (own[:, place] == contexts).all()
+    for stream in ((flat, contexts, None), (items, own, np.bincount(place))):
+        got = list(mixing._counted(SimpleNamespace(value=code), 16, 4, lambda _, s=stream: iter([s]))([None]))
+        for name, k in (("zeros", 0), ("ones", 1)):
+            assert (np.concatenate([np.frombuffer(mixing._unzip(r[name][0]), "<u4") for r in got]) == slow[k::2]).all()
+    some = np.arange(len(flat)) % 3 > 0
+    items, own, place = mixing.distinct(flat, starts, lengths, some)
+    assert (items[place] == flat[some]).all() and (own[:, place] == contexts[:, some]).all()
+    large = np.array([1 << 22, 3, 1 << 22, 3], "u4")
+    items, own, place = mixing.distinct(large, np.array([0]), np.array([4]))
+    assert (items[place] == large).all() and (own[:, place] == mixing.token_contexts(large, np.array([0]), np.array([4]))).all()
+
+
 def test_language_model_spreads_words_with_one_head(spark):
     n = Counter(mixing.bucket_of(f"http://host/{k}".encode(), 16) for k in range(4000))
     assert len(n) == 16 and max(n.values()) < 500
