@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,15 @@ def joined(df: DataFrame, counts: DataFrame, keys: list[str], k: str = "k", how:
     return out.filter(F.col(k).isNotNull()) if how == "inner" else out
 
 
+def released() -> None:
+    """Give the memory that a task has freed back to the system. A worker stays for later tasks, and what its allocators keep counts to its executor all the while."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches: Iterator, rows: int = 500) -> Iterator:
     """Arrow batches (arrays, or tuples of them) in slices of few rows, so that what a task makes of long texts at once stays small."""
     for batch in batches:

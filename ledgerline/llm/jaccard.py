@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import drop, staged
-from .common import LOWER, UPPER, joined
+from .common import LOWER, UPPER, joined, released
 from .components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -115,6 +115,8 @@ def _token_blocks(buckets: int, width: int, most_docs: int = 2048):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "bucket", "tokens", "owners"])
                 place += 1
         _ids.clear()
+        whole = pdf = sets = parts = tokens = owners = order = rows = None
+        released()
 
     return run
 
@@ -146,6 +148,8 @@ def _common(pdf: pd.DataFrame) -> pd.DataFrame:
         if keep.any():
             rows.append((batch, _packed(part[keep]), np.frombuffer(owners, "<u2")[keep].tobytes(), own[keep].tobytes()))
         at += len(part)
+    del parts, tokens, inverse, counts, df
+    released()
     return pd.DataFrame(rows, columns=["batch", "tokens", "owners", "dfs"])
 
 
@@ -165,6 +169,8 @@ def _assembled(share: int):
             cuts = np.searchsorted(owners, np.arange(len(docs) + 1))
             enough = 100 * np.diff(cuts) >= share * docs.n.to_numpy()
             docs["common"] = [_six(tokens[a:b]) if e and b > a else b"" for a, b, e in zip(cuts, cuts[1:], enough, strict=False)]
+            del tokens, owners, dfs, order
+            released()
         return docs
 
     return run
@@ -221,6 +227,8 @@ def _keys(share: int, boundary: int, components: bool = False):
                     out.append(pd.DataFrame({"key": p.view(np.int64), "rep": rep, "n": n, "c": len(t), "at": np.arange(len(p)), "light": False, "component": component}))
             if out:
                 yield pd.concat(out) if components else pd.concat(out).drop(columns="component")
+        pdf = out = None
+        released()
 
     return run
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, sliced
+from .common import bounded_sample, released, sliced
 
 #: A word, or a run of other signs that aren't white space.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -70,6 +70,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "text", "label"]).sample(frac=1, random_state=7)
         w = follow_leader([(*features(t, bits), y) for t, y in zip(pdf.text, pdf.label, strict=True)], bits)
+        released()
         return pd.DataFrame({"n": [len(pdf)], "w": [w.astype("<f4").tobytes()]})
 
     parts = rows.groupBy("learner").applyInPandas(learn, "n long, w binary").collect()
@@ -92,6 +93,8 @@ def scorer(spark, weights: np.ndarray, bits: int = 18):
                 out[k] = _sigmoid(float(w[i] @ x))
             yield pa.array(out)
         _ids.clear()
+        texts = out = None
+        released()
 
     return score
 

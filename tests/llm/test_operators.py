@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -458,6 +459,21 @@ def test_language_model_against_plain_counts(spark):
             assert math.isclose(p[j], 1 / (1 + math.exp(-dot)), abs_tol=5e-3)
 
 
+def test_workers_give_freed_memory_back():
+    import pyarrow as pa
+
+    def held():
+        return sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    kept = [pa.array([f"a text of some length {k} {n}" * 20 for k in range(2000)]) for n in range(60)]
+    small = [bytearray(60_000) for _ in range(1500)]
+    last = small[-1]
+    del kept, small
+    before = held()
+    jaccard.released()
+    assert held() < before - 20 and len(last) == 60_000
+
+
 def test_language_model_counts_pieces_and_distinct_contexts_once():
     """Counting by outcomes of pieces, and by distinct contexts with their numbers, is counting bit by bit."""
     rng = np.random.default_rng(6)
