@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import staged
-from .common import most_frequent
+from .common import most_frequent, released
 
 #: Predictors of a token's bits: behind nothing, the last token, the last two, and the one before the last. Of a letter's: behind the last 1, 2, 3 and 5 bytes of the word.
 PREDICTORS, ORDERS = 4, (1, 2, 3, 5)
@@ -29,6 +29,8 @@ SPELLED, END = 0, 1
 LINE = 4
 #: Bits that are worked on at once, and that the mixer learns from in one step.
 STEP = 1 << 15
+#: Distinct tokens whose contexts are made at once, and those that stay neighbours where the mixer learns from them.
+MADE, NEIGHBOURS = 1 << 17, 32
 _M, _X, _Y = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -103,8 +105,11 @@ def _blocks(buckets: int, most_bytes: int, most_docs: int = 8192):
                 for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if z > a:
                         rows.append((block, b, int(a), _zip(b" ".join([words[k] for k in order[a:z]]) + b" "), _zip(counts[a:z].tobytes()), None))
+                del known, used, words, own, order, place, flat, train, long, head
                 yield pd.DataFrame(rows, columns=["block", "bucket", "first", "words", "counts", "docs"])
                 block += 1
+                del rows
+        released()
 
     return run
 
@@ -237,9 +242,15 @@ def planes(code: Code, items: np.ndarray, contexts: np.ndarray, bits: int) -> It
 
 def _before(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """The last token and the one before it, plus one; a text begins behind ends."""
-    place = np.arange(len(flat)) - np.repeat(starts, lengths)
-    ids = flat.astype(np.uint64) + np.uint64(1)
-    return [np.where(place >= k, np.concatenate([np.full(k, END + 1, np.uint64), ids[:-k]])[: len(ids)], np.uint64(END + 1)) for k in (1, 2)]
+    out = []
+    for k in (1, 2):
+        ids = np.full(len(flat), END + 1, np.uint64)
+        ids[k:] = flat[:-k]
+        ids[k:] += np.uint64(1)
+        for j in range(k):
+            ids[starts[lengths > j] + j] = END + 1
+        out.append(ids)
+    return out
 
 
 def _contexts(last: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -255,23 +266,43 @@ def token_contexts(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
 WIDE = np.uint64(21)
 
 
-def distinct(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct tokens behind the same two (of those marked by ``some``, or all), sorted so that equal contexts are together: (items, contexts, the place of each token among them). Predictors see no more than two tokens."""
-    last, before = _before(flat, starts, lengths)
-    if some is not None:
-        flat, last, before = flat[some], last[some], before[some]
-    if int(flat.max(initial=0)) >= (1 << int(WIDE)) - 1:  # more than two million words don't fit a key
-        return flat, _contexts(last, before), np.arange(len(flat))
-    keys = (last << WIDE | before) << WIDE | flat
-    del last, before
+def keyed(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, some: np.ndarray | None = None) -> np.ndarray | None:
+    """Each token (of those marked by ``some``, or all) with the two before it as a number; equal contexts are neighbours in its order. None if there are more than two million words, which don't fit it."""
+    if int(flat.max(initial=0)) >= (1 << int(WIDE)) - 1:
+        return None
+    keys, before = _before(flat, starts, lengths)
+    for x in (before, flat):
+        keys <<= WIDE
+        keys |= x
+    return keys if some is None else keys[some]
+
+
+def unkeyed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(items, contexts) of ``keyed`` tokens."""
+    least = np.uint64((1 << int(WIDE)) - 1)
+    return (keys & least).astype(np.uint32), _contexts(keys >> WIDE + WIDE, keys >> WIDE & least)
+
+
+def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each among them."""
     order = np.argsort(keys)
     keys = keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
-    keys, least = keys[new], np.uint64((1 << int(WIDE)) - 1)
-    return (keys & least).astype(np.uint32), _contexts(keys >> WIDE + WIDE, keys >> WIDE & least), place
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    keys = keys[new]
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return keys, place
+
+
+def distinct(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens behind the same two (of those marked by ``some``, or all), sorted so that equal contexts are together: (items, contexts, the place of each token among them). Predictors see no more than two tokens."""
+    keys = keyed(flat, starts, lengths, some)
+    if keys is None:
+        contexts, own = token_contexts(flat, starts, lengths), slice(None) if some is None else some
+        return flat[own], contexts[:, own], np.arange(len(flat[own]))
+    keys, place = _placed(keys)
+    return *unkeyed(keys), place
 
 
 def letter_contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,22 +330,35 @@ def _read(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 Stream = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
 
-def trained_tokens(pdf: pd.DataFrame) -> Stream:
-    """(items, contexts, weights) of training documents."""
-    for body in pdf.docs:
-        whole, _, flat = _read(body)
-        lengths = whole[3]
-        train = np.repeat(whole[2] == 0, lengths)
-        yield flat[train], token_contexts(flat, np.cumsum(lengths) - lengths, lengths)[:, train], None
-
-
-def counted_tokens(pdf: pd.DataFrame) -> Stream:
-    """As ``trained_tokens``, but a block's equal ones once, weighted by their number: for what needs no order."""
+def trained_tokens(pdf: pd.DataFrame, mixed: bool = False) -> Stream:
+    """(items, contexts, weights) of training documents: a block's equal tokens behind the same two once, weighted by their number, some at a time. They are sorted; ``mixed``: in runs of ``NEIGHBOURS``, which are shuffled."""
     for body in pdf.docs:
         whole, _, flat = _read(body)
         lengths = whole[3]
-        items, contexts, place = distinct(flat, np.cumsum(lengths) - lengths, lengths, np.repeat(whole[2] == 0, lengths))
-        yield items, contexts, np.bincount(place, minlength=len(items))
+        starts, train = np.cumsum(lengths) - lengths, np.repeat(whole[2] == 0, lengths)
+        keys = keyed(flat, starts, lengths, train)
+        if keys is None:
+            yield flat[train], token_contexts(flat, starts, lengths)[:, train], np.ones(int(train.sum()), np.int64)
+            continue
+        del flat, train
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+        n = np.diff(first, append=len(keys))
+        keys = keys[first]
+        del first
+        if mixed:
+            runs = np.random.default_rng(len(keys)).permutation(-(-len(keys) // NEIGHBOURS))
+            order = (runs[:, None] * NEIGHBOURS + np.arange(NEIGHBOURS)).ravel()
+            order = order[order < len(keys)]
+            keys, n = keys[order], n[order]
+            del order
+        for a in range(0, len(keys), MADE):
+            yield *unkeyed(keys[a : a + MADE]), n[a : a + MADE]
+
+
+def mixed_tokens(pdf: pd.DataFrame) -> Stream:
+    """``trained_tokens`` in an order to learn from."""
+    return trained_tokens(pdf, True)
 
 
 def trained_letters(known: dict[bytes, int]) -> Callable[[pd.DataFrame], Stream]:
@@ -368,6 +412,9 @@ def _counted(code, bits: int, parts: int, stream):
             for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 zeros, ones = _unfolded(tally[2 * a : 2 * z]).T
                 yield pd.DataFrame({"part": [k], "zeros": [_zip(zeros.tobytes())], "ones": [_zip(ones.tobytes())]})
+                del zeros, ones
+        del tally
+        released()
 
     return run
 
@@ -399,20 +446,20 @@ LEVELS = np.searchsorted([1, 2, 4, 16, 256], np.arange(2 * MOST + 1), side="righ
 class Ready:
     """What scoring reads of the counts: log odds at all places; in the last three bits of their fractions, how often the contexts ``GATED`` were seen, as levels."""
 
-    def __init__(self, counts: np.ndarray):
-        self.odds, self.alone = np.empty(len(counts), "f4"), None
-        for a in range(0, len(counts), 1 << 20):
-            c = counts[a : a + (1 << 20)]
-            self.odds[a : a + (1 << 20)] = LOGS[c & MOST] - LOGS[c >> 16]
+    def __init__(self, counts: np.ndarray, in_place: bool = False):
+        self.odds, self.alone = counts.view("f4") if in_place else np.empty(len(counts), "f4"), None
         places = len(counts) // PREDICTORS
-        for k in GATED:
+        for k in range(PREDICTORS):
             for a in range(k * places, (k + 1) * places, 1 << 20):
                 z = min(a + (1 << 20), (k + 1) * places)
-                c, odds = counts[a:z], self.odds[a:z]
-                odds[odds == 0] = 1e-6  # else the level would be a subnormal number
-                own = odds.view("u4")
-                own &= np.uint32(0xFFFFFFF8)
-                own |= LEVELS[(c >> 16) + (c & MOST)]
+                zeros, ones = counts[a:z] >> 16, counts[a:z] & MOST
+                odds = LOGS[ones] - LOGS[zeros]
+                if k in GATED:
+                    odds[odds == 0] = 1e-6  # else the level would be a subnormal number
+                    own = odds.view("u4")
+                    own &= np.uint32(0xFFFFFFF8)
+                    own |= LEVELS[zeros + ones]
+                self.odds[a:z] = odds
 
     def gate(self, x: list[np.ndarray]) -> np.ndarray:
         one, two = (x[k].view("u4") & np.uint32(7) for k in GATED)
@@ -460,8 +507,12 @@ def _left_out(counts: np.ndarray, spots: Iterator[np.ndarray], own: np.ndarray,
 
 
 def _unpacked(parts: list[bytes], bits: int, ready: bool):
-    counts = np.concatenate([np.frombuffer(_unzip(x), "<u4") for x in parts]) if parts else np.zeros(PREDICTORS << bits, "<u4")
-    return Ready(counts) if ready else counts
+    counts, a = np.zeros(PREDICTORS << bits, "<u4"), 0
+    for x in parts:
+        part = np.frombuffer(_unzip(x), "<u4")
+        counts[a : a + len(part)] = part
+        a += len(part)
+    return Ready(counts, in_place=True) if ready else counts
 
 
 class Packed:
@@ -513,8 +564,8 @@ class Mixer:
         p += (flat.take(at + 1) - p) * f
         return np.clip((p + _squash(mixed)) / 2, 1e-7, 1 - 1e-7)
 
-    def learn(self, node: np.ndarray, bit: np.ndarray, x: list[np.ndarray], gate: np.ndarray, rate: float = 0.3) -> None:
-        """One step: each gate's weights by its bits' mean, and each of the table's cells as by its bits one after the other. What has gate ``GATES`` is no bit."""
+    def learn(self, node: np.ndarray, bit: np.ndarray, x: list[np.ndarray], gate: np.ndarray, rate: float = 0.3, times: np.ndarray | None = None) -> None:
+        """One step: each gate's weights by its bits' mean, and each of the table's cells as by its bits one after the other. What has gate ``GATES`` is no bit. A bit may stand for as many equal ones as ``times`` says."""
         n = np.bincount(gate, minlength=GATES)[:GATES]
         order = np.argsort(gate, kind="stable")[: n.sum()]
         node, bit, x = node.take(order), bit.take(order), [y.take(order) for y in x]
@@ -527,6 +578,11 @@ class Mixer:
         wrong = bit - _squash(mixed)
         some = np.flatnonzero(n)
         starts = (np.cumsum(n) - n)[some]
+        if times is not None:
+            times = times.take(order)
+            wrong *= times
+            n = np.zeros(GATES)
+            n[some] = np.add.reduceat(times, starts, dtype="f8")
         self.w[some, -1] += rate * np.add.reduceat(wrong, starts) / (n[some] + 16)
         for k in range(PREDICTORS):
             x[k] *= wrong
@@ -537,8 +593,8 @@ class Mixer:
         k = np.rint(mixed, out=mixed).astype(np.int64)
         k += node * np.int64(len(KNOTS))
         size = self.table.size
-        both = np.bincount(2 * k + bit, minlength=2 * size).reshape(-1, 2)
-        n = both.sum(axis=1)
+        both = np.bincount(2 * k + bit, times, minlength=2 * size).reshape(-1, 2)
+        n = both.sum(axis=1).astype(np.int64)
         flat = self.table.ravel()
         flat += (1 - LEFT.take(n, mode="clip")) * (both[:, 1] / np.maximum(n, 1) - flat)
         self.visits += n
@@ -555,30 +611,32 @@ class Mixer:
         self.w, self.table = flat[: self.w.size].reshape(self.w.shape), flat[self.w.size :].reshape(self.table.shape)
 
 
-def _learnt(code, counts, bits: int, stream, parts: int = 8):
-    """A mixer that has walked all that the task has, in order, each bit left out of the counts it is predicted from: its state, times what it has learnt from, in parts."""
+def _learnt(code, counts, bits: int, stream, each: bool, parts: int = 8):
+    """A mixer that has walked all that the task has, in order, each bit left out of the counts it is predicted from: its state, times what it has learnt from, in parts. ``each``: a weight stands for so many equal items, of which one is left out at a time; else they are left out together, and learnt from once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mixer, c, alone = Mixer(), code.value, None
         of = stream() if isinstance(stream, Later) else stream
         for pdf in batches:
             for items, contexts, weights in of(pdf):
-                plain = weights is None and not contexts[0].any()
+                plain = each and not contexts[0].any()
                 if plain and alone is None:
                     seen = counts.value.take(_alone(c, bits)) - c.own.ravel()  # has no meaning for symbols that no training text has
                     alone = _odds(seen >> np.uint32(16), seen & np.uint32(MOST)).reshape(-1, LINE)
                 for a, n, piece, line in lines(c, items, contexts, bits, int(plain)):
                     slots, own = c.slots.take(piece, axis=0).ravel().astype(np.int64), c.own.take(piece, axis=0).ravel()
-                    if weights is not None:
-                        own *= np.repeat(np.repeat(weights[a : a + len(n)], n), LINE).astype("<u4")
-                    x, gate = _left_out(counts.value, (_spots(at, slots) for at in line), own, weights is None)
+                    times = np.repeat(np.repeat(weights[a : a + len(n)], n), LINE)
+                    if not each:
+                        own *= times.astype("<u4")
+                    x, gate = _left_out(counts.value, (_spots(at, slots) for at in line), own, each)
                     if plain:
                         x.insert(0, alone.take(piece, axis=0).ravel())
                     gate[slots == 0] = GATES
-                    mixer.learn(c.cells.take(piece, axis=0).ravel(), c.bits.take(piece, axis=0).ravel(), x, gate)
+                    mixer.learn(c.cells.take(piece, axis=0).ravel(), c.bits.take(piece, axis=0).ravel(), x, gate, times=times.astype("f4") if each else None)
         state, n = mixer.state()
         cut = [np.array_split(y, parts) for y in (state * n, n)]
         yield pd.DataFrame({"part": range(parts), "sums": [y.tobytes() for y in cut[0]], "n": [y.tobytes() for y in cut[1]]})
+        released()
 
     return run
 
@@ -590,16 +648,17 @@ def _averaged(pdf: pd.DataFrame) -> pd.DataFrame:
 class Model:
     """A code, the tables of its bits, and the mixer: what scoring needs, as broadcasts."""
 
-    def __init__(self, data: DataFrame, stream, code: Code, bits: int, tasks: int, counted=None):
+    def __init__(self, data: DataFrame, stream, code: Code, bits: int, tasks: int, taught=None):
+        """``taught``: a stream to learn from, if other than what is counted; its weights stand for equal items."""
         sc = data.sparkSession.sparkContext
         parts = max(16, (PREDICTORS << bits) >> 17)
         self.bits, self.code = bits, sc.broadcast(code)
         some = data.coalesce(tasks)
-        got = some.mapInPandas(_counted(self.code, bits, parts, counted or stream), "part int, zeros binary, ones binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").orderBy("part").collect()
+        got = some.mapInPandas(_counted(self.code, bits, parts, stream), "part int, zeros binary, ones binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").orderBy("part").collect()
         tables = [bytes(r["counts"]) for r in got]
         counts = sc.broadcast(Packed(tables, bits, False))
         mixer = Mixer()
-        got = some.mapInPandas(_learnt(self.code, counts, bits, stream), "part int, sums binary, n binary").groupBy("part").applyInPandas(_averaged, "part int, sums binary, n binary").orderBy("part").collect()
+        got = some.mapInPandas(_learnt(self.code, counts, bits, taught or stream, taught is not None), "part int, sums binary, n binary").groupBy("part").applyInPandas(_averaged, "part int, sums binary, n binary").orderBy("part").collect()
         if got:
             mixer.load(*(np.concatenate([np.frombuffer(r[c], "f8") for r in got]) for c in ("sums", "n")))
         counts.destroy()
@@ -647,6 +706,7 @@ def _valued(known, spell):
                     p = np.cumsum(np.frombuffer(_unzip(place), "<u4"), dtype=np.uint32)
                     got.append((block, int(first), _zip(counts[p].tobytes() + codes[p].tobytes() + spelled[p].tobytes()), None))
                 yield pd.DataFrame(got, columns=["block", "first", "values", "docs"])
+        released()
 
     return run
 
@@ -676,9 +736,17 @@ def _scored(logs):
                 whole, (base, spelled), flat = _read(body)
                 doc, unnamed, held, lengths, sizes, known = whole
                 starts = np.cumsum(lengths) - lengths
-                items, contexts, place = distinct(flat, starts, lengths)
-                score = np.add.reduceat(logs(items, contexts).take(place), starts) + spelled
+                keys = keyed(flat, starts, lengths)
+                if keys is None:
+                    each = logs(flat, token_contexts(flat, starts, lengths))
+                else:
+                    keys, place = _placed(keys)
+                    each = np.concatenate([logs(*unkeyed(keys[a : a + MADE])) for a in range(0, len(keys), MADE)]).take(place)
+                    del place
+                score = np.add.reduceat(each, starts) + spelled
+                del keys, each
                 yield pd.DataFrame({"doc": doc, "unnamed": unnamed == 1, "held_out": held == 1, "n_tokens": lengths, "n_known": known, "base_score": base, "score": score, "bits_per_byte": -score * np.log2(10) / sizes})
+        released()
 
     return run
 
@@ -734,6 +802,6 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
     values = words.select("words", "counts", "blocks", "firsts", "places").mapInPandas(_valued(known, spelling.scorer()), "block long, first long, values binary, docs binary")
     both = values.unionByName(blocks.filter(F.col("bucket") < 0).select("block", F.lit(-1).cast("long").alias("first"), F.lit(None).cast("binary").alias("values"), "docs"))
     coded = staged(both.repartition(spread, "block").groupBy("block").applyInPandas(_coded(n, v), "docs binary"), "lm-coded")
-    model = Model(coded, trained_tokens, Code([max(1, spelled), max(1, ends), *(c for _, c in chosen)]), bits, tasks, counted_tokens)
+    model = Model(coded, trained_tokens, Code([max(1, spelled), max(1, ends), *(c for _, c in chosen)]), bits, tasks, mixed_tokens)
     out = coded.mapInPandas(_scored(model.scorer()), "doc long, unnamed boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return out.select(F.when(~F.col("unnamed"), F.col("doc")).alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -9,6 +9,7 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -499,6 +500,41 @@ def test_language_model_counts_pieces_and_distinct_contexts_once():
     assert (items[place] == large).all() and (own[:, place] == mixing.token_contexts(large, np.array([0]), np.array([4]))).all()
 
 
+def _block(texts, held):
+    lengths = np.array([len(t) for t in texts])
+    whole = np.zeros((6, len(texts)), "<i8")
+    whole[2], whole[3] = held, lengths
+    body = np.array([len(texts)], "<i8").tobytes() + whole.tobytes() + np.zeros((2, len(texts)), "<f8").tobytes() + np.concatenate(texts).astype("<u4").tobytes()
+    return pd.DataFrame({"docs": [mixing._zip(body)]}), lengths
+
+
+def test_language_model_learns_from_all_training_tokens_in_bounded_memory(monkeypatch):
+    """Contexts are made for some tokens at a time; all training tokens are there, equal ones once with their number; to learn from a bit that stands for many is to learn from each."""
+    monkeypatch.setattr(mixing, "MADE", 50)
+    rng = np.random.default_rng(7)
+    texts = [np.append(np.minimum(rng.zipf(1.3, n) + 1, 60), mixing.END) for n in (400, 0, 300, 90)]
+    pdf, lengths = _block(texts, [0, 0, 1, 0])
+    flat, train = np.concatenate(texts).astype("u4"), np.repeat([True, True, False, True], lengths)
+    contexts = mixing.token_contexts(flat, np.cumsum(lengths) - lengths, lengths)
+    want = Counter(zip(flat[train].tolist(), *contexts[:, train].tolist(), strict=True))
+    for stream in (mixing.trained_tokens, mixing.mixed_tokens):
+        got, n = Counter(), []
+        for items, own, weights in stream(pdf):
+            got.update(dict(zip(zip(items.tolist(), *own.tolist(), strict=True), weights.tolist(), strict=True)))
+            n.append(len(items))
+        assert got == want and max(n) == 50 and sum(n) == len(want)
+    assert not list(mixing.mixed_tokens(_block(texts, [1] * 4)[0]))
+
+    size = 500
+    node, bit, gate = rng.integers(0, 256, size).astype("u2"), rng.integers(0, 2, size).astype("u1"), rng.integers(0, mixing.GATES + 1, size).astype("u1")
+    x, times = [rng.normal(size=size).astype("f4") for _ in range(mixing.PREDICTORS)], rng.integers(1, 9, size)
+    one, each = mixing.Mixer(), mixing.Mixer()
+    one.learn(node, bit, [y.copy() for y in x], gate, times=times.astype("f4"))
+    each.learn(*(np.repeat(y, times) for y in (node, bit)), [np.repeat(y, times) for y in x], np.repeat(gate, times))
+    for a, b in zip(one.state(), each.state(), strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+
+
 def test_language_model_spreads_words_with_one_head(spark):
     n = Counter(mixing.bucket_of(f"http://host/{k}".encode(), 16) for k in range(4000))
     assert len(n) == 16 and max(n.values()) < 500
