@@ -79,6 +79,16 @@ def joined(df: DataFrame, counts: DataFrame, keys: list[str], k: str = "k", how:
     return out.filter(F.col(k).isNotNull()) if how == "inner" else out
 
 
+def among(df: DataFrame, ids: DataFrame, number: Column, most: int = 4096) -> DataFrame:
+    """The rows of ``df`` whose ``number`` (0 or more) is that of a row of ``ids``, by bitmaps of 32,768 numbers (4 KB each) that are broadcast; all rows, where that takes more than ``most`` bitmaps. To go before a join, so that it shuffles less."""
+    part, place = F.shiftright(number, 15), number.bitwiseAND(32767)
+    maps = staged(ids.select(part.alias("__part"), place.alias("__place")).repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg("__place").alias("__bits")), "bitmaps")
+    if maps.count() > most:
+        return df
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.withColumn("__part", part).join(F.broadcast(maps), "__part").filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+
+
 def released() -> None:
     """Give the memory that a task has freed back to the system. A worker stays for later tasks, and what its allocators keep counts to its executor all the while."""
     gc.collect()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import drop, staged
-from .common import joined
+from .common import among, joined
 
 GRAM, WORD_GRAM = 32, 8
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -188,8 +188,13 @@ class IntervalTree:
         return out
 
 
+def _marks(body: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of a digest of each piece of ``body``."""
+    return np.frombuffer(b"".join([hashlib.blake2b(body[a:z], digest_size=8).digest() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64)
+
+
 def _scanned(length: int, passage: int):
-    """Documents with their size, SHA-256, number of words and, as arrays, anchors: of windows of bytes (place, and how far their windows reach before and after it) and of windows of words (first and last window)."""
+    """Documents with their size, SHA-256, number of words and, as arrays, anchors: of windows of bytes (place, and how far their windows reach before and after it) and of windows of words (first and last window). An anchor's mark, beside its hash, tells what its windows hold: its context."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -202,15 +207,20 @@ def _scanned(length: int, passage: int):
                     sure = _monotonous(b, length) if len(b) >= length else []
                     place, h, first, last = anchors(b, length, GRAM, _bytes, sure)
                     _, wh, wfirst, wlast = anchors(words, passage, WORD_GRAM, lambda x: x)
-                    columns = (np.concatenate(x) for x in ((h, wh ^ 1), (place, wfirst), (place - first, wlast), (last + length - place, np.full(len(wh), -1))))
+                    mark = _marks(body, first, last + length) ^ (place - first)
+                    wmark = _marks(words.tobytes(), 8 * wfirst, 8 * (wlast + passage))
+                    columns = (np.concatenate(x) for x in ((h, wh ^ 1), (mark, wmark), (place, wfirst), (place - first, wlast), (last + length - place, np.full(len(wh), -1))))
                     out.append((len(body), len(words), hashlib.sha256(body).digest(), *columns, [x for s in sure for x in s]))
-                yield pd.concat([pdf, pd.DataFrame(out, columns=["n", "n_words", "sha", "hash", "place", "before", "after", "sure"])], axis=1)
+                yield pd.concat([pdf, pd.DataFrame(out, columns=["n", "n_words", "sha", "hash", "mark", "place", "before", "after", "sure"])], axis=1)
 
     return run
 
 
-SCANNED = "row long, doc {key}, text string, n long, n_words long, sha binary, hash array<long>, place array<long>, before array<long>, after array<long>, sure array<long>"
+SCANNED = "row long, doc {key}, text string, n long, n_words long, sha binary, hash array<long>, mark array<long>, place array<long>, before array<long>, after array<long>, sure array<long>"
 CONTEXTS = "key long, low int, high int, mark binary, row long, place long, left binary, right binary"
+DISTINCT = "key long, k long, low int, high int, row long, place long, left binary, right binary"
+#: Slots of the bitmap that tells hashes which recur: 4,096 bitmaps of 32,768, 16 MB. Where many share a slot, more is compared, to the same result.
+SLOTS = 1 << 27
 
 
 def _mark(key: int, left: bytes, right: bytes) -> bytes:
@@ -226,18 +236,18 @@ def _contexts(length: int):
     """A row for each anchor of bytes: what its windows hold of what is before it, reversed, and of what is from it on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "k", "low", "high", "row", "place", "left", "right"]
         for pdf in batches:
             out = []
-            for row, text, *at in zip(pdf.row, pdf.text, pdf.hash, pdf.place, pdf.before, pdf.after, strict=True):
+            for row, text, *at in zip(pdf.row, pdf.text, pdf.hash, pdf.contexts, pdf.place, pdf.before, pdf.after, strict=True):
                 body = text.encode("utf-8", "surrogatepass")
-                for h, p, before, after in zip(*at, strict=True):
+                for h, k, p, before, after in zip(*at, strict=True):
                     if after >= 0:
-                        left, right = body[p - before : p][::-1], body[p : p + after]
-                        out.append((h, 0, length - GRAM, _mark(h, left, right), row, p, left, right))
+                        out.append((h, k, 0, length - GRAM, row, p, body[p - before : p][::-1], body[p : p + after]))
                 if len(out) > 5_000:
-                    yield _framed(out)
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
-            yield _framed(out)
+            yield pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -262,24 +272,22 @@ def _halved(length: int):
 
 
 def _columns(parts: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(dict(zip(("window", "row", "start"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+    return pd.DataFrame(dict(zip(("window", "row", "start", "wide"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
 
 def _windows(passage: int):
-    """(hash, row, start) of the windows of words whose anchors other places have too."""
+    """(hash, row, start, wide) of the windows of words of anchors; ``wide``: more than one document has the anchor's context."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held = [], 0  # many texts' windows go on in one batch
         for pdf in batches:
-            for row, text, first, last, after in zip(pdf.row, pdf.text, pdf.place, pdf.before, pdf.after, strict=True):
-                words = after == -1
-                if words.any():
+            for row, text, first, last, after, wide in zip(pdf.row, pdf.text, pdf.place, pdf.before, pdf.after, pdf.wide, strict=True):
+                words = np.flatnonzero(after == -1)
+                if len(words):
                     hashes = _hashed(_word_hashes(text), passage).view(np.int64)
-                    served = np.zeros(len(hashes) + 1, np.int64)
-                    np.add.at(served, first[words], 1)
-                    np.add.at(served, last[words] + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(served[:-1]) > 0)
-                    out.append((hashes[starts], np.full(len(starts), row), starts))
+                    n = (last - first + 1)[words]
+                    starts = np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    out.append((hashes[starts], np.full(len(starts), row), starts, np.repeat(wide[words].astype(bool), n)))
                     held += len(starts)
                 if held > 100_000:
                     yield _columns(out)
@@ -304,29 +312,28 @@ def _group_spans(length: int):
     return run
 
 
-def _spans(contexts: DataFrame, length: int, most_group: int) -> DataFrame:
-    """(row, start, end) of what repeats cover around the anchors."""
+def _spans(distinct: DataFrame, length: int, most_group: int) -> DataFrame:
+    """(row, start, end) of what repeats cover around the anchors of distinct contexts; ``k``: how many have the key."""
     spec = "row long, start long, end long"
     found = []
     while True:
+        small = distinct.filter(F.col("k") <= most_group)
+        bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, small.count() // 5_000)))
+        small = small.select("key", "row", "place", "left", "right", bucket.alias("bucket"))
+        found.append(staged(small.groupBy("bucket").applyInPandas(_group_spans(length), spec), "repeat-spans"))
+        large = distinct.filter(F.col("k") > most_group)
+        if large.isEmpty():
+            drop(distinct)
+            return reduce(DataFrame.unionByName, found)
+        contexts = staged(large.drop("k").mapInPandas(_halved(length), CONTEXTS), "repeat-contexts")
         same = staged(contexts.groupBy("mark").agg(F.count("*").alias("k"), F.min(F.struct("row", "place")).alias("first")).filter("k > 1"), "repeat-marks")
         marked = staged(joined(contexts, same, ["mark"], how="left"), "repeat-marked")
-        drop(contexts, same)
+        drop(distinct, contexts, same)
         # equal contexts cover each other; one of them goes on
-        equal = marked.filter("k is not null").select("row", (F.col("place") - F.octet_length("left")).alias("start"), (F.col("place") + F.octet_length("right")).alias("end"))
-        distinct = marked.filter("k is null or (first.row = row and first.place = place)").drop("k", "first", "mark")
-        groups = staged(distinct.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "repeat-groups")
-        size = groups.filter(F.col("k") <= most_group).agg(F.sum("k")).first()[0] or 0
-        bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, size // 5_000)))
-        small = distinct.join(groups.filter(F.col("k") <= most_group), "key").withColumn("bucket", bucket)
-        found.append(staged(equal.unionByName(small.groupBy("bucket").applyInPandas(_group_spans(length), spec)), "repeat-spans"))
-        large = groups.filter(F.col("k") > most_group)
-        done = large.isEmpty()
-        if not done:
-            contexts = staged(joined(distinct, large, ["key"]).drop("k").mapInPandas(_halved(length), CONTEXTS), "repeat-contexts")
-        drop(marked, groups)
-        if done:
-            return reduce(DataFrame.unionByName, found)
+        found.append(marked.filter("k is not null").select("row", (F.col("place") - F.octet_length("left")).alias("start"), (F.col("place") + F.octet_length("right")).alias("end")))
+        rest = marked.filter("k is null or (first.row = row and first.place = place)").drop("k", "first", "mark")
+        groups = staged(rest.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "repeat-groups")
+        distinct = staged(joined(rest, groups, ["key"]), "repeat-contexts")
 
 
 def _united(starts, ends) -> list[tuple[int, int]]:
@@ -361,42 +368,59 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     ``passage`` words (parted by ASCII blanks) that another document has too; such a run may be shorter than ``length`` bytes, and then is counted only. Null
     texts are empty; texts shorter than ``length`` lose nothing; repeated rows of that length lose all.
 
-    1. Each document gives its anchors: the grams that serve its windows, of bytes and of words. Equal whole texts are told by SHA-256; one of each
-    takes part. 2. Grams that occur once serve no repeat. The others' documents are joined with their texts, once, and give the
-    suffix from each anchor and what is before it, as far as its windows reach. Equal contexts cover each other; one of each goes on. 3. Distinct contexts of
+    1. Each document gives its anchors: the grams that serve its windows, of bytes and of words, each with a mark of its context, all that its windows hold. Equal whole texts are told by SHA-256; one of each
+    takes part. 2. Grams that occur once serve no repeat; most leave by a bitmap of those that recur. Equal contexts, told by hash and mark, cover each other without their texts; one of each goes on, if
+    its gram has others too: its document is joined with its text and gives the
+    suffix from each anchor and what is before it, as far as its windows reach. 3. Distinct contexts of
     equal grams meet in a bucket of bounded size, where an interval tree over their enhanced suffix array gives the maximal repeats with all their
     occurrences. A gram with more than ``most_group`` distinct contexts is parted by longer keys (by what its windows have on one side, halved
-    again and again, nine times at most), until each part fits a tree. 4. Windows of words are counted by 64-bit hashes. 5. Spans
+    again and again, nine times at most), until each part fits a tree. 4. Windows of words of distinct contexts are counted by 64-bit hashes. 5. Spans
     are united a document at a time and cut. Grams, contexts and texts that fill more than a thousandth of the rows are joined by broadcast."""
     docs = df.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc", "text")
     seen = staged(docs.mapInPandas(_scanned(length, passage), SCANNED.format(key=df.schema[key].dataType.simpleString())), "repeat-anchors")
     texts = staged(seen.groupBy("sha", "n").agg(F.min("row").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "repeat-copies")
     named = joined(seen.drop("text"), texts, ["sha", "n"], k="copies", how="left")
     firsts = named.filter("first is null or first = row")
-    each = staged(firsts.select("row", F.explode(F.arrays_zip("hash", "place", "before", "after")).alias("x")).select("row", "x.*"), "repeat-grams")
+    each = firsts.select("row", F.explode(F.arrays_zip("hash", "mark", "place", "before", "after")).alias("x")).select("row", "x.*")
+    each = staged(each.withColumn("at", F.monotonically_increasing_id()), "repeat-grams")
     known = staged(named.select("row", "doc", "n", "n_words", "sha", "copies", F.when(F.col("first").isNull() | (F.col("first") == F.col("row")), F.col("sure")).alias("sure")), "repeat-documents")
     counts = staged(each.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1"), "repeat-counts")
-    again = joined(each, counts, ["hash"]).select("row", F.struct("hash", "place", "before", "after").alias("at"))
-    stretches = known.filter(F.size("sure") > 0)
-    alone = stretches.select("row", F.lit(None).cast(again.schema["at"].dataType).alias("at"))
-    again = again.unionByName(alone).groupBy("row").agg(F.collect_list("at").alias("at")).select("row", "at.hash", "at.place", "at.before", "at.after")
-    touched = staged(again.join(seen.select("row", "text"), "row"), "repeat-texts")
-    drop(seen, texts, each, counts)
-
-    windows = staged(touched.mapInPandas(_windows(passage), "window long, row long, start int"), "repeat-windows")
-    often = windows.groupBy("window").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z")).filter("a <> z").select("window", "k")
+    again = staged(among(each, counts, F.shiftright("hash", 20).bitwiseAND(SLOTS - 1)), "repeat-again")
+    drop(texts, each, counts)
+    marks = staged(again.groupBy("hash", "mark").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z"), F.min("at").alias("first")), "repeat-marks")
+    groups = marks.groupBy("hash").agg(F.count("*").alias("contexts")).filter("contexts > 1")
+    several = staged(joined(marks, staged(groups, "repeat-groups"), ["hash"], k="contexts", how="left").filter("k > 1 or contexts > 1"), "repeat-several")
+    words = F.col("after") == -1
+    held = joined(again, several, ["hash", "mark"])
+    covered = F.when(words, F.col("a") != F.col("z")).otherwise(F.col("k") > 1)  # passages count if another document has them
+    compared = F.col("contexts").isNotNull() & ((F.col("at") == F.col("first")) | (words & ~covered))
+    held = staged(held.select("row", "hash", "contexts", "place", "before", "after", words.alias("words"), covered.alias("covered"), compared.alias("compared")).filter("covered or compared"), "repeat-held")
+    drop(again, marks, several)
+
+    at = held.filter("compared").groupBy("row").agg(F.collect_list(F.struct("hash", "contexts", "place", "before", "after", F.col("covered").alias("wide"))).alias("at"))
+    at = staged(at.select("row", "at.hash", "at.contexts", "at.place", "at.before", "at.after", "at.wide"), "repeat-compared")
+    touched = staged(among(seen.select("row", "text"), at, F.col("row")).join(at, "row"), "repeat-texts")
+    drop(at)
+
+    windows = staged(touched.mapInPandas(_windows(passage), "window long, row long, start long, wide boolean"), "repeat-windows")
+    often = windows.groupBy("window").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z"), F.max("wide").alias("wide")).filter("k > 1 and (a <> z or wide)").select("window", "k")
     often = staged(often, "repeat-passages")
-    inside = F.expr(f"aggregate(sequence(1, size(s)), 0L, (n, i) -> n + if(i = size(s), {passage}, least({passage}, s[i] - s[i - 1])))")
-    shared = joined(windows, often, ["window"]).groupBy("row").agg(F.sort_array(F.collect_list("start")).alias("s"))
+    runs = held.filter("words and covered").select("row", F.col("place").alias("start"), (F.col("before") + passage).alias("end"))
+    runs = runs.unionByName(joined(windows, often, ["window"]).select("row", "start", (F.col("start") + passage).alias("end")))
+    inside = F.expr("aggregate(s, named_struct('n', 0L, 'upto', 0L), (x, r) -> named_struct('n', x.n + greatest(0L, r.end - greatest(r.start, x.upto)), 'upto', greatest(x.upto, r.end)), x -> x.n)")
+    shared = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
     shared = staged(shared.select("row", inside.alias("inside")), "repeat-inside")
     drop(windows, often)
 
-    spans = _spans(staged(touched.mapInPandas(_contexts(length), CONTEXTS), "repeat-contexts"), length, most_group)
+    spans = _spans(staged(touched.mapInPandas(_contexts(length), DISTINCT), "repeat-contexts"), length, most_group)
+    equal = held.filter("covered and not words").select("row", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"))
+    stretches = known.filter(F.size("sure") > 0)
     own = stretches.select("row", F.explode(F.expr("transform(sequence(0, size(sure) div 2 - 1), i -> struct(sure[2 * i] as start, sure[2 * i + 1] as end))")).alias("s")).select("row", "s.start", "s.end")
-    spans = spans.unionByName(own).groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
-    cut = touched.select("row", "text").join(spans, "row").mapInPandas(_removed, "row long, n_removed long, n_spans long, kept binary")
+    spans = spans.unionByName(equal).unionByName(own).groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    spans = staged(spans, "repeat-united")
+    cut = among(seen.select("row", "text"), spans, F.col("row")).join(spans, "row").mapInPandas(_removed, "row long, n_removed long, n_spans long, kept binary")
     cut = staged(cut.select("row", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha"), *(["kept"] if keep_bytes else [])), "repeat-cut")
-    drop(touched)
+    drop(seen, touched, held, spans)
     out = known.join(cut, "row", "left").join(shared, "row", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n") >= length)
     kept = [F.when(all_gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_bytes else []
