@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +66,11 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def _monotonous(b: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Stretches of a period up to 8 bytes that hold more than one window of that period: every byte is repeated in the stretch itself."""
-    out = []
+    out, body = [], b.tobytes()
+    step = max(1, length - 16)  # such a stretch holds one of these places and the eight bytes from it
     for d in range(1, 9):
+        if length > 16 and not any(body[p : p + 8] == body[p + d : p + d + 8] for p in range(0, len(body), step)):
+            continue
         breaks = np.flatnonzero(b[:-d] != b[d:])
         edges = np.concatenate([[-1], breaks, [len(b) - d]])
         for k in np.flatnonzero(np.diff(edges) > length):
@@ -197,6 +201,7 @@ def _scanned(length: int, passage: int):
     """Documents with their size, SHA-256, number of words and, as arrays, anchors: of windows of bytes (place, and how far their windows reach before and after it) and of windows of words (first and last window). An anchor's mark, beside its hash, tells what its windows hold: its context."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packed = zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
             for start in range(0, len(whole), 500):
                 pdf = whole.iloc[start : start + 500].reset_index(drop=True)
@@ -210,13 +215,13 @@ def _scanned(length: int, passage: int):
                     mark = _marks(body, first, last + length) ^ (place - first)
                     wmark = _marks(words.tobytes(), 8 * wfirst, 8 * (wlast + passage))
                     columns = (np.concatenate(x) for x in ((h, wh ^ 1), (mark, wmark), (place, wfirst), (place - first, wlast), (last + length - place, np.full(len(wh), -1))))
-                    out.append((len(body), len(words), hashlib.sha256(body).digest(), *columns, [x for s in sure for x in s]))
-                yield pd.concat([pdf, pd.DataFrame(out, columns=["n", "n_words", "sha", "hash", "mark", "place", "before", "after", "sure"])], axis=1)
+                    out.append((packed(body), len(body), len(words), hashlib.sha256(body).digest(), *columns, [x for s in sure for x in s]))
+                yield pd.concat([pdf[["row", "doc"]], pd.DataFrame(out, columns=["body", "n", "n_words", "sha", "hash", "mark", "place", "before", "after", "sure"])], axis=1)
 
     return run
 
 
-SCANNED = "row long, doc {key}, text string, n long, n_words long, sha binary, hash array<long>, mark array<long>, place array<long>, before array<long>, after array<long>, sure array<long>"
+SCANNED = "row long, doc {key}, body binary, n long, n_words long, sha binary, hash array<long>, mark array<long>, place array<long>, before array<long>, after array<long>, sure array<long>"
 CONTEXTS = "key long, low int, high int, mark binary, row long, place long, left binary, right binary"
 DISTINCT = "key long, k long, low int, high int, row long, place long, left binary, right binary"
 #: Slots of the bitmap that tells hashes which recur: 4,096 bitmaps of 32,768, 16 MB. Where many share a slot, more is compared, to the same result.
@@ -236,11 +241,10 @@ def _contexts(length: int):
     """A row for each anchor of bytes: what its windows hold of what is before it, reversed, and of what is from it on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["key", "k", "low", "high", "row", "place", "left", "right"]
+        columns, unpacked = ["key", "k", "low", "high", "row", "place", "left", "right"], zstandard.ZstdDecompressor().decompress
         for pdf in batches:
             out = []
-            for row, text, *at in zip(pdf.row, pdf.text, pdf.hash, pdf.contexts, pdf.place, pdf.before, pdf.after, strict=True):
-                body = text.encode("utf-8", "surrogatepass")
+            for row, body, *at in zip(pdf.row, map(unpacked, pdf.body), pdf.hash, pdf.contexts, pdf.place, pdf.before, pdf.after, strict=True):
                 for h, k, p, before, after in zip(*at, strict=True):
                     if after >= 0:
                         out.append((h, k, 0, length - GRAM, row, p, body[p - before : p][::-1], body[p : p + after]))
@@ -279,12 +283,13 @@ def _windows(passage: int):
     """(hash, row, start, wide) of the windows of words of anchors; ``wide``: more than one document has the anchor's context."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpacked = zstandard.ZstdDecompressor().decompress
         out, held = [], 0  # many texts' windows go on in one batch
         for pdf in batches:
-            for row, text, first, last, after, wide in zip(pdf.row, pdf.text, pdf.place, pdf.before, pdf.after, pdf.wide, strict=True):
+            for row, body, first, last, after, wide in zip(pdf.row, pdf.body, pdf.place, pdf.before, pdf.after, pdf.wide, strict=True):
                 words = np.flatnonzero(after == -1)
                 if len(words):
-                    hashes = _hashed(_word_hashes(text), passage).view(np.int64)
+                    hashes = _hashed(_word_hashes(unpacked(body).decode("utf-8", "surrogatepass")), passage).view(np.int64)
                     n = (last - first + 1)[words]
                     starts = np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     out.append((hashes[starts], np.full(len(starts), row), starts, np.repeat(wide[words].astype(bool), n)))
@@ -348,10 +353,11 @@ def _united(starts, ends) -> list[tuple[int, int]]:
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    unpacked = zstandard.ZstdDecompressor().decompress
     for pdf in batches:
         out = []
-        for row, text, start, end in zip(pdf.row, pdf.text, pdf.start, pdf.end, strict=True):
-            body, kept, at, spans = text.encode("utf-8", "surrogatepass"), [], 0, _united(start, end)
+        for row, body, start, end in zip(pdf.row, map(unpacked, pdf.body), pdf.start, pdf.end, strict=True):
+            kept, at, spans = [], 0, _united(start, end)
             for a, z in spans:
                 kept.append(body[at:a])
                 at = z
@@ -379,7 +385,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     docs = df.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc", "text")
     seen = staged(docs.mapInPandas(_scanned(length, passage), SCANNED.format(key=df.schema[key].dataType.simpleString())), "repeat-anchors")
     texts = staged(seen.groupBy("sha", "n").agg(F.min("row").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "repeat-copies")
-    named = joined(seen.drop("text"), texts, ["sha", "n"], k="copies", how="left")
+    named = joined(seen.drop("body"), texts, ["sha", "n"], k="copies", how="left")
     firsts = named.filter("first is null or first = row")
     each = firsts.select("row", F.explode(F.arrays_zip("hash", "mark", "place", "before", "after")).alias("x")).select("row", "x.*")
     each = staged(each.withColumn("at", F.monotonically_increasing_id()), "repeat-grams")
@@ -399,14 +405,15 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
 
     at = held.filter("compared").groupBy("row").agg(F.collect_list(F.struct("hash", "contexts", "place", "before", "after", F.col("covered").alias("wide"))).alias("at"))
     at = staged(at.select("row", "at.hash", "at.contexts", "at.place", "at.before", "at.after", "at.wide"), "repeat-compared")
-    touched = staged(among(seen.select("row", "text"), at, F.col("row")).join(at, "row"), "repeat-texts")
+    touched = staged(among(seen.select("row", "body"), at, F.col("row")).join(at, "row"), "repeat-texts")
     drop(at)
 
     windows = staged(touched.mapInPandas(_windows(passage), "window long, row long, start long, wide boolean"), "repeat-windows")
     often = windows.groupBy("window").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z"), F.max("wide").alias("wide")).filter("k > 1 and (a <> z or wide)").select("window", "k")
     often = staged(often, "repeat-passages")
     runs = held.filter("words and covered").select("row", F.col("place").alias("start"), (F.col("before") + passage).alias("end"))
-    runs = runs.unionByName(joined(windows, often, ["window"]).select("row", "start", (F.col("start") + passage).alias("end")))
+    slot = F.shiftright("window", 20).bitwiseAND(SLOTS - 1)
+    runs = runs.unionByName(joined(among(windows, often, slot), often, ["window"]).select("row", "start", (F.col("start") + passage).alias("end")))
     inside = F.expr("aggregate(s, named_struct('n', 0L, 'upto', 0L), (x, r) -> named_struct('n', x.n + greatest(0L, r.end - greatest(r.start, x.upto)), 'upto', greatest(x.upto, r.end)), x -> x.n)")
     shared = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
     shared = staged(shared.select("row", inside.alias("inside")), "repeat-inside")
@@ -418,7 +425,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     own = stretches.select("row", F.explode(F.expr("transform(sequence(0, size(sure) div 2 - 1), i -> struct(sure[2 * i] as start, sure[2 * i + 1] as end))")).alias("s")).select("row", "s.start", "s.end")
     spans = spans.unionByName(equal).unionByName(own).groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     spans = staged(spans, "repeat-united")
-    cut = among(seen.select("row", "text"), spans, F.col("row")).join(spans, "row").mapInPandas(_removed, "row long, n_removed long, n_spans long, kept binary")
+    cut = among(seen.select("row", "body"), spans, F.col("row")).join(spans, "row").mapInPandas(_removed, "row long, n_removed long, n_spans long, kept binary")
     cut = staged(cut.select("row", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha"), *(["kept"] if keep_bytes else [])), "repeat-cut")
     drop(seen, touched, held, spans)
     out = known.join(cut, "row", "left").join(shared, "row", "left")

@@ -128,6 +128,36 @@ def test_repeats(stored, hot):
     assert repeats.without_repeats(stored.limit(0)).count() == 0
 
 
+def test_equal_contexts_are_not_compared(spark, monkeypatch):
+    """Copies of a passage are told by marks: neither their contexts nor their windows are made, but where they differ."""
+    rng = np.random.default_rng(21)
+    passage = " ".join(f"w{k}" for k in rng.integers(0, 9000, 2000))
+    docs = spark.createDataFrame([(k, f"{k} begins {passage} {k} ends") for k in range(40)] + [(40, "z" * 500)], "doc_id long, text string")
+    made, plain = Counter(), repeats.staged
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "staged", counted)
+    got = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
+    assert all(got[k].n_removed >= len(passage) and got[k].n_passage_words == 2001 for k in range(40))
+    assert got[40].n_removed == 500
+    assert made["repeat-windows"] < 40 * 2000 / 8 and made["repeat-contexts"] < 40 * 20
+
+
+@pytest.mark.parametrize("period", range(1, 9))
+def test_short_periods(period):
+    rng = np.random.default_rng(period)
+    noise = rng.integers(0, 256, 3000).astype("u1")
+    for start in (0, 17, 391, 1200):
+        b = noise.copy()
+        b[start : start + 401 + period] = np.resize(noise[start : start + period], 401 + period)
+        assert any(a <= start and z >= start + 401 + period for a, z in repeats._monotonous(b, 400))
+    assert repeats._monotonous(noise, 400) == []
+
+
 def test_maximal_repeats():
     body = b"xABCDEFy zABCDEFw qABCDr"
     at = [m.start() for m in re.finditer(b"BC", body)]
