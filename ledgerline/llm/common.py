@@ -79,14 +79,32 @@ def joined(df: DataFrame, counts: DataFrame, keys: list[str], k: str = "k", how:
     return out.filter(F.col(k).isNotNull()) if how == "inner" else out
 
 
+def bitmaps(ids: DataFrame, number: Column) -> DataFrame:
+    """The numbers (0 or more) of ``ids`` as bitmaps of 32,768: (__part, __bits), bits in 512 longs, the first byte of each its highest."""
+    part, place = F.shiftright(number, 15), number.bitwiseAND(32767)
+    maps = ids.select(part.alias("__part"), place.alias("__place")).repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg("__place").alias("__bits"))
+    longs = F.expr("transform(sequence(0, 511), i -> cast(conv(hex(substring(__bits, 8 * i + 1, 8)), 16, -10) as bigint))")
+    return maps.select("__part", longs.alias("__bits"))
+
+
+def marked(df: DataFrame, maps: DataFrame, number: Column, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``number`` is in ``maps`` (see ``bitmaps``), which are broadcast, or with ``inside`` false the others."""
+    place = number.bitwiseAND(32767)
+    bit = F.getbit(F.get("__bits", F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).bitwiseXOR(56).cast("int"))
+    both = df.withColumn("__part", F.shiftright(number, 15)).join(F.broadcast(maps), "__part", "inner" if inside else "left")
+    return both.filter(bit == 1 if inside else F.coalesce(bit, F.lit(0)) == 0).select(*df.columns)
+
+
 def among(df: DataFrame, ids: DataFrame, number: Column, most: int = 4096) -> DataFrame:
     """The rows of ``df`` whose ``number`` (0 or more) is that of a row of ``ids``, by bitmaps of 32,768 numbers (4 KB each) that are broadcast; all rows, where that takes more than ``most`` bitmaps. To go before a join, so that it shuffles less."""
-    part, place = F.shiftright(number, 15), number.bitwiseAND(32767)
-    maps = staged(ids.select(part.alias("__part"), place.alias("__place")).repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg("__place").alias("__bits")), "bitmaps")
-    if maps.count() > most:
-        return df
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return df.withColumn("__part", part).join(F.broadcast(maps), "__part").filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+    maps = staged(bitmaps(ids, number), "bitmaps")
+    return df if maps.count() > most else marked(df, maps, number)
+
+
+def without(df: DataFrame, ids: DataFrame, key: str, most: int = 4096) -> DataFrame:
+    """The rows of ``df`` whose ``key``, a number of 0 or more, no row of ``ids`` has: by bitmaps as in ``among``, or by a join where that takes more than ``most`` of them."""
+    maps = staged(bitmaps(ids, F.col(key)), "bitmaps")
+    return df.join(ids.select(key), key, "left_anti") if maps.count() > most else marked(df, maps, F.col(key), False)
 
 
 def released() -> None:

@@ -10,12 +10,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import drop, staged
-from .common import among, joined
+from .common import among, joined, marked, without
 
 GRAM, WORD_GRAM = 32, 8
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -226,6 +227,69 @@ CONTEXTS = "key long, low int, high int, mark binary, row long, place long, left
 DISTINCT = "key long, k long, low int, high int, row long, place long, left binary, right binary"
 #: Slots of the bitmap that tells hashes which recur: 4,096 bitmaps of 32,768, 16 MB. Where many share a slot, more is compared, to the same result.
 SLOTS = 1 << 27
+#: Bits of a hash by which tasks tell whether it recurs; the low ones are its slot.
+TOLD = 36
+
+
+def _slot(name: str) -> Column:
+    return F.shiftright(name, 20).bitwiseAND(SLOTS - 1)
+
+
+def _dealt(deal: int):
+    """A task's hashes as sorted numbers of ``TOLD`` bits, the slot's first, in 2^``deal`` parts; each twice if it came more often. They travel as differences, in planes of bytes."""
+
+    def parted(held: list[np.ndarray]) -> pa.RecordBatch:
+        told = np.concatenate(held).view("u8") >> np.uint64(20) & np.uint64((1 << TOLD) - 1)
+        beyond = np.uint64(TOLD - SLOTS.bit_length() + 1)
+        told = np.sort((told & np.uint64(SLOTS - 1)) << beyond | told >> np.uint64(SLOTS.bit_length() - 1))
+        told = told[np.concatenate([[True] * 2, told[2:] != told[:-2]])[: len(told)]]
+        packed, part, body = zstandard.ZstdCompressor(level=1).compress, [], []
+        cuts = np.searchsorted(told, np.arange((1 << deal) + 1, dtype="u8") << np.uint64(TOLD - deal))
+        for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if z > a:
+                steps = np.diff(told[a:z], prepend=np.uint64(0)).astype("<u8")
+                part.append(k)
+                body.append(packed(steps.view("u1").reshape(-1, 8)[:, :5].T.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(body, pa.binary())], ["part", "body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            n += len(held[-1])
+            if n > 4_000_000:
+                yield parted(held)
+                held, n = [], 0
+        if n:
+            yield parted(held)
+
+    return run
+
+
+def _twice(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Bitmaps of the slots of numbers that came more than once, see ``common.bitmaps``."""
+    unpacked, found = zstandard.ZstdDecompressor().decompress, []
+    for body in pdf.body:
+        planes = np.frombuffer(unpacked(body), "u1").reshape(5, -1)
+        steps = np.zeros((planes.shape[1], 8), "u1")
+        steps[:, :5] = planes.T
+        found.append(np.cumsum(steps.view("<u8").ravel(), dtype="u8"))
+    told = np.sort(np.concatenate(found))
+    slots = np.unique(told[1:][told[1:] == told[:-1]] >> np.uint64(TOLD - SLOTS.bit_length() + 1)).astype("i8")
+    parts, cuts = np.unique(slots >> 15, return_index=True)
+    out = []
+    for part, own in zip(parts.tolist(), np.split(slots & 32767, cuts[1:]), strict=True) if len(parts) else ():
+        flags = np.zeros(32768, bool)
+        flags[own] = True
+        out.append((part, np.packbits(flags, bitorder="little").view(">i8").astype("i8")))
+    return pd.DataFrame(out, columns=["__part", "__bits"])
+
+
+def recurring(df: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose hash in ``column`` occurs more than once, with few others: told by ``TOLD`` bits of it, which need a fraction of the bytes that grouping takes, and kept by the bitmap of their slots."""
+    deal = min(12, max(2, (df.count() >> 18).bit_length()))
+    maps = df.select(column).mapInArrow(_dealt(deal), "part int, body binary").groupBy("part").applyInPandas(_twice, "__part long, __bits array<long>")
+    return marked(df, staged(maps, "bitmaps"), _slot(column))
 
 
 def _mark(key: int, left: bytes, right: bytes) -> bytes:
@@ -375,24 +439,25 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     texts are empty; texts shorter than ``length`` lose nothing; repeated rows of that length lose all.
 
     1. Each document gives its anchors: the grams that serve its windows, of bytes and of words, each with a mark of its context, all that its windows hold. Equal whole texts are told by SHA-256; one of each
-    takes part. 2. Grams that occur once serve no repeat; most leave by a bitmap of those that recur. Equal contexts, told by hash and mark, cover each other without their texts; one of each goes on, if
+    takes part, the others leave by bitmaps. 2. Grams that occur once serve no repeat; most leave by a bitmap of those that recur, found by shortened hashes. Equal contexts, told by hash and mark, cover each other without their texts; one of each goes on, if
     its gram has others too: its document is joined with its text and gives the
     suffix from each anchor and what is before it, as far as its windows reach. 3. Distinct contexts of
     equal grams meet in a bucket of bounded size, where an interval tree over their enhanced suffix array gives the maximal repeats with all their
     occurrences. A gram with more than ``most_group`` distinct contexts is parted by longer keys (by what its windows have on one side, halved
-    again and again, nine times at most), until each part fits a tree. 4. Windows of words of distinct contexts are counted by 64-bit hashes. 5. Spans
+    again and again, nine times at most), until each part fits a tree. 4. Windows of words of distinct contexts are counted by 64-bit hashes, those that recur by shortened ones. 5. Spans
     are united a document at a time and cut. Grams, contexts and texts that fill more than a thousandth of the rows are joined by broadcast."""
     docs = df.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc", "text")
     seen = staged(docs.mapInPandas(_scanned(length, passage), SCANNED.format(key=df.schema[key].dataType.simpleString())), "repeat-anchors")
     texts = staged(seen.groupBy("sha", "n").agg(F.min("row").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "repeat-copies")
-    named = joined(seen.drop("body"), texts, ["sha", "n"], k="copies", how="left")
-    firsts = named.filter("first is null or first = row")
+    light = seen.select("row", "doc", "n", "n_words", "sha", "sure")
+    named = staged(joined(light, texts, ["sha", "n"], k="copies", how="left"), "repeat-named")
+    later = F.col("first") != F.col("row")  # not for texts that occur once
+    firsts = without(seen.select("row", "hash", "mark", "place", "before", "after"), named.filter(later), "row")
     each = firsts.select("row", F.explode(F.arrays_zip("hash", "mark", "place", "before", "after")).alias("x")).select("row", "x.*")
     each = staged(each.withColumn("at", F.monotonically_increasing_id()), "repeat-grams")
-    known = staged(named.select("row", "doc", "n", "n_words", "sha", "copies", F.when(F.col("first").isNull() | (F.col("first") == F.col("row")), F.col("sure")).alias("sure")), "repeat-documents")
-    counts = staged(each.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1"), "repeat-counts")
-    again = staged(among(each, counts, F.shiftright("hash", 20).bitwiseAND(SLOTS - 1)), "repeat-again")
-    drop(texts, each, counts)
+    known = named.withColumn("sure", F.when(~F.coalesce(later, F.lit(False)), F.col("sure"))).drop("first")
+    again = staged(recurring(each, "hash"), "repeat-again")
+    drop(texts, each)
     marks = staged(again.groupBy("hash", "mark").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z"), F.min("at").alias("first")), "repeat-marks")
     groups = marks.groupBy("hash").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     several = staged(joined(marks, staged(groups, "repeat-groups"), ["hash"], k="contexts", how="left").filter("k > 1 or contexts > 1"), "repeat-several")
@@ -409,15 +474,15 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     drop(at)
 
     windows = staged(touched.mapInPandas(_windows(passage), "window long, row long, start long, wide boolean"), "repeat-windows")
-    often = windows.groupBy("window").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z"), F.max("wide").alias("wide")).filter("k > 1 and (a <> z or wide)").select("window", "k")
+    shown = staged(recurring(windows, "window"), "repeat-shown")
+    often = shown.groupBy("window").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.max("row").alias("z"), F.max("wide").alias("wide")).filter("k > 1 and (a <> z or wide)").select("window", "k")
     often = staged(often, "repeat-passages")
     runs = held.filter("words and covered").select("row", F.col("place").alias("start"), (F.col("before") + passage).alias("end"))
-    slot = F.shiftright("window", 20).bitwiseAND(SLOTS - 1)
-    runs = runs.unionByName(joined(among(windows, often, slot), often, ["window"]).select("row", "start", (F.col("start") + passage).alias("end")))
+    runs = runs.unionByName(joined(shown, often, ["window"]).select("row", "start", (F.col("start") + passage).alias("end")))
     inside = F.expr("aggregate(s, named_struct('n', 0L, 'upto', 0L), (x, r) -> named_struct('n', x.n + greatest(0L, r.end - greatest(r.start, x.upto)), 'upto', greatest(x.upto, r.end)), x -> x.n)")
     shared = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
     shared = staged(shared.select("row", inside.alias("inside")), "repeat-inside")
-    drop(windows, often)
+    drop(windows, shown, often)
 
     spans = _spans(staged(touched.mapInPandas(_contexts(length), DISTINCT), "repeat-contexts"), length, most_group)
     equal = held.filter("covered and not words").select("row", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"))

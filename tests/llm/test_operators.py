@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, jaccard, langid, mixing, quality, repeats, secrets, sharding, topk
+from ledgerline.llm import common, decontaminate, jaccard, langid, mixing, quality, repeats, secrets, sharding, topk
 from ledgerline.llm.common import joined
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -147,6 +147,44 @@ def test_equal_contexts_are_not_compared(spark, monkeypatch):
     assert made["repeat-windows"] < 40 * 2000 / 8 and made["repeat-contexts"] < 40 * 20
 
 
+def test_copies_of_texts_leave_by_bitmaps(spark, monkeypatch):
+    """Whole texts are told apart without a shuffle of all their anchors, and hashes that come once are no row of a grouping."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 9000, 300)) for _ in range(20)]
+    docs = spark.createDataFrame([(k, texts[k % 20]) for k in range(30)], "doc_id long, text string")
+    asked, plain = [], repeats.joined
+
+    def seen(df, *args, **named):
+        asked.append((df.columns, args[1]))
+        return plain(df, *args, **named)
+
+    monkeypatch.setattr(repeats, "joined", seen)
+    got = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
+    assert all(got[k].n_removed == (len(texts[k % 20]) if k % 20 < 10 else 0) for k in range(30))
+    assert [c for c, keys in asked if keys == ["sha", "n"]] and not any("hash" in c for c, keys in asked if keys == ["sha", "n"])
+
+
+def test_recurring_hashes(spark):
+    rng = np.random.default_rng(4)
+    once, often = rng.integers(-(1 << 63), 1 << 63, 4000), np.repeat(rng.integers(-(1 << 63), 1 << 63, 300), rng.integers(2, 9, 300))
+    df = spark.createDataFrame([(int(x),) for x in rng.permutation(np.concatenate([once, often, [-1, -1, 0, 0]]))], "hash long").repartition(7)
+    got = Counter(r.hash for r in repeats.recurring(df, "hash").collect())
+    want = Counter([*often.tolist(), -1, -1, 0, 0])
+    assert not want - got and sum((got - want).values()) < 5
+    assert repeats.recurring(df.limit(0), "hash").count() == 0
+
+
+@pytest.mark.parametrize("most", [4096, 0])
+def test_rows_by_bitmaps(spark, most):
+    ids = [0, 1, 7, 8, 63, 64, 4095, 32767, 32768, 40_000, (5 << 33) + 12]
+    df = spark.createDataFrame([(k,) for k in [*range(130), *range(32_700, 32_800), 40_000, 5 << 33, (5 << 33) + 12]], "row long")
+    some = spark.createDataFrame([(k,) for k in ids], "row long")
+    rest = {r.row for r in common.without(df, some, "row", most).collect()}
+    assert rest == {r.row for r in df.collect()} - set(ids)
+    if most:
+        assert {r.row for r in common.among(df, some, F.col("row")).collect()} == {r.row for r in df.collect()} & set(ids)
+
+
 @pytest.mark.parametrize("period", range(1, 9))
 def test_short_periods(period):
     rng = np.random.default_rng(period)
