@@ -179,7 +179,7 @@ class Code:
         self.length, self.offset, self.node, self.bit = length, offset, node, bit
 
     def _lined(self) -> None:
-        """Paths in pieces of ``LINE`` bits: those of an item stand at ``first``, each with the node it begins at, and with its bits' nodes, bits and slots in a row. A bit's slot names, within its piece, the bits before it, behind a one; there is none behind a path's end. A piece's outcome is the name of the bits it ends with, behind a one. ``cells`` has a bit's node for the mixer, or 256 behind a path's end."""
+        """Paths in pieces of ``LINE`` bits: those of an item stand at ``first``, each with the node it begins at, and with its bits' nodes, bits and slots in a row. A bit's slot names, within its piece, the bits before it, behind a one; there is none behind a path's end. A piece's outcome is the name of the bits it ends with, behind a one. ``cells`` has a bit's node for the mixer, or 256 behind a path's end; ``turns`` a bit's slot and then the bit, or 0. ``signs`` has 1 for a one, -1 for a zero, or 0."""
         self.pieces = -(-self.length // LINE)
         self.first = np.cumsum(self.pieces) - self.pieces
         place = np.arange(len(self.bit)) - np.repeat(self.offset, self.length)
@@ -192,6 +192,8 @@ class Code:
         self.start = self.nodes[:, 0].astype(np.uint64) * _X
         self.outcomes = (2 * self.slots.astype(np.int64) + self.bits).max(axis=1)
         self.cells = np.where(self.slots > 0, self.nodes & np.uint32(255), 256).astype("u2")
+        self.turns = 2 * self.slots + self.bits
+        self.signs = np.where(self.slots > 0, np.where(self.bits > 0, 1, -1), 0).astype("i1")
         self.own = np.where(self.slots > 0, np.where(self.bits > 0, 1, 1 << 16), 0).astype("<u4")
 
 
@@ -483,40 +485,82 @@ class Ready:
         return x, self.gate(x)
 
 
+class Left:
+    """What learning reads of the counts, where each bit is left out of them: at twice a place, and one more for a one, the log odds without that bit, with levels as in ``Ready``."""
+
+    def __init__(self, counts: np.ndarray):
+        self.odds, self.alone = np.empty(2 * len(counts), "f4"), None
+        places = len(counts) // PREDICTORS
+        for k in range(PREDICTORS):
+            for a in range(k * places, (k + 1) * places, 1 << 20):
+                z = min(a + (1 << 20), (k + 1) * places)
+                zeros, ones = (counts[a:z] >> 16).astype("i4"), (counts[a:z] & MOST).astype("i4")
+                levels = LEVELS.take(np.maximum(zeros + ones - 1, 0))
+                for bit in (0, 1):
+                    odds = LOGS.take(np.maximum(ones - bit, 0)) - LOGS.take(np.maximum(zeros - 1 + bit, 0))
+                    if k in GATED:
+                        odds[odds == 0] = 1e-6
+                        own = odds.view("u4")
+                        own &= np.uint32(0xFFFFFFF8)
+                        own |= levels
+                    self.odds[2 * a + bit : 2 * z : 2] = odds
+
+    def of_pieces(self, code: Code, piece: np.ndarray, line: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """As ``Ready.of_pieces``, each bit left out; behind a path's end the gate is ``GATES``."""
+        turns, x = code.turns.take(piece, axis=0).ravel().astype(np.int64), []
+        if len(line) < PREDICTORS:
+            if self.alone is None:
+                at = _alone(code, bits)
+                at <<= 1
+                at += code.bits.ravel()
+                self.alone = self.odds.take(at).reshape(-1, LINE)
+            x = [self.alone.take(piece, axis=0).ravel()]
+        for at in line:
+            at <<= 1
+            at = np.repeat(at, LINE)
+            at += turns
+            x.append(self.odds.take(at))
+        gate = x[GATED[0]].view("u4") & np.uint32(7)
+        gate *= np.uint32(6)
+        gate += x[GATED[1]].view("u4") & np.uint32(7)
+        gate = gate.astype("u1")
+        gate[turns == 0] = GATES
+        return x, gate
+
+
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     odds = np.add(ones, np.float32(PRIOR), dtype="f4", casting="same_kind")
     odds /= np.add(zeros, np.float32(PRIOR), dtype="f4", casting="same_kind")
     return np.log(odds, out=odds)
 
 
-def _left_out(counts: np.ndarray, spots: Iterator[np.ndarray], own: np.ndarray, whole: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """The predictors' log odds, and the gate, where ``own`` (zeros in the upper half, ones in the lower) is in the counts and must be left out. With ``whole``, the counts hold it all."""
+def _left_out(counts: np.ndarray, spots: Iterator[np.ndarray], own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The predictors' log odds, and the gate, where ``own`` (zeros in the upper half, ones in the lower) is in the counts and must be left out."""
     x, levels = [], []
     for at in spots:
         seen = counts.take(at)
-        seen -= own if whole else np.minimum(own >> np.uint32(16), seen >> np.uint32(16)) << np.uint32(16) | np.minimum(own & np.uint32(MOST), seen & np.uint32(MOST))
+        seen -= np.minimum(own >> np.uint32(16), seen >> np.uint32(16)) << np.uint32(16) | np.minimum(own & np.uint32(MOST), seen & np.uint32(MOST))
         z, o = seen >> np.uint32(16), seen & np.uint32(MOST)
         x.append(_odds(z, o))
         z += o
         levels.append(z)
-    shift = PREDICTORS - len(x)
-    one, two = (LEVELS.take(levels[k - shift]) for k in GATED)
+    one, two = (LEVELS.take(levels[k]) for k in GATED)
     one *= np.uint8(6)
     one += two
     return x, one
 
 
-def _unpacked(parts: list[bytes], bits: int, ready: bool):
+def _unpacked(parts: list[bytes], bits: int, form: str):
     counts, a = np.zeros(PREDICTORS << bits, "<u4"), 0
     for x in parts:
         part = np.frombuffer(_unzip(x), "<u4")
         counts[a : a + len(part)] = part
         a += len(part)
-    return Ready(counts, in_place=True) if ready else counts
+    return Ready(counts, in_place=True) if form == "ready" else Left(counts) if form == "left" else counts
 
 
 class Packed:
-    """Counts that travel compressed; where they are read they are an array, or ``Ready``."""
+    """Counts that travel compressed; where they are read they are an array, or ``Ready`` or ``Left``."""
 
     def __init__(self, *args):
         self.args = args
@@ -526,7 +570,11 @@ class Packed:
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -16, 16)))
+    """Of numbers from -12 to 12."""
+    out = np.negative(x)
+    np.exp(out, out=out)
+    out += 1
+    return np.divide(1, out, out=out)
 
 
 KNOTS = np.linspace(-12, 12, 33)
@@ -615,24 +663,22 @@ def _learnt(code, counts, bits: int, stream, each: bool, parts: int = 8):
     """A mixer that has walked all that the task has, in order, each bit left out of the counts it is predicted from: its state, times what it has learnt from, in parts. ``each``: a weight stands for so many equal items, of which one is left out at a time; else they are left out together, and learnt from once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mixer, c, alone = Mixer(), code.value, None
+        mixer, c = Mixer(), code.value
         of = stream() if isinstance(stream, Later) else stream
         for pdf in batches:
             for items, contexts, weights in of(pdf):
                 plain = each and not contexts[0].any()
-                if plain and alone is None:
-                    seen = counts.value.take(_alone(c, bits)) - c.own.ravel()  # has no meaning for symbols that no training text has
-                    alone = _odds(seen >> np.uint32(16), seen & np.uint32(MOST)).reshape(-1, LINE)
                 for a, n, piece, line in lines(c, items, contexts, bits, int(plain)):
-                    slots, own = c.slots.take(piece, axis=0).ravel().astype(np.int64), c.own.take(piece, axis=0).ravel()
-                    times = np.repeat(np.repeat(weights[a : a + len(n)], n), LINE)
-                    if not each:
-                        own *= times.astype("<u4")
-                    x, gate = _left_out(counts.value, (_spots(at, slots) for at in line), own, each)
-                    if plain:
-                        x.insert(0, alone.take(piece, axis=0).ravel())
-                    gate[slots == 0] = GATES
-                    mixer.learn(c.cells.take(piece, axis=0).ravel(), c.bits.take(piece, axis=0).ravel(), x, gate, times=times.astype("f4") if each else None)
+                    times = np.repeat(weights[a : a + len(n)], n)
+                    if each:
+                        times = np.repeat(times.astype("f4"), LINE)
+                        x, gate = counts.value.of_pieces(c, piece, line, bits)
+                    else:
+                        slots = c.slots.take(piece, axis=0).ravel().astype(np.int64)
+                        own = c.own.take(piece, axis=0).ravel() * np.repeat(times, LINE).astype("<u4")
+                        x, gate = _left_out(counts.value, (_spots(at, slots) for at in line), own)
+                        gate[slots == 0] = GATES
+                    mixer.learn(c.cells.take(piece, axis=0).ravel(), c.bits.take(piece, axis=0).ravel(), x, gate, times=times if each else None)
         state, n = mixer.state()
         cut = [np.array_split(y, parts) for y in (state * n, n)]
         yield pd.DataFrame({"part": range(parts), "sums": [y.tobytes() for y in cut[0]], "n": [y.tobytes() for y in cut[1]]})
@@ -656,13 +702,13 @@ class Model:
         some = data.coalesce(tasks)
         got = some.mapInPandas(_counted(self.code, bits, parts, stream), "part int, zeros binary, ones binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").orderBy("part").collect()
         tables = [bytes(r["counts"]) for r in got]
-        counts = sc.broadcast(Packed(tables, bits, False))
+        counts = sc.broadcast(Packed(tables, bits, "left" if taught is not None else "plain"))
         mixer = Mixer()
         got = some.mapInPandas(_learnt(self.code, counts, bits, taught or stream, taught is not None), "part int, sums binary, n binary").groupBy("part").applyInPandas(_averaged, "part int, sums binary, n binary").orderBy("part").collect()
         if got:
             mixer.load(*(np.concatenate([np.frombuffer(r[c], "f8") for r in got]) for c in ("sums", "n")))
         counts.destroy()
-        self.mixer, self.ready = sc.broadcast(mixer), sc.broadcast(Packed(tables, bits, True))
+        self.mixer, self.ready = sc.broadcast(mixer), sc.broadcast(Packed(tables, bits, "ready"))
 
     def scorer(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         """In a task: log10 of the probability of each item."""
@@ -674,9 +720,9 @@ class Model:
             for a, n, piece, line in lines(c, items, contexts, bits, int(plain)):
                 cells = c.cells.take(piece, axis=0).ravel()
                 one = mixer.value.refined(cells & np.uint16(255), mixer.value.mixed(*ready.value.of_pieces(c, piece, line, bits)))
-                right = np.where(c.bits.take(piece, axis=0).ravel(), one, 1 - one)
-                right[cells > 255] = 1
-                right = right.reshape(-1, LINE)
+                sign = c.signs.take(piece, axis=0)
+                right = one.reshape(-1, LINE) * sign.astype("f4")
+                right += (sign < 1).astype("f4")
                 all_right = right[:, 0] * right[:, 1] * right[:, 2] * right[:, 3]  # 1e-28 at least
                 ends = np.cumsum(n)
                 some = np.flatnonzero(n)

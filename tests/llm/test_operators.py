@@ -603,6 +603,24 @@ def test_language_model_learns_from_all_training_tokens_in_bounded_memory(monkey
         assert np.allclose(a, b, atol=1e-5)
 
 
+def test_bits_left_out_are_tabled():
+    """What a bit is learnt from, its own count left out, is looked up, as is how often its contexts came without it."""
+    rng = np.random.default_rng(8)
+    code, bits = mixing.Code(rng.integers(1, 500, 300).tolist()), 12
+    zeros, ones = rng.integers(1, 40, (2, mixing.PREDICTORS << bits)).astype("u4")
+    left = mixing.Left(zeros << np.uint32(16) | ones)
+    items = rng.integers(0, 300, 500).astype("u4")
+    contexts = np.concatenate([np.zeros((1, 500), "u8"), rng.integers(0, 1 << 40, (mixing.PREDICTORS - 1, 500)).astype("u8")])
+    _, n, piece, line = next(mixing.lines(code, items, contexts, bits, 1))
+    x, gate = left.of_pieces(code, piece, line, bits)
+    live = code.slots[piece].ravel() > 0
+    _, _, bit, at = next(mixing.planes(code, items, contexts, bits))
+    z, o = zeros[at] - (bit == 0), ones[at] - (bit == 1)
+    assert np.allclose(np.stack(x)[:, live], np.log((o + mixing.PRIOR) / (z + mixing.PRIOR)), atol=1e-5)
+    one, two = (mixing.LEVELS[(z + o)[k]].astype(int) for k in mixing.GATED)
+    assert (gate[live] == 6 * one + two).all() and (gate[~live] == mixing.GATES).all()
+
+
 def test_language_model_spreads_words_with_one_head(spark):
     n = Counter(mixing.bucket_of(f"http://host/{k}".encode(), 16) for k in range(4000))
     assert len(n) == 16 and max(n.values()) < 500
